@@ -69,7 +69,10 @@ def bootstrap(units: DataFrame, diff: str, reps: int, seed: int = 0, by: tuple[s
         F.percentile("_m", 0.025).alias("lo"), F.percentile("_m", 0.975).alias("hi")
     )
     point = numbered.groupBy(*by).agg(F.avg("_d").alias("point"), F.count(F.lit(1)).alias("n_units"))
-    out = point.join(ends, list(by)) if by else point.crossJoin(ends)
+    if by:
+        out = point.join(ends, list(by))
+    else:
+        out = point.withColumns({"lo": ends.select("lo").scalar(), "hi": ends.select("hi").scalar()})
     return out.withColumn("significant", F.col("hi") < 0)
 
 

@@ -89,8 +89,8 @@ def by_group_and_band(scored: DataFrame, aggs: list[Column], keep: tuple[str, ..
 def shares(df: DataFrame, by: str) -> DataFrame:
     """Count and share of the total per value."""
     counts = df.groupBy(by).count().withColumnRenamed("count", "n")
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(by, "n", (100 * F.col("n") / F.col("total")).alias("share_pct"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select(by, "n", (100 * F.col("n") / total).alias("share_pct"))
 
 
 def answered(scored: DataFrame) -> DataFrame:
@@ -106,20 +106,17 @@ def answered(scored: DataFrame) -> DataFrame:
 def visitor_coverage(scopes: DataFrame, scored: DataFrame) -> DataFrame:
     """Answer rate as a board's reader meets it: P(in scope) times P(answered | in scope).
 
-    Two one-row aggregates meet; null when either denominator is zero.
+    Null when either denominator is zero.
     """
+    said = scored.agg(F.avg((F.col("score_state") != "declined").cast("int"))).scalar()
     gone, here = F.col("scope") == "departed", F.col("scope") == "not_yet_departed"
     board = scopes.agg(F.count_if(gone).alias("_gone"), F.count_if(gone | here).alias("board_entries"))
-    said = scored.agg(
-        F.count_if(F.col("score_state") != "declined").alias("_said"), F.count(F.lit(1)).alias("_all")
-    )
     in_scope = F.try_divide(F.col("_gone"), F.col("board_entries"))
-    rate = F.try_divide(F.col("_said"), F.col("_all"))
-    return board.crossJoin(said).select(
+    return board.withColumn("_rate", said).select(
         "board_entries",
         (100 * in_scope).alias("in_scope_pct"),
-        (100 * rate).alias("answered_given_in_scope_pct"),
-        (100 * in_scope * rate).alias("answered_pct"),
+        (100 * F.col("_rate")).alias("answered_given_in_scope_pct"),
+        (100 * in_scope * F.col("_rate")).alias("answered_pct"),
     )
 
 

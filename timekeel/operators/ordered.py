@@ -167,12 +167,11 @@ def _same(keys: list[str]) -> Column:
     return cond
 
 
-def first_by(df: DataFrame, keys, order, columns) -> DataFrame:
-    """The row of each group that comes first in `order`, aggregated map-side."""
-    picked = F.min_by(F.struct(*columns), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(picked).select(*keys, "_row.*")
-
-
-def last_by(df: DataFrame, keys, order, columns) -> DataFrame:
-    picked = F.max_by(F.struct(*columns), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(picked).select(*keys, "_row.*")
+def first_by(df: DataFrame, keys, order) -> DataFrame:
+    """The whole row that comes first in `order` within each group.
+
+    Spark cuts each map task's groups to one row before the shuffle, so a hot group reaches
+    its reducer as one row per task.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_pick", F.row_number().over(w)).where("_pick = 1").drop("_pick")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times, values
 from .journeys import JOURNEY
-from .ordered import first_by, last_by
+from .ordered import first_by
 
 EVENT = (*JOURNEY, "location_code")
 STATES = (
@@ -21,15 +21,11 @@ ALARM_FLOOR = 50
 
 
 def last_in_band(preds: DataFrame) -> DataFrame:
-    """The last statement per event and lead band. Equal instants keep the earlier stop.
-
-    An aggregate, not a window: repeats of one event are combined before the shuffle.
-    """
+    """The last statement per event and lead band. Equal instants keep the earlier stop."""
     banded = preds.withColumn("lead_band", times.band("lead_sec"))
     if "scored_band" in preds.columns:
         banded = banded.withColumn("lead_band", F.coalesce("scored_band", "lead_band")).drop("scored_band")
-    rest = [c for c in banded.columns if c not in (*EVENT, "lead_band")]
-    return last_by(banded, [*EVENT, "lead_band"], [F.col("made_sec"), -F.col("location_order")], rest)
+    return first_by(banded, [*EVENT, "lead_band"], [F.desc("made_sec"), "location_order"])
 
 
 def realised(prep: DataFrame) -> DataFrame:
@@ -42,7 +38,7 @@ def realised(prep: DataFrame) -> DataFrame:
         F.col("auto_arrival"),
         F.lit(True).alias("on_route"),
     ]
-    return first_by(prep, EVENT, ["location_order"], cols)
+    return first_by(prep, EVENT, ["location_order"]).select(*EVENT, *cols)
 
 
 def rival_statements(polls: DataFrame, outcome: DataFrame) -> DataFrame:
@@ -54,15 +50,15 @@ def rival_statements(polls: DataFrame, outcome: DataFrame) -> DataFrame:
     target = outcome.select(*EVENT, "sched_abs", "arr_abs")
     met = polls.join(target, list(EVENT)).where(F.col("poll_sec") < F.col("arr_abs"))
     banded = met.withColumn("lead_band", times.band(F.col("sched_abs") - F.col("poll_sec")))
-    return last_by(
+    return first_by(
         banded.where(F.col("lead_band").isNotNull()),
         [*EVENT, "lead_band"],
-        [F.col("poll_sec"), -F.col("location_order")],
-        [
-            F.col("poll_sec").alias("rival_poll_sec"),
-            F.col("eta_sec").alias("rival_eta_sec"),
-            F.col("station_group").alias("rival_group"),
-        ],
+        [F.desc("poll_sec"), "location_order"],
+    ).select(
+        *EVENT, "lead_band",
+        F.col("poll_sec").alias("rival_poll_sec"),
+        F.col("eta_sec").alias("rival_eta_sec"),
+        F.col("station_group").alias("rival_group"),
     )
 
 
@@ -80,12 +76,31 @@ def state() -> Column:
 
 
 def score(preds: DataFrame, prep: DataFrame, polls: DataFrame) -> DataFrame:
+    """Every kept prediction with its outcome, its errors and the rival's error.
+
+    Statements meet the outcome, then the polls, by event: each input is read once. A poll
+    survives the second join only in the statement's own band and before the arrival.
+    """
     journeys = prep.groupBy(*JOURNEY).agg(F.bool_and("consistent").alias("consistent"))
-    outcome = realised(prep)
+    kept = last_in_band(preds).join(realised(prep), list(EVENT), "left")
+    said = polls.select(
+        *EVENT,
+        F.col("poll_sec").alias("rival_poll_sec"),
+        F.col("eta_sec").alias("rival_eta_sec"),
+        F.col("station_group").alias("rival_group"),
+        F.col("location_order").alias("rival_order"),
+    )
+    same = F.lit(True)
+    for k in EVENT:
+        same = same & (F.col(f"k.{k}") == F.col(f"p.{k}"))
+    in_time = (F.col("rival_poll_sec") < F.col("arr_abs")) & (
+        times.band(F.col("sched_abs") - F.col("rival_poll_sec")) == F.col("lead_band")
+    )
+    met = kept.alias("k").join(said.alias("p"), same & in_time, "left").select(
+        "k.*", "rival_poll_sec", "rival_eta_sec", "rival_group", "rival_order"
+    )
     joined = (
-        last_in_band(preds)
-        .join(outcome, list(EVENT), "left")
-        .join(rival_statements(polls, outcome), [*EVENT, "lead_band"], "left")
+        first_by(met, [*EVENT, "lead_band"], [F.desc_nulls_last("rival_poll_sec"), "rival_order"])
         .join(journeys, list(JOURNEY), "left")
         .withColumn("score_state", state())
     )

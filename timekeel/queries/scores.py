@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import views
 from ..functions import times, values
 from ..operators import calibration, drift, journeys, metrics, rollup, scoring
+from ..operators.ordered import first_by
 from .oracle_views import VIEWS, band_sql
 from .registry import fixed_sql, query, shown
 
@@ -115,9 +116,9 @@ VIEWS["scopes"] = """
 
 
 def board_scopes(spark, sf):
-    from ..operators.ordered import first_by
     moves, _ = views.movements(spark, sf)
-    origin = first_by(moves, journeys.JOURNEY, ["location_order"], [F.col("sched_sec").alias("origin_sec")])
+    origin = first_by(moves, journeys.JOURNEY, ["location_order"]).select(
+        *journeys.JOURNEY, F.col("sched_sec").alias("origin_sec"))
     met = views.polls(moves).join(origin, list(journeys.JOURNEY), "left")
     return met.select(times.departed("origin_sec", "poll_sec").alias("scope"))
 

@@ -20,6 +20,7 @@ def session(app: str = "timekeel", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for k, v in settings.items():

@@ -100,3 +100,81 @@ def predictions(moves: DataFrame, t: Track) -> DataFrame:
         c.alias("q50_sec"),
         (c + 60 + F.floor(F.col("lead_sec") / 10).cast("int")).alias("q90_sec"),
     )
+
+
+SIDES = (("local", 0, 11), ("cloud", 85, 13))
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two collectors' board captures: each event is on three boards running, five minutes
+    apart, and each collector misses some."""
+    e = table(spark, sf_dir, "events")
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    side = F.array(*[
+        F.struct(F.lit(n).alias("side"), F.lit(lag).alias("lag"), F.lit(miss).alias("miss"))
+        for n, lag, miss in SIDES
+    ])
+    rows = e.select(
+        "event_id", "user_id", "event_type", "value", k.alias("k"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"),
+        F.explode(side).alias("s"),
+    ).where(F.col("k") % F.col("s.miss") != 0)
+    seen = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    early = F.when((F.col("s.side") == "cloud") & (F.col("k") % 3 == 0), 1).otherwise(0)
+    return seen.select(
+        F.col("s.side").alias("side"),
+        (F.floor(F.col("t") / 300) * 300 + F.col("c") * 300 + F.col("s.lag")).alias("cycle_sec"),
+        F.timestamp_seconds("t").cast("date").alias("service_date"),
+        F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("train_code"),
+        F.concat(F.lit("S"), (F.col("k") % 20).cast("string")).alias("station_code"),
+        F.col("event_type").alias("station_group"),
+        F.floor((F.col("value") + (F.col("c") + early) * 7) / 10).cast("int").alias("eta"),
+        "event_id", "k",
+    )
+
+
+# Names of the views' stations, by number; several numbers share one name.
+STATION_NAMES = (
+    "Cork Kent", "Ballinasloe", "Ennis", "Enniscorthy", "Westport", "Dublin Heuston", "Dublin Heuston",
+    "Carrick-on-Suir", "Dún Laoghaire", "Athlone", "Ballina", "Bray", "Bray", "Bray", "Mallow",
+    "Thurles", "Rosslare Strand", "Galway", "Tralee", "Maynooth",
+)
+
+
+def stations(moves: DataFrame) -> DataFrame:
+    """The stations the journeys call at, with a name, a grid position and a place."""
+    n = F.substring("location_code", 2, 9).cast("int")
+    names = F.array(*[F.lit(x) for x in STATION_NAMES])
+    return moves.select("location_code").distinct().select(
+        F.col("location_code").alias("code"),
+        F.element_at(names, n + 1).alias("name"),
+        (n * 79 % 20 * 15000 + 500000).alias("x"),
+        (n * 47 % 20 * 20000 + 550000).alias("y"),
+        F.when(n == 7, 0.0).otherwise(51.6 + (n * 37 % 20) * 0.18).alias("lat"),
+        F.when(n == 7, 0.0).otherwise(-10.0 + (n * 53 % 20) * 0.2).alias("lon"),
+        (~n.isin(7, 13)).alias("placed"),
+    )
+
+
+def named_movements(moves: DataFrame) -> DataFrame:
+    """Movements with a name and a type, some names blank or spelled another way."""
+    n = F.substring("location_code", 2, 9).cast("int")
+    name = F.element_at(F.array(*[F.lit(x) for x in STATION_NAMES]), n + 1)
+    o = F.col("location_order")
+    return moves.withColumns({
+        "location_name": F.when(o % 13 == 0, "").when(o % 7 == 0, F.upper(name)).otherwise(name),
+        "location_type": F.when(o == 1, "O").when(n.isin(5, 10, 15), "T").when(n == 19, "D").otherwise("S"),
+    })
+
+
+def live_rows(moves: DataFrame) -> DataFrame:
+    """Polls as a live log holds them: some about other stations, trains or dates."""
+    p = polls(moves)
+    o = F.col("location_order")
+    return p.select(
+        F.when(o % 18 == 0, F.date_add("service_date", 1)).otherwise(F.col("service_date")).alias("service_date"),
+        F.when(o % 14 == 0, F.concat(F.lit("N"), F.col("train_code"))).otherwise(F.col("train_code")).alias("train_code"),
+        F.when(o % 10 == 0, "S99").otherwise(F.col("location_code")).alias("location_code"),
+        "station_group", "poll_sec", "location_order",
+        F.when(F.col("eta_sec") % 7 != 0, F.col("eta_sec")).alias("eta_sec"),
+    )
