@@ -43,6 +43,12 @@ def coverage_trigger(daily: DataFrame, days: int = 7, sustained: int = SUSTAINED
     )
 
 
+def _draw(seed: int, *keys: str) -> Column:
+    """A number fixed by the seed and the keys, the same in any engine that has md5."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 def bootstrap(units: DataFrame, diff: str, reps: int, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """Paired bootstrap of the mean of `diff`, resampling whole units with replacement.
 
@@ -57,7 +63,7 @@ def bootstrap(units: DataFrame, diff: str, reps: int, seed: int = 0, by: tuple[s
     draws = (
         numbered.select(*by, "_i", "_s")
         .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-        .withColumn("_i", F.pmod(F.xxhash64("rep", "_i", F.lit(seed)), F.col("_s")).cast("int"))
+        .withColumn("_i", (_draw(seed, "rep", "_i") % F.col("_s")).cast("int"))
         .groupBy(*by, "rep", "_i").agg(F.count(F.lit(1)).alias("_times"))
     )
     means = (

@@ -7,20 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .oracle_views import with_views
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a query; `sql` may name the oracle views it starts from."""
+    """Register a query; `sql` may name oracle views, prefixed when the SQL is handed out."""
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = sql
         return fn
     return add
 

@@ -178,3 +178,37 @@ def live_rows(moves: DataFrame) -> DataFrame:
         "station_group", "poll_sec", "location_order",
         F.when(F.col("eta_sec") % 7 != 0, F.col("eta_sec")).alias("eta_sec"),
     )
+
+
+def scenario_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per user and day over five stops, its times set by that day's first event.
+
+    Some days miss a stop, a time or a machine-captured flag, or go back in time.
+    """
+    e = table(spark, sf_dir, "events")
+    k0 = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    first = e.groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(
+        F.min(F.struct("event_id", k0.alias("k"), F.floor("value").cast("int").alias("v"))).alias("f"))
+    base = first.select("user_id", "day", F.col("f.k").alias("k"), F.col("f.v").alias("v"))
+    stop = base.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    i, k, v = F.col("i"), F.col("k"), F.col("v")
+    stop = stop.where(~((k % 29 == 0) & (i == 3)))
+
+    def lag_of(n):
+        return 6 * ((k * (n + 3) + v) % 25) - 60
+
+    late = 6 * (k % 11) + sum(F.when(i >= n, lag_of(F.lit(n))).otherwise(0) for n in range(1, 5))
+    sched_arr = F.when(i > 0, 36000 + 600 * i)
+    arr = F.when((i > 0) & ~((k % 31 == 0) & (i == 1)),
+                 36000 + 600 * i + late - F.when((k % 37 == 0) & (i == 1), 3000).otherwise(0))
+    return stop.select(
+        F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("train_code"), "day",
+        (i + 1).alias("stop_order"),
+        F.concat(F.lit("S"), ((F.col("user_id") + i) % 20).cast("string")).alias("location_code"),
+        F.element_at(F.array(*[F.lit(x) for x in "OSTSD"]), i + 1).alias("location_type"),
+        sched_arr.alias("sched_arr_sec"), (36060 + 600 * i).alias("sched_dep_sec"),
+        arr.alias("arr_sec"), (36060 + 600 * i + late).alias("dep_sec"),
+        (arr - sched_arr).alias("arr_delay_sec"), late.alias("dep_delay_sec"),
+        F.when((k + i) % 23 == 0, "0").otherwise("1").alias("auto_arr"),
+        F.when((k + 2 * i) % 23 == 0, "0").otherwise("1").alias("auto_dep"),
+    )
