@@ -62,9 +62,14 @@ def km_between(lat1: Column | str, lon1: Column | str, lat2: Column | str, lon2:
     return F.sqrt(dy * dy + dx * dx)
 
 
+def metres_between(ax, ay, bx, by) -> Column:
+    dx, dy = col(ax).cast("double") - col(bx), col(ay).cast("double") - col(by)
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def metres_to_segment(px, py, ax, ay, bx, by) -> Column:
     """Distance from a point to a segment, its projection clamped to the ends."""
-    px, py, ax, ay, bx, by = (col(c) for c in (px, py, ax, ay, bx, by))
+    px, py, ax, ay, bx, by = (col(c).cast("double") for c in (px, py, ax, ay, bx, by))
     dx, dy = bx - ax, by - ay
     length2 = dx * dx + dy * dy
     t = F.when(length2 == 0, F.lit(0.0)).otherwise(
@@ -76,5 +81,5 @@ def metres_to_segment(px, py, ax, ay, bx, by) -> Column:
 
 def turn(ax, ay, bx, by, cx, cy) -> Column:
     """Which side of a-b the point c is on: -1, 0 or 1."""
-    ax, ay, bx, by, cx, cy = (col(c) for c in (ax, ay, bx, by, cx, cy))
+    ax, ay, bx, by, cx, cy = (col(c).cast("double") for c in (ax, ay, bx, by, cx, cy))
     return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)).cast("int")

@@ -38,13 +38,14 @@ def classified_days(stops: DataFrame, t: Track) -> tuple[DataFrame, DataFrame]:
     """(segments, days): each (train, day) with why it is not a scenario, null when it is.
 
     The stopping pattern is compared with the first eligible day's stop by stop, by an
-    equality join on (train, position), and combined per day with partial aggregation.
+    equality join on (train, position), and combined per day with partial aggregation. The
+    segments, read by each of these steps, are written once.
     """
     at = stops.withColumn("_at", F.col("sched_arr_sec") + F.col("arr_delay_sec"))
     back = running(at, t, {"_prev": latest_before(F.col("_at"))})
     sound = back.groupBy(*DAY).agg(
         F.bool_and(F.coalesce(F.col("_at") >= F.col("_prev"), F.lit(True))).alias("consistent"))
-    seg = _pairs(stops, t)
+    seg = settle(_pairs(stops, t), "segments")
     sizes = seg.groupBy(*DAY).agg(F.count(F.lit(1)).alias("n_stops"))
     days = sound.join(sizes, list(DAY), "left").withColumn("n_stops", F.coalesce("n_stops", F.lit(0)))
     first = days.where(F.col("consistent") & (F.col("n_stops") >= MIN_STOPS)).groupBy("train_code").agg(

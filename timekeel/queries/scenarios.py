@@ -156,13 +156,13 @@ VIEWS["numbered"] = """
 
 
 @query("candidate_sweep_b1_a28", f"""
-SELECT train_code, candidate, weighting, {fixed_sql('held_out_cost')} AS held_out_cost, {fixed_sql('base_cost')} AS base_cost, n_units,
-       {fixed_sql('point')} AS point, {fixed_sql('lo')} AS lo, {fixed_sql('hi')} AS hi
+SELECT train_code, candidate, weighting, {fixed_sql('held_out_cost', 9)} AS held_out_cost, {fixed_sql('base_cost', 9)} AS base_cost, n_units,
+       {fixed_sql('point', 9)} AS point, {fixed_sql('lo', 9)} AS lo, {fixed_sql('hi', 9)} AS hi
 FROM (SELECT train_code, candidate, weighting, avg(cost) AS held_out_cost, avg(base_cost) AS base_cost FROM held_long GROUP BY ALL)
 JOIN ({boot_sql('numbered', 'train_code, candidate, weighting', 40, 1)}) USING (train_code, candidate, weighting)""")
 def candidate_sweep(spark, sf):
     out = scenarios.sweep(_with_even(_instances(spark, sf)), CANDIDATES, "timetable", reps=40, seed=1)
-    return shown(out.drop("significant"))
+    return shown(out.drop("significant"), 9)
 
 
 @query("buffer_deviation_b1", f"""

@@ -212,3 +212,47 @@ def scenario_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((k + i) % 23 == 0, "0").otherwise("1").alias("auto_arr"),
         F.when((k + 2 * i) % 23 == 0, "0").otherwise("1").alias("auto_dep"),
     )
+
+
+def placed_stops(moves: DataFrame) -> DataFrame:
+    """Movements marked with whether their station has a usable place."""
+    n = F.substring("location_code", 2, 9).cast("int")
+    return moves.withColumn("placed", ~n.isin(7, 13))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fleet's last reports: one per event, near a station, some without a position."""
+    e = table(spark, sf_dir, "events")
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    n = k % 20
+    return e.select(
+        F.col("event_id").alias("point_id"),
+        F.concat(F.lit("t"), F.col("user_id").cast("string"), F.lit(" ")).alias("train"),
+        F.when(F.col("event_type") == "view", "R").when(F.col("event_type") == "error", "T").otherwise("N").alias("status"),
+        F.when(n == 7, 0.0).otherwise(51.6 + (n * 37 % 20) * 0.18 + (F.col("event_id") % 9 - 4) * 0.0007).alias("lat"),
+        F.when(n == 7, 0.0).otherwise(-10.0 + (n * 53 % 20) * 0.2 + (k % 7 - 3) * 0.0011).alias("lon"),
+        F.concat(
+            F.when(k % 4 != 0, F.concat(F.upper(F.concat(F.lit("t"), F.col("user_id").cast("string"))), F.lit("\\\\n"))).otherwise(""),
+            F.when(k % 3 == 0, "Departed S1 next stop S2").when(k % 3 == 1, "Arrived S3 next stop S4").otherwise("No report"),
+            F.when(k % 5 == 0, F.lit("\\nlate")).otherwise(""),
+        ).alias("message"),
+        k.alias("k"),
+    )
+
+
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One closed ring per supplier nation, its suppliers as vertices."""
+    s = table(spark, sf_dir, "supplier")
+    n = F.col("s_nationkey")
+    x = n % 5 * 4000 + F.floor(F.col("s_acctbal")).cast("int") % 5000
+    y = F.floor(n / 5).cast("int") * 4000 + (F.col("s_suppkey") * 911 % 5000).cast("int")
+    v = s.select(n.alias("ring_id"), "s_suppkey", x.alias("x"), y.alias("y"))
+    t = Track(("ring_id",), ("s_suppkey",), "s_suppkey div 100000")
+    return running(v, t, {"n": count_of()}).select("ring_id", (F.col("n") - 1).alias("seq"), "x", "y")
+
+
+def field_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias("point_id"),
+        (F.col("event_id") * 7919 % 24000).cast("int").alias("x"), (F.col("event_id") * 104729 % 24000 + F.col("user_id") % 7).cast("int").alias("y"))
