@@ -189,15 +189,13 @@ def lead_bands(spark, sf):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-PREDICTORS = {"zero": F.lit(0), "persistence": F.col("current_delay_sec")}
-
-
 def baseline(ex):
     banded = ex.withColumns({
         "horizon": F.col("horizon_observed_stops").cast("string"),
         "band": times.band("horizon_sched_sec"),
     })
-    return metrics.predictor_report(banded, PREDICTORS, ["horizon", "band"])
+    predictors = {"zero": F.lit(0), "persistence": F.col("current_delay_sec")}
+    return metrics.predictor_report(banded, predictors, ["horizon", "band"])
 
 
 BASELINE_SQL = f"""

@@ -83,13 +83,13 @@ def relaxed_sql(wanted: str, own: str, rounds: int = 9) -> str:
 
 
 NOT_OWN = "NOT (least(r.node, e.n2) = least(r.a, r.b) AND greatest(r.node, e.n2) = greatest(r.a, r.b))"
-VIEWS["corridors"] = """SELECT a.code AS a, b.code AS b FROM stations a JOIN stations b ON a.code = 'S0' AND b.placed AND b.code <> 'S0'"""
+VIEWS["corridors"] = """SELECT a.code AS a, b.code AS b FROM stations a JOIN stations b ON a.code = 'S2' AND b.placed AND b.code <> 'S2'"""
 
 
 @query("shortest_paths_g1", f"SELECT a, b, {fixed_sql('dist', 3)} AS dist FROM ({relaxed_sql('corridors', 'true')})")
 def shortest_paths(spark, sf):
     moves, _, steps, passed = parts(spark, sf)
-    ends = views.stations(moves).where("placed AND code <> 'S0'").select(F.lit("S0").alias("a"), F.col("code").alias("b"))
+    ends = views.stations(moves).where("placed AND code <> 'S2'").select(F.lit("S2").alias("a"), F.col("code").alias("b"))
     return shown(network.shortest(ends, near_links(moves, steps, passed)).select("a", "b", "dist"), 3)
 
 

@@ -76,7 +76,8 @@ def _with_even(inst):
     return inst.join(share, "train_code")
 
 
-CANDIDATES = {"timetable": F.col("buffer"), "even": F.col("even"), "none": F.lit(0.0)}
+def candidates():
+    return {"timetable": F.col("buffer"), "even": F.col("even"), "none": F.lit(0.0)}
 
 
 @query("scenario_view", "SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM scen")
@@ -129,7 +130,7 @@ def hold_out_days(spark, sf):
 SELECT train_code, CAST(day AS VARCHAR) AS day, candidate, held_out, {fixed_sql('terminus', 4)} AS terminus, {fixed_sql('uniform', 4)} AS uniform FROM costs""")
 def lateness_replay(spark, sf):
     inst = scenarios.with_hold_out(_with_even(_instances(spark, sf)))
-    return shown(scenarios.day_costs(inst, CANDIDATES).select("train_code", "day", "candidate", "held_out", "terminus", "uniform"), 4)
+    return shown(scenarios.day_costs(inst, candidates()).select("train_code", "day", "candidate", "held_out", "terminus", "uniform"), 4)
 
 
 VIEWS["held_long"] = """
@@ -161,7 +162,7 @@ SELECT train_code, candidate, weighting, {fixed_sql('held_out_cost', 9)} AS held
 FROM (SELECT train_code, candidate, weighting, avg(cost) AS held_out_cost, avg(base_cost) AS base_cost FROM held_long GROUP BY ALL)
 JOIN ({boot_sql('numbered', 'train_code, candidate, weighting', 40, 1)}) USING (train_code, candidate, weighting)""")
 def candidate_sweep(spark, sf):
-    out = scenarios.sweep(_with_even(_instances(spark, sf)), CANDIDATES, "timetable", reps=40, seed=1)
+    out = scenarios.sweep(_with_even(_instances(spark, sf)), candidates(), "timetable", reps=40, seed=1)
     return shown(out.drop("significant"), 9)
 
 
@@ -169,7 +170,7 @@ def candidate_sweep(spark, sf):
 SELECT train_code, candidate, {fixed_sql('sum(abs(b - buffer))', 4)} AS shift, count(*) FILTER (b > 0.1 * min_run - 1e-6) AS caps_binding FROM (
   SELECT p.*, c.candidate, CASE c.candidate WHEN 'timetable' THEN buffer ELSE 0.0 END AS b FROM per_seg p CROSS JOIN (VALUES ('timetable'), ('none')) AS c(candidate)) GROUP BY 1, 2""")
 def buffer_deviation(spark, sf):
-    two = {k: CANDIDATES[k] for k in ("timetable", "none")}
+    two = {k: candidates()[k] for k in ("timetable", "none")}
     return shown(scenarios.deviation(_instances(spark, sf), two, "timetable", 0.1 * F.col("min_run")), 4)
 
 
