@@ -59,12 +59,13 @@ def clock_seconds(c: Column | str, absent: tuple[str, ...] = ABSENT_CLOCKS) -> C
 def clock_text(seconds: Column | str) -> Column:
     """Seconds, possibly past midnight or negative, as `HH:MM:SS`."""
     s = F.pmod(col(seconds).cast("int"), F.lit(FULL_DAY))
-    return F.format_string(
+    text = F.format_string(
         "%02d:%02d:%02d",
         F.floor(s / 3600).cast("int"),
         F.floor(s % 3600 / 60).cast("int"),
         (s % 60).cast("int"),
     )
+    return F.when(s.isNotNull(), text)
 
 
 def fold(d: Column | str) -> Column:
