@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times, values
+from ..session import settle
 from .journeys import JOURNEY
 from .ordered import first_by
 
@@ -36,6 +37,7 @@ def realised(prep: DataFrame) -> DataFrame:
         (F.col("sched_abs") + F.col("delay_sec")).alias("arr_abs"),
         F.col("delay_sec").alias("actual_delay_sec"),
         F.col("auto_arrival"),
+        *([F.col("consistent")] if "consistent" in prep.columns else []),
         F.lit(True).alias("on_route"),
     ]
     return first_by(prep, EVENT, ["location_order"]).select(*EVENT, *cols)
@@ -78,29 +80,16 @@ def state() -> Column:
 def score(preds: DataFrame, prep: DataFrame, polls: DataFrame) -> DataFrame:
     """Every kept prediction with its outcome, its errors and the rival's error.
 
-    Statements meet the outcome, then the polls, by event: each input is read once. A poll
-    survives the second join only in the statement's own band and before the arrival.
+    Outcomes, one row per event, are written once and read three times: by the statements,
+    by the polls, and for the journeys' verdicts. Both large inputs meet them as the side
+    that AQE can split when one event holds a large share of the rows.
     """
-    journeys = prep.groupBy(*JOURNEY).agg(F.bool_and("consistent").alias("consistent"))
-    kept = last_in_band(preds).join(realised(prep), list(EVENT), "left")
-    said = polls.select(
-        *EVENT,
-        F.col("poll_sec").alias("rival_poll_sec"),
-        F.col("eta_sec").alias("rival_eta_sec"),
-        F.col("station_group").alias("rival_group"),
-        F.col("location_order").alias("rival_order"),
-    )
-    same = F.lit(True)
-    for k in EVENT:
-        same = same & (F.col(f"k.{k}") == F.col(f"p.{k}"))
-    in_time = (F.col("rival_poll_sec") < F.col("arr_abs")) & (
-        times.band(F.col("sched_abs") - F.col("rival_poll_sec")) == F.col("lead_band")
-    )
-    met = kept.alias("k").join(said.alias("p"), same & in_time, "left").select(
-        "k.*", "rival_poll_sec", "rival_eta_sec", "rival_group", "rival_order"
-    )
+    outcome = settle(realised(prep), "outcomes")
+    journeys = outcome.groupBy(*JOURNEY).agg(F.bool_and("consistent").alias("consistent"))
     joined = (
-        first_by(met, [*EVENT, "lead_band"], [F.desc_nulls_last("rival_poll_sec"), "rival_order"])
+        last_in_band(preds)
+        .join(outcome.drop("consistent"), list(EVENT), "left")
+        .join(rival_statements(polls, outcome), [*EVENT, "lead_band"], "left")
         .join(journeys, list(JOURNEY), "left")
         .withColumn("score_state", state())
     )

@@ -8,6 +8,7 @@ from .. import views
 from ..functions import times, values
 from ..operators import calibration, drift, journeys, metrics, rollup, scoring
 from ..operators.ordered import first_by
+from ..session import settle
 from .oracle_views import VIEWS, band_sql
 from .registry import fixed_sql, query, shown
 
@@ -20,6 +21,11 @@ def scored(spark, sf):
     return scoring.score(views.predictions(moves, t), prep, views.polls(moves))
 
 
+def stored(spark, sf):
+    """Scores as the later jobs find them: written, then read."""
+    return settle(scored(spark, sf), "scores")
+
+
 ACC = f"""count(ERR) AS n, {fixed_sql('avg(abs(ERR))')} AS mae_sec,
        CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY abs(ERR) DESC) AS INT) AS medae_sec,
        {fixed_sql('avg(ERR)')} AS bias_sec""".replace("ERR", "model_err_rounded_sec")
@@ -184,7 +190,7 @@ def day_summary(spark, sf):
 SELECT scope, key, {ACC}, {COV}, {RAWCOV}, {H2H} FROM clean_slices
 WHERE service_date IN (SELECT DISTINCT service_date FROM scores ORDER BY service_date DESC LIMIT 3) GROUP BY 1, 2""")
 def rolling_window(spark, sf):
-    return shown(rollup.rolling(scored(spark, sf), days=3))
+    return shown(rollup.rolling(stored(spark, sf), days=3))
 
 
 @query("last_scored_dates_w13", """
@@ -275,7 +281,7 @@ FROM (SELECT s.*, s.actual_delay_sec AS a, coalesce(c.lo, b.lo, 0) AS lo, coales
       LEFT JOIN (SELECT * FROM forward_cal WHERE station_group IS NULL) b ON b.for_date = s.service_date AND b.lead_band = s.lead_band
       WHERE s.score_state = 'scored') GROUP BY 1""")
 def walk_forward(spark, sf):
-    return shown(calibration.walk_forward(scored(spark, sf)))
+    return shown(calibration.walk_forward(stored(spark, sf)))
 
 
 VIEWS["hits"] = """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import times, values
-from ..operators.ordered import track, whole
+from ..operators.ordered import Track, whole
 
 # The fields of the feed's records.
 MOVEMENT_FIELDS = (
@@ -91,8 +91,8 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
 def parse_movements(raw: DataFrame) -> DataFrame:
     """Typed stop rows: seconds, anchored delays, why an actual is missing, echo flag.
 
-    The furthest stop that reported anything is found per source file, which holds one
-    journey; a longer group takes the two-step plan.
+    The furthest stop that reported anything is found per source file. A file holds one
+    journey and was read by one task, so the group fits one.
     """
     absent = times.ABSENT_FULL_CLOCKS
 
@@ -106,7 +106,7 @@ def parse_movements(raw: DataFrame) -> DataFrame:
         "service_date": times.feed_date("TrainDate"),
     })
     arrived, left = values.has_clock("Arrival"), values.has_clock("Departure")
-    t = track(raw, ("source_file",), ("LocationOrder",), "LocationOrder div 1024")
+    t = Track(("source_file",), ("LocationOrder",), "LocationOrder div 1024")
     far = whole(typed, t, {"_far": F.max(F.when(arrived | left, F.col("LocationOrder")))})
     s_arr, s_dep = values.has_clock("ScheduledArrival"), values.has_clock("ScheduledDeparture")
     return far.withColumns({
