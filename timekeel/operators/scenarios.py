@@ -9,7 +9,7 @@ from ..functions import times, values
 from ..session import settle
 from .drift import bootstrap
 from .journeys import lateness
-from .ordered import Track, count_of, latest_before, neighbours, running
+from .ordered import Track, count_of, latest_before, neighbours, running, track
 
 # Fixed values.
 MIN_DAYS = 15
@@ -21,8 +21,9 @@ MIN_SEGMENT_ROWS = 30
 DAY = ("train_code", "day")
 
 
-def day_track(long: bool = False) -> Track:
-    return Track(DAY, ("stop_order",), "stop_order div 1024", long)
+def day_track(stops: DataFrame) -> Track:
+    """The track of (train, day) runs, after a check of the longest."""
+    return track(stops, DAY, ("stop_order",), "stop_order div 1024")
 
 
 def _pairs(stops: DataFrame, t: Track) -> DataFrame:
@@ -124,6 +125,7 @@ def day_costs(inst: DataFrame, candidates: dict[str, Column], long: bool = False
     """Lateness replayed under each candidate buffer: cost at the terminus and in total.
 
     Candidates are columns over the segment; they are stacked on its row, not cross-joined.
+    `long` is the day track's verdict.
     """
     stacked = inst.withColumn("_c", F.explode(F.array(*[
         F.struct(F.lit(n).alias("candidate"), c.cast("double").alias("b")) for n, c in candidates.items()
@@ -137,17 +139,18 @@ def day_costs(inst: DataFrame, candidates: dict[str, Column], long: bool = False
     )
 
 
-def sweep(inst: DataFrame, candidates: dict[str, Column], base: str, reps: int, seed: int = 0) -> DataFrame:
+def sweep(inst: DataFrame, candidates: dict[str, Column], base: str, reps: int, seed: int = 0,
+          long: bool = False) -> DataFrame:
     """Held-out mean cost of each candidate against the timetable's own, by weighting, with a
     paired bootstrap over days.
 
     Day costs, one row per (train, day, candidate), are written once: the comparison and
     the bootstrap read them several times.
     """
-    costs = settle(day_costs(with_hold_out(inst), candidates).where("held_out"), "costs")
-    long = costs.unpivot([*DAY, "candidate"], ["terminus", "uniform"], "weighting", "cost")
-    ours = long.where(F.col("candidate") != base)
-    own = long.where(F.col("candidate") == base).select(*DAY, "weighting", F.col("cost").alias("base_cost"))
+    costs = settle(day_costs(with_hold_out(inst), candidates, long).where("held_out"), "costs")
+    tall = costs.unpivot([*DAY, "candidate"], ["terminus", "uniform"], "weighting", "cost")
+    ours = tall.where(F.col("candidate") != base)
+    own = tall.where(F.col("candidate") == base).select(*DAY, "weighting", F.col("cost").alias("base_cost"))
     met = ours.join(own, [*DAY, "weighting"])
     by = ("train_code", "candidate", "weighting")
     means = met.groupBy(*by).agg(F.avg("cost").alias("held_out_cost"), F.avg("base_cost").alias("base_cost"))

@@ -67,8 +67,14 @@ VIEWS["costs"] = """
 MIN_DAYS = 12
 
 
+def _stops(spark, sf):
+    stops = views.scenario_stops(spark, sf)
+    return stops, scenarios.day_track(stops)
+
+
 def _instances(spark, sf):
-    return settle(scenarios.instances(views.scenario_stops(spark, sf), scenarios.day_track(), MIN_DAYS), "instances")
+    stops, t = _stops(spark, sf)
+    return settle(scenarios.instances(stops, t, MIN_DAYS), "instances")
 
 
 def _with_even(inst):
@@ -87,12 +93,12 @@ def scenario_view(spark, sf):
 
 @query("scenario_days_a27", "SELECT train_code, CAST(day AS VARCHAR) AS day, n_stops, drop_reason FROM days_judged")
 def scenario_days(spark, sf):
-    return shown(scenarios.classified_days(views.scenario_stops(spark, sf), scenarios.day_track())[1])
+    return shown(scenarios.classified_days(*_stops(spark, sf))[1])
 
 
 @query("scenario_drop_counts_a27", "SELECT coalesce(drop_reason, 'scenario') AS drop_reason, count(*) AS n FROM days_judged GROUP BY 1")
 def scenario_drop_counts(spark, sf):
-    days = scenarios.classified_days(views.scenario_stops(spark, sf), scenarios.day_track())[1]
+    days = scenarios.classified_days(*_stops(spark, sf))[1]
     return days.groupBy(F.coalesce("drop_reason", F.lit("scenario")).alias("drop_reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -179,7 +185,7 @@ SELECT from_code, to_code, n, {fixed_sql('sched_run')} AS sched_run, {fixed_sql(
   SELECT from_code, location_code AS to_code, count(*) AS n, quantile_cont(sched_arr_sec - from_sched_dep, 0.5) AS sched_run, quantile_cont(run_sec, 0.05) AS p5_run
   FROM seg WHERE seq > 1 AND run_sec > 0 AND run_sec < 7200 AND from_auto = '1' AND auto_arr = '1' GROUP BY 1, 2) WHERE n >= 30""")
 def network_slack(spark, sf):
-    return shown(scenarios.segment_slack(views.scenario_stops(spark, sf), scenarios.day_track()))
+    return shown(scenarios.segment_slack(*_stops(spark, sf)))
 
 
 VIEWS["gate_units"] = """

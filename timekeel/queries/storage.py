@@ -275,3 +275,15 @@ def documents_read(spark, sf):
     path = scratch_path(spark, "summaries")
     days.write.option("maxRecordsPerFile", 1).json(path)
     return logs.read_document(spark, path, days.schema)
+
+
+@query("newest_snapshot_m11", "SELECT CAST(max(CAST(ts AS DATE)) AS VARCHAR) AS newest, 12.0::DOUBLE AS age_hours, true AS fresh FROM events")
+def newest_snapshot(spark, sf):
+    """The newest stamp in the file names, and the guard that refuses an old archive."""
+    r = views.table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyyMMdd'T'000000'Z'").alias("stamp"))
+    path = scratch_path(spark, "snapshots")
+    r.select(F.col("event_id").cast("string").alias("value"), "stamp").write.partitionBy("stamp").text(path)
+    newest = logs.newest_stamp(spark, path + "/*")
+    now = newest.select(F.col("newest") + F.expr("INTERVAL 12 HOURS")).scalar()
+    out = logs.refuse_stale(newest, now)
+    return shown(out.withColumn("newest", F.col("newest").cast("date")))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 # Fixed values.
 ALWAYS = ("outcome", "predicted_at", "model_version", "train_date", "train_code", "station_code")
 PREDICTED = ("scheduled_arrival", "pred_q10_sec", "pred_q50_sec", "pred_q90_sec")
@@ -67,19 +69,18 @@ def violations(rows: DataFrame) -> DataFrame:
 def append_predictions(rows: DataFrame, path: str, service_date: Column) -> None:
     """Append to the prediction log, each row under its own service date.
 
-    Fails closed: nothing is written when any row is invalid or has no date. Readers see
-    the rows only once the write has succeeded.
+    Fails closed: nothing is written when any row is invalid or has no date. The rows are
+    staged first, so those checked are exactly those logged, ids included.
     """
-    dated = rows.withColumn("date", service_date)
+    known = F.col("prediction_id") if "prediction_id" in rows.columns else F.lit(None).cast("string")
+    dated = settle(rows.withColumns({"date": service_date, "prediction_id": F.coalesce(known, F.uuid())}), "log")
     if dated.isEmpty():
         raise LogWriteFailed("no rows to log")
     bad = violations(dated).select("missing").unionByName(
         dated.where(F.col("date").isNull()).select(F.array(F.lit("train_date")).alias("missing"))).limit(1).collect()
     if bad:
         raise LogWriteFailed(f"row missing required fields: {bad[0]['missing']}")
-    named = dated.withColumn("prediction_id", F.coalesce("prediction_id", F.uuid())) if "prediction_id" in rows.columns else (
-        dated.withColumn("prediction_id", F.uuid()))
-    named.write.mode("append").partitionBy("date").json(path)
+    dated.write.mode("append").partitionBy("date").json(path)
 
 
 def dead_letter(bad: DataFrame, path: str, kind: str) -> None:
