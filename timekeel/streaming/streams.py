@@ -92,33 +92,33 @@ VANTAGE_SCHEMA = "service_date date, train_code string, location_order int, loca
 VANTAGE_STATE = "location_order int, location_code string, delay_sec int"
 
 
-def _keep_furthest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Holds one row per train: the furthest stop reported. Emitted when the day settles."""
-    if state.hasTimedOut:
-        order, code, delay = state.get
-        state.remove()
-        yield pd.DataFrame([(*key, order, code, delay)], columns=["service_date", "train_code", "location_order", "location_code", "delay_sec"])
-        return
-    best = state.getOption
-    latest = None
-    for b in batches:
-        row = b.loc[b["location_order"].idxmax()]
-        if best is None or int(row["location_order"]) >= best[0]:
-            best = (int(row["location_order"]), str(row["location_code"]), int(row["delay_sec"]))
-        top = b["reported_at"].max()
-        latest = top if latest is None else max(latest, top)
-    state.update(best)
-    due = int(latest.timestamp() * 1000) + 1
-    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-
 def latest_vantage(stops: DataFrame, settle: str = SETTLE) -> DataFrame:
     """The furthest reported stop of each running train, closed when its reports have aged.
 
     A later report of the same stop replaces the earlier one; state is one small row a train.
+    The function is local, so it travels to the workers by value and they need no package.
     """
+    def keep_furthest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Holds one row per train: the furthest stop reported. Emitted when the day settles."""
+        if state.hasTimedOut:
+            order, code, delay = state.get
+            state.remove()
+            yield pd.DataFrame([(*key, order, code, delay)], columns=["service_date", "train_code", "location_order", "location_code", "delay_sec"])
+            return
+        best = state.getOption
+        latest = None
+        for b in batches:
+            row = b.loc[b["location_order"].idxmax()]
+            if best is None or int(row["location_order"]) >= best[0]:
+                best = (int(row["location_order"]), str(row["location_code"]), int(row["delay_sec"]))
+            top = b["reported_at"].max()
+            latest = top if latest is None else max(latest, top)
+        state.update(best)
+        due = int(latest.timestamp() * 1000) + 1
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
     return stops.withWatermark("reported_at", settle).groupBy("service_date", "train_code").applyInPandasWithState(
-        _keep_furthest, VANTAGE_SCHEMA, VANTAGE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        keep_furthest, VANTAGE_SCHEMA, VANTAGE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def merge_registry_into(base: str) -> Callable[[DataFrame, int], None]:
