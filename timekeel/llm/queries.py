@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, secrets, shards
+from . import packing, quality, secret_scan, shards
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +29,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @query
 def op3_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(documents(spark, sf_dir))
+    return secret_scan.find_secrets(documents(spark, sf_dir))
 
 
 @query
