@@ -99,6 +99,7 @@ def shuffle(df: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, block_row
     fields = [f for f in df.schema.fields if f.name not in ("shard", "slot")]
     row = F.struct(*(F.col(f"`{f.name}`") for f in fields)).alias("row")
     now = settle(df.select(row, F.spark_partition_id().cast("long").alias("part"), F.monotonically_increasing_id().alias("place")), "dealt")
+    fields = now.schema["row"].dataType.fields  # as they are read back: any may be null
     sizes = sorted((r["part"], r["n"]) for r in now.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     blocks = block_sizes(sum(n for _, n in sizes), n_shards, block_rows)
     rng = np.random.default_rng(seed)
@@ -135,7 +136,7 @@ def dealt(rows: DataFrame, sends: list, seed: int, depth: int) -> DataFrame:
         part[order] = np.repeat(np.array(what["target"][0].as_py(), dtype=np.int64), what["counts"][0].as_py())
         return pa.table({"row": mine["row"], "part": pa.array(part), "place": mine["place"]})
 
-    return rows.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(deal, rows.schema)
+    return rows.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(deal, T.StructType([rows.schema[c] for c in ("row", "part", "place")]))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
