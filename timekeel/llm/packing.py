@@ -32,8 +32,8 @@ from .tokens import encoder
 
 CAPACITY = 2048
 #: A piece longer than this share of a sequence is large.
-LARGE = 1 / 8
-GROUPS = 24
+LARGE = 1 / 3
+GROUPS = 8
 CELL_PIECES = 1 << 17
 #: Columns that the programme may add before it is rounded.
 MOST_COLUMNS = 400
