@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, quality, secret_scan, shards
+from . import language, packing, quality, secret_scan, shards, wavelet
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def op1_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+@query
+def op2_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(documents(spark, sf_dir), LEVEL_BPE)
+
+
 @query
 def op3_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(documents(spark, sf_dir))
