@@ -12,8 +12,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, near_duplicates, packing, quality, secret_scan, shards, wavelet
-from .common import documents
+from . import language, near_duplicates, neighbours, packing, quality, secret_scan, shards, wavelet
+from .common import documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,11 @@ def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
+@query
+def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"), lambda vec_id: vec_id % 100 == 0)
+
+
 @query
 def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(documents(spark, sf_dir))
