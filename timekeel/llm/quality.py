@@ -3,7 +3,7 @@
 Statistics of every whole text are transformed to a vector; per language and source the
 minimum-covariance-determinant estimate of its centre and scatter is found by concentration
 steps that Spark runs over all rows: distances, the h nearest rows, their mean and
-covariance, until no determinant falls. Deterministic starts take the place of random ones.
+covariance, until no determinant falls any more. Deterministic starts take the place of random ones.
 A text whose robust Mahalanobis distance passes the cutoff is rejected.
 
 Values are held in steps of 1/1024, so sums are exact whole numbers and every run gives the
@@ -47,9 +47,9 @@ STEP = 1024
 SUPPORT = 0.75
 MIN_GROUP = 100
 #: Tail probability, under a normal distribution, of the squared distance at which a text goes.
-TAIL = 1e-9
-MAX_STEPS = 50
-STARTS = 3
+TAIL = 1e-7
+#: Fall of the log determinant below which a start has settled.
+SETTLED = 0.02
 
 
 def repeated_words(words: list[str]) -> int:
@@ -207,32 +207,31 @@ def nearest(rows: DataFrame, params: DataFrame, sizes: DataFrame, features: tupl
 def estimates(rows: DataFrame, features: tuple[str, ...] = FEATURES, floors: tuple[float, ...] = FLOORS, share: float = SUPPORT) -> DataFrame:
     """Reweighted minimum-covariance-determinant centre and inverse scatter of each group `g`.
 
-    Starts: median and spread of each feature; the middle half by each feature at once; the
-    plain mean and covariance. The start with the least determinant after concentration wins.
+    Starts: median and spread of each feature; mean and covariance of the rows that are near
+    the median in every feature. The start with the least determinant after concentration wins.
     """
     p = len(features)
     sizes = settle(rows.groupBy("g").agg(F.count(F.lit(1)).alias("size")), "sizes")
     middle = settle(rows.groupBy("g").agg(*(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"m{i}") for i, x in enumerate(features))), "middle")
     spread = [F.greatest((F.col(f"m{i}")[2] - F.col(f"m{i}")[0]) / (1.349 * STEP), F.lit(floors[i])) for i in range(p)]
     by_median = middle.select("g", F.lit(0).alias("start"), F.array(*(F.col(f"m{i}")[1] / STEP for i in range(p))).alias("centre"),
-                              F.array(*(1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(p))).alias("inverse"), F.lit(0.0).alias("logdet"))
+                              F.array(*(1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(p))).alias("inverse"), F.lit(1e9).alias("logdet"))
     inner = [F.abs(F.col(x) - F.col(f"m{i}")[1]) <= F.greatest(F.col(f"m{i}")[2] - F.col(f"m{i}")[0], F.lit(int(floors[i] * STEP))) for i, x in enumerate(features)]
     within = inner[0]
     for c in inner[1:]:
         within = within & c
     boxed = rows.join(middle, "g").where(within).groupBy("g").agg(*sums(features)).select("g", F.lit(1).alias("start"), *packed(p))
-    plain = rows.groupBy("g").agg(*sums(features)).select("g", F.lit(2).alias("start"), *packed(p))
     factor = shrink_factor(share, p)
-    now = settle(by_median.unionByName(solve(boxed.unionByName(plain), features, floors, 1.0)), "starts")
-    reached: list = []
-    for _ in range(MAX_STEPS):
-        after = settle(solve(nearest(rows, now, sizes, features, share), features, floors, factor), "step")
-        fall = after.select("g", "start", F.col("logdet").alias("new")).join(now.select("g", "start", "logdet"), ["g", "start"])
-        moving = fall.where(F.abs(F.col("new") - F.col("logdet")) > 1e-6).limit(1).count()
-        now = after
-        reached.append(moving)
-        if not moving:
-            break
+    now = settle(by_median.unionByName(solve(boxed, features, floors, 1.0)), "starts")
+    moving = True
+    while moving:
+        # A step that doesn't lower the determinant isn't taken, so the steps come to an end.
+        after = solve(nearest(rows, now, sizes, features, share), features, floors, factor)
+        both = now.select("g", "start", F.struct("logdet", "centre", "inverse").alias("old")).join(after.select("g", "start", F.struct("logdet", "centre", "inverse").alias("new")), ["g", "start"])
+        fell = F.col("new.logdet") < F.col("old.logdet") - SETTLED
+        both = settle(both.select("g", "start", F.when(fell, F.col("new")).otherwise(F.col("old")).alias("m"), fell.alias("fell")), "step")
+        moving = both.where("fell").limit(1).count() > 0
+        now = both.select("g", "start", "m.centre", "m.inverse", "m.logdet")
     best = Window.partitionBy("g").orderBy("logdet", "start")
     best = now.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
     inside = chi2_quantile(0.975, p)
