@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, near_duplicates, neighbours, packing, quality, secret_scan, shards, wavelet
+from . import language, near_duplicates, neighbours, packing, pii, quality, secret_scan, shards, wavelet
 from .common import documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,11 @@ def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(documents(spark, sf_dir))
 
 
+@query
+def op9_contextual_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, sf_dir))
+
+
 @query
 def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), WORD_BPE)
