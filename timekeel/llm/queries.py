@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, near_duplicates, neighbours, packing, pii, quality, secret_scan, shards, wavelet
+from . import language, near_duplicates, neighbours, packing, pii, quality, secret_scan, shards, transducer, wavelet
 from .common import documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,11 @@ def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"), lambda vec_id: vec_id % 100 == 0)
 
 
+@query
+def op7_lookahead_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.round_trip(documents(spark, sf_dir), WORD_BPE)
+
+
 @query
 def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(documents(spark, sf_dir))
