@@ -1,8 +1,8 @@
 """Encoding with the tokenizers library, once for each different chunk between blanks.
 
 Both public vocabularies split a text before they merge, so what stands between blanks is
-encoded apart from the rest. A worker keeps the ids of chunks it has seen and asks the
-library's model for new ones only. Texts and chunks for which this is not certain to be the
+encoded apart from the rest. A worker keeps the ids of the first `MOST_KNOWN` different
+chunks it has seen and asks the library's model for others only. Texts and chunks for which this is not certain to be the
 same (runs of blanks, other white space, special tokens, letters beyond the Latin blocks)
 go to the library's encode whole.
 """
@@ -18,7 +18,7 @@ import numpy as np
 import regex
 
 #: Chunks that a worker remembers, and the longest that it does.
-MOST_KNOWN, LONGEST_KNOWN = 700_000, 48
+MOST_KNOWN, LONGEST_KNOWN = 500_000, 48
 #: The first character that is not taken apart here.
 BEYOND_LATIN = "\u0250"
 #: How the two kinds of vocabulary split a text (the patterns of their files).
@@ -53,7 +53,6 @@ class Encoder:
         self.letters = byte_letters()
         self.model = self.library.model
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -75,35 +74,34 @@ class Encoder:
         return chunk if self.drops_space else chunk[1:] if chunk[0] == "\0" else chunk if chunk[0] == "\n" else " " + chunk
 
     def chunk(self, chunk: str) -> bytes:
-        text, plain = self.meant(chunk), chunk.isalpha()
+        text = self.meant(chunk)
         if not text.isascii() and max(text) >= BEYOND_LATIN:
             return self.whole([text])[0]
+        plain = chunk.isalpha()
         if self.lowers:
             text = text.lower() if text.isascii() else self.library.normalizer.normalize_str(text)
-        return self.piece(text) if plain else b"".join(map(self.piece, self.split.findall(text)))
+        return self.piece(text) if plain else b"".join(map(self.known_piece, self.split.findall(text)))
+
+    def known_piece(self, piece: str) -> bytes:
+        # A word of letters is a chunk as well, without the blank before it.
+        word = piece if self.drops_space else piece[1:] if piece[0] == " " else ""
+        got = self.known.get(word) if word.isalpha() else None
+        return self.piece(piece) if got is None else got
 
     def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if piece.isascii() and piece.isalpha():
-                written = piece
-            elif piece[0] == " " and piece[1:].isalpha() and piece.isascii():
-                written = self.letters[32] + piece[1:]
-            else:
-                written = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
-            if len(piece) <= LONGEST_KNOWN:
-                self.pieces[piece] = ids
-        return ids
+        if piece.isascii() and piece.isalpha():
+            written = piece
+        elif piece[0] == " " and piece[1:].isalpha() and piece.isascii():
+            written = self.letters[32] + piece[1:]
+        else:
+            written = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         split = [self.chunks(t) if t else [] for t in texts]
         known, once = self.known, {}
-        if len(known) > MOST_KNOWN or len(self.pieces) > MOST_KNOWN:
-            known.clear()
-            self.pieces.clear()
         for chunk in set().union(*(c for c in split if c)).difference(known):
-            (known if len(chunk) <= LONGEST_KNOWN else once)[chunk] = self.chunk(chunk)
+            (known if len(chunk) <= LONGEST_KNOWN and len(known) < MOST_KNOWN else once)[chunk] = self.chunk(chunk)
         get = known.__getitem__ if not once else lambda c: known[c] if c in known else once[c]
         return [b"".join(map(get, c)) if c is not None else self.whole([t])[0] for c, t in zip(split, texts)]
 
