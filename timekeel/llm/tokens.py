@@ -21,6 +21,8 @@ import regex
 MOST_KNOWN, LONGEST_KNOWN = 500_000, 48
 #: The first character that is not taken apart here.
 BEYOND_LATIN = "\u0250"
+#: White space for Python but not for the vocabularies.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: How the two kinds of vocabulary split a text (the patterns of their files).
 LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -60,10 +62,10 @@ class Encoder:
     def chunks(self, text: str) -> list[str] | None:
         """Parts of the text that are encoded apart; None if it is not certain that they are."""
         parts = text.split()
-        if any(s in text for s in self.specials):
+        if any(s in text for s in self.specials) or any(c in text for c in SEPARATORS):
             return None
         if self.drops_space:
-            return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else parts
+            return parts
         if len(parts) != text.count(" ") + text.count("\n") + 1:
             return None
         # A chunk after a blank is encoded with it; the first, and one after a line's end, without.

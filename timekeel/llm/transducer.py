@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, ship, slices
-from .tokens import BEYOND_LATIN, WORD_PATTERN, byte_letters
+from .tokens import BEYOND_LATIN, SEPARATORS, WORD_PATTERN, byte_letters
 
 MOST_KNOWN, LONGEST_KNOWN = 400_000, 48
 NEVER = 1 << 60
@@ -223,9 +223,9 @@ class Encoder:
                 return self.word(text) if text == chunk else self.remembered(text)
         else:
             text = self.normalized(chunk)
-            if max(text) >= BEYOND_LATIN:
-                parts = [self.word(p) for p, _ in self.pieces(text)]
-                return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        if text and (max(text) >= BEYOND_LATIN or any(c in text for c in SEPARATORS)):
+            parts = [self.word(p) for p, _ in self.pieces(text)]
+            return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
         parts = [self.piece(p) for p in self.split.findall(text)]
         return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
@@ -238,7 +238,7 @@ class Encoder:
         return got
 
     def plain(self, text: str) -> list[tuple[bytes, str]]:
-        chunks = [c for c in BLANKS.split(text) if c] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        chunks = [c for c in BLANKS.split(text) if c] if any(c in text for c in SEPARATORS) else text.split()
         known, remembered = self.known, self.remembered
         return [known.get(c) or remembered(c) for c in chunks]
 
