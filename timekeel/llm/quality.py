@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from timekeel.session import settle
@@ -95,10 +94,15 @@ def statistics(docs: DataFrame) -> DataFrame:
                 c = counts(b.column(1)[i].as_py())
                 out.append([*c[:5], *vector(*c)])
             cols = list(zip(*out)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "lang", "source", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "lang", "source", "mark", *names])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    return picked.mapInArrow(rows, "doc_id long, lang string, source string, " + ", ".join(f"{n} long" for n in names))
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), mark())
+    return picked.mapInArrow(rows, "doc_id long, lang string, source string, mark long, " + ", ".join(f"{n} long" for n in names))
+
+
+def mark() -> Column:
+    """Tells rows apart that share an id or have none."""
+    return F.xxhash64("text", "lang", "source").alias("mark")
 
 
 def base_failed() -> Column:
@@ -269,5 +273,8 @@ def quality(docs: DataFrame, tail: float = TAIL, min_group: int = MIN_GROUP) ->
     return judged(statistics(docs), tail, min_group).select("doc_id", *COUNTS, "base_failed", "kept", "distance")
 
 
-#: Columns of the returned schema, for callers that build on it.
-RESULT = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("distance", T.DoubleType())])
+def accepted(docs: DataFrame, tail: float = TAIL, min_group: int = MIN_GROUP) -> DataFrame:
+    """`docs` without the documents that the rules reject."""
+    fine = judged(statistics(docs), tail, min_group).where("kept").select(F.col("doc_id").alias("k_id"), F.col("mark").alias("k_mark")).distinct()
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.join(fine, F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (mark() == F.col("k_mark")), "left_semi").select(*names)
