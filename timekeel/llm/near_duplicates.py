@@ -46,8 +46,8 @@ from .shingles import shingle_set
 SKETCH, INDEXED, COMMON, LONG = 64, 24, 32, 256
 #: Largest sets of which the long sketch must keep as much as of whole sets, and what other sets must share.
 WHOLE, SHARED = 192, 0.56
-#: Slack, in shares of a set, where a place in the long sketch stands for one in the set (four standard deviations).
-SLACK = 4 * (0.25 / LONG) ** 0.5
+#: Standard deviations of slack where a place in the long sketch stands for one in the set.
+SLACK = 5
 ESTIMATE = 0.39
 #: A link: 100 times the intersection is at least 75 times the union.
 PERCENT = 75
@@ -92,7 +92,10 @@ def long_postings(texts: DataFrame) -> DataFrame:
     must = F.ceil(F.when(F.col("n") <= WHOLE, 0.75).otherwise(SHARED) * kept)
     placed = shared.select("rep", "n", (kept - must + 1).alias("prefix"), (kept - F.size("shared")).alias("alone"), F.posexplode("shared").alias("k", "entry"))
     place = F.col("alone") + F.col("k")
-    before = F.when(F.col("n") <= LONG, place).otherwise(F.floor(F.col("n") * F.greatest(F.lit(0.0), place / LONG - SLACK)))
+    # The sketch is a draw without replacement from the set, so the share before a hash is known with this deviation.
+    share = place / LONG
+    deviation = F.sqrt(share * (1 - share) / LONG * (1 - LONG / F.col("n")))
+    before = F.when(F.col("n") <= LONG, place).otherwise(F.floor(F.col("n") * F.greatest(F.lit(0.0), share - SLACK * deviation)))
     return placed.where(place < F.col("prefix")).select(F.lit(1).alias("kind"), F.col("entry.value").alias("value"), "rep", "n", before.cast("long").alias("before")).where(4 * F.col("before") <= F.col("n"))
 
 
