@@ -60,12 +60,13 @@ def grams(text: str | None) -> np.ndarray:
         return np.zeros(0, np.int64)
     a = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
     a = np.where(is_letter()[a], a, np.uint32(32))
-    blank = a == 32
-    if blank.all():
+    if (a == 32).all():
         return np.zeros(0, np.int64)
+    a = np.concatenate([[32], a, [32]]).astype(np.uint32)
+    blank = a == 32
     keep = np.ones(len(a), dtype=bool)
     keep[1:] = ~(blank[1:] & blank[:-1])
-    a = np.concatenate([[32], a[keep], [32]]).astype(np.uint32)
+    a = a[keep]
     two = a[:-1] * np.uint32(0x9E3779B1) + a[1:] * np.uint32(0x85EBCA77)
     three = two[:-1] * np.uint32(0xC2B2AE3D) + a[2:] * np.uint32(0x27D4EB2F) + np.uint32(1)
     both = np.concatenate([two, three])

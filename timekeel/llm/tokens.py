@@ -79,9 +79,9 @@ class Encoder:
         text = self.meant(chunk)
         if not text.isascii() and max(text) >= BEYOND_LATIN:
             return self.whole([text])[0]
-        plain = chunk.isalpha()
         if self.lowers:
             text = text.lower() if text.isascii() else self.library.normalizer.normalize_str(text)
+        plain = text.isalpha() if self.drops_space else chunk.isalpha()
         return self.piece(text) if plain else b"".join(map(self.known_piece, self.split.findall(text)))
 
     def known_piece(self, piece: str) -> bytes:
