@@ -27,6 +27,7 @@ def polls(spark, rows):
     return spark.createDataFrame([(DAY, "A1", *r, "dublin_hubs") for r in rows], "service_date date, train_code string, location_code string, location_order int, poll_sec int, eta_sec int, station_group string")
 
 
+# The scoring example whose states and numbers are known.
 def fixture(spark):
     prep = journey(spark, [("A1", 1, "AAAA", 36000, 36060, "1"), ("A1", 2, "BBBB", 39600, 39780, "1"),
                            ("A1", 3, "CCCC", 43200, None, "1"), ("A1", 4, "DDDD", 46800, 46860, "0")])

@@ -113,6 +113,7 @@ def message_lines(message: Column | str, code: Column | str) -> Column:
     return F.when(leads, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
 
 
+# Fixed value: how the feed words a report.
 REPORT_PATTERN = r"^(Departed|Arrived) (.+?) next stop (.+)$"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, values
+from ..session import settle
 from .ordered import first_by
 
 # Fixed values.
@@ -30,10 +31,16 @@ def _around(lo: Column, hi: Column) -> Column:
     return F.explode(F.sequence(lo, hi))
 
 
-def spread(df: DataFrame, x: Column, y: Column, size: float, reach: float) -> DataFrame:
-    """Copy each row to every cell within `reach` of it, as `_cx`, `_cy`."""
+def reach_of_longitude(lat: Column, reach: float) -> Column:
+    """Degrees of longitude that are as long as `reach` is at 57 degrees north, where the fixed reaches were set, or longer."""
+    return F.greatest(F.lit(1.0), F.cos(F.radians(F.lit(57.0))) / F.greatest(F.cos(F.radians(lat)), F.lit(0.01))) * reach
+
+
+def spread(df: DataFrame, x: Column, y: Column, size: float, reach: float, reach_y: Column | None = None) -> DataFrame:
+    """Copy each row to every cell within `reach` of it (`reach_y` along y, if another), as `_cx`, `_cy`."""
+    along = reach if reach_y is None else reach_y
     return df.withColumn("_cx", _around(cell(x - reach, size), cell(x + reach, size))).withColumn(
-        "_cy", _around(cell(y - reach, size), cell(y + reach, size)))
+        "_cy", _around(cell(y - along, size), cell(y + along, size)))
 
 
 def nearest_station(points: DataFrame, stations: DataFrame, within_km: float = NEAR_KM) -> DataFrame:
@@ -43,7 +50,7 @@ def nearest_station(points: DataFrame, stations: DataFrame, within_km: float = N
     """
     reach = DEGREE_CELL * within_km / NEAR_KM
     st = spread(stations.select("code", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")),
-                F.col("s_lat"), F.col("s_lon"), DEGREE_CELL, reach)
+                F.col("s_lat"), F.col("s_lon"), DEGREE_CELL, reach, reach_of_longitude(F.col("s_lat"), reach))
     p = points.withColumns({"_cx": cell("lat", DEGREE_CELL), "_cy": cell("lon", DEGREE_CELL)})
     met = p.join(st, ["_cx", "_cy"], "left").withColumn("km", geodesy.km_between("lat", "lon", "s_lat", "s_lon"))
     hit = F.col("km") < within_km
@@ -96,6 +103,24 @@ def inside_rings(points: DataFrame, edges: DataFrame, band: float) -> DataFrame:
 
 
 def distance_to_rings(points: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
+    """Metres from each point to the nearest edge, however far; null if there is none.
+
+    Points with an edge within `reach` are done at once; the others are asked again with four
+    times the reach, until none is left.
+    """
+    found, rest = None, points
+    some = edges.limit(1).count() > 0
+    while some:
+        met = settle(within_reach(rest, edges, reach), "reach")
+        done = met.where("metres IS NOT NULL")
+        found = done if found is None else found.unionByName(done)
+        left = met.where("metres IS NULL").select("point_id")
+        some, reach = left.limit(1).count() > 0, 4 * reach
+        rest = rest.join(left, "point_id", "left_semi")
+    return found if found is not None else points.select("point_id", F.lit(None).cast("double").alias("metres")).distinct()
+
+
+def within_reach(points: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
     """Metres from each point to the nearest edge no further than `reach`; null beyond."""
     e = edges.withColumn("_cx", _around(cell(F.least("x0", "x1") - reach, reach), cell(F.greatest("x0", "x1") + reach, reach))).withColumn(
         "_cy", _around(cell(F.least("y0", "y1") - reach, reach), cell(F.greatest("y0", "y1") + reach, reach)))
@@ -144,14 +169,17 @@ def far_from_namesakes(stations: DataFrame, metres: float = PEER_M) -> DataFrame
 
 def moved_positions(feed: DataFrame, reference: DataFrame, metres: float = CORRECT_M) -> DataFrame:
     """Codes whose feed position is further than `metres` from the one reference position
-    of that code, and the codes at the same feed position, which move with them."""
+    of that code, and the codes at the same feed position, which move with them.
+
+    Where several codes at one position have such a reference, the largest offset moves them
+    all. Positions are reduced to that one before the join, so a position that many codes
+    share makes no pairs.
+    """
     single = reference.groupBy("code").agg(F.count(F.lit(1)).alias("_k"), F.first("x").alias("rx"), F.first("y").alias("ry")).where("_k = 1")
     met = feed.join(single, "code")
     off = met.withColumn("moved_m", geodesy.metres_between("x", "y", "rx", "ry")).where(F.col("moved_m") > metres)
-    lead = off.select(F.col("code").alias("as_code"), "x", "y", "rx", "ry", "moved_m")
-    met = feed.select("code", "x", "y").join(lead, ["x", "y"])
-    own = F.col("code") == F.col("as_code")
-    return first_by(met, ["code"], [F.desc(own), F.desc("moved_m"), "as_code"]).select("code", "as_code", "moved_m", "rx", "ry")
+    lead = first_by(off, ["x", "y"], [F.desc("moved_m"), "code"]).select(F.col("code").alias("as_code"), "x", "y", "rx", "ry", "moved_m")
+    return feed.select("code", "x", "y").join(lead, ["x", "y"]).select("code", "as_code", "moved_m", "rx", "ry")
 
 
 def best_name_match(asked: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -165,7 +193,7 @@ def best_name_match(asked: DataFrame, gazetteer: DataFrame) -> DataFrame:
         "place_id", values.tight_name_key("place_name").alias("_key"), rank.alias("rank"), "category",
         F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"),
         cell("lat", NAME_DEGREE_CELL).alias("_cx"), cell("lon", NAME_DEGREE_CELL).alias("_cy"))
-    q = spread(asked.withColumn("_key", values.tight_name_key("name")), F.col("lat"), F.col("lon"), NAME_DEGREE_CELL, NAME_DEGREE_CELL)
+    q = spread(asked.withColumn("_key", values.tight_name_key("name")), F.col("lat"), F.col("lon"), NAME_DEGREE_CELL, NAME_DEGREE_CELL, reach_of_longitude(F.col("lat"), NAME_DEGREE_CELL))
     met = q.join(g, ["_key", "_cx", "_cy"]).withColumn("km", geodesy.km_between("lat", "lon", "g_lat", "g_lon"))
     ok = met.where(F.col("km") <= F.when(F.col("category") == DISTRICT, DISTRICT_KM).otherwise(NAME_KM))
     return first_by(ok, ["code"], ["rank", "km", "place_id"]).select("code", "place_id", "category", "rank", "km")

@@ -105,6 +105,12 @@ class Boosted:
         return df
 
 
+def bins_for(encoded: DataFrame, least: int = 64) -> int:
+    """Bins that the trees need: one at least for each value of the largest vocabulary."""
+    attrs = encoded.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
+    return max([least, *(len(a.get("vals", ())) + 1 for a in attrs.get("nominal", ()))])
+
+
 def fit_boosted(encoded: DataFrame, q: float, rounds: int = ROUNDS, rate: float = RATE, depth: int = DEPTH,
                 min_leaf: int = MIN_LEAF, seed: int = 42) -> Boosted:
     """Gradient boosting of the pinball loss.
@@ -115,13 +121,14 @@ def fit_boosted(encoded: DataFrame, q: float, rounds: int = ROUNDS, rate: float
     contains the rounds before it.
     """
     start = float(encoded.agg(F.percentile(LABEL, q)).first()[0])
+    bins = bins_for(encoded)
     m = Boosted(q, start, rate)
     state = settle(encoded.select("features", F.col(LABEL).cast("double").alias("y"), F.lit(start).alias("f")), "boost")
     for r in range(rounds):
         graded = state.withColumn("g", F.when(F.col("y") >= F.col("f"), q).otherwise(q - 1))
         tree = DecisionTreeRegressor(
             labelCol="g", featuresCol="features", predictionCol="_p", leafCol="_leaf", maxDepth=depth,
-            minInstancesPerNode=min_leaf, maxBins=512, seed=seed + r).fit(graded)
+            minInstancesPerNode=min_leaf, maxBins=bins, seed=seed + r).fit(graded)
         placed = tree.transform(state)
         rows = placed.groupBy(F.col("_leaf").cast("int").alias("leaf")).agg(F.percentile(F.col("y") - F.col("f"), q).alias("v")).collect()
         leaf = {int(x["leaf"]): float(x["v"]) for x in rows}

@@ -105,12 +105,14 @@ def active_period(day: Column) -> tuple[Column, Column]:
     return F.unix_timestamp(start), F.unix_timestamp(end)
 
 
-def day_coverage(cycles: DataFrame, overlap: DataFrame) -> DataFrame:
-    """Covered against active hours per day."""
+def day_coverage(cycles: DataFrame, overlap: DataFrame, now: Column | None = None) -> DataFrame:
+    """Covered against active hours per day; the active hours of a day that isn't over end at `now` (epoch seconds)."""
     days = cycles.select(
         F.to_date(F.from_utc_timestamp(F.timestamp_seconds("cycle_sec"), times.ZONE)).alias("day")
     ).distinct()
     start, end = active_period(F.col("day"))
+    if now is not None:
+        end = F.greatest(start, F.least(end, now))
     days = days.withColumns({"_from": start, "_to": end})
     touched = overlap.withColumn("_d", F.explode(F.sequence(
         F.floor(F.col("start_sec") / 86400) - 1, F.floor(F.col("end_sec") / 86400) + 1)))

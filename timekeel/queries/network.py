@@ -285,7 +285,7 @@ SEG_T = "CASE WHEN l2 = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, ((x - x0) * (x1
 SELECT p.point_id, {fixed_sql('min(m)', 3)} AS metres FROM field p LEFT JOIN (
   SELECT point_id, sqrt((x - x0 - t * (x1 - x0)) ** 2 + (y - y0 - t * (y1 - y0)) ** 2) AS m FROM (
     SELECT *, {SEG_T} AS t FROM (SELECT p.*, s.x0, s.y0, s.x1, s.y1, CAST((s.x1 - s.x0) * (s.x1 - s.x0) + (s.y1 - s.y0) * (s.y1 - s.y0) AS DOUBLE) AS l2 FROM field p CROSS JOIN sides s))
-  ) q ON q.point_id = p.point_id AND m <= 500 GROUP BY 1""")
+  ) q ON q.point_id = p.point_id GROUP BY 1""")
 def distance_to_ring(spark, sf):
     return shown(geo.distance_to_rings(views.field_points(spark, sf), sides(spark, sf), 500.0), 3)
 
@@ -337,7 +337,7 @@ VIEWS["off"] = """
 
 @query("moved_positions_j25", f"""
 SELECT code, as_code, {fixed_sql('moved_m', 3)} AS moved_m FROM (
-  SELECT f.code, o.code AS as_code, o.moved_m, row_number() OVER (PARTITION BY f.code ORDER BY f.code = o.code DESC, o.moved_m DESC, o.code) AS rn
+  SELECT f.code, o.code AS as_code, o.moved_m, row_number() OVER (PARTITION BY f.code ORDER BY o.moved_m DESC, o.code) AS rn
   FROM places f JOIN off o ON o.x = f.x AND o.y = f.y AND o.moved_m > 300) WHERE rn = 1""")
 def moved_positions(spark, sf):
     p = places(spark, sf)

@@ -61,11 +61,19 @@ def parsed_delays(spark, sf):
 
 
 @query("tag_drift_s2", """
-SELECT tag, drift, n FROM (VALUES ('ArrayOfObjTrainMovements', 'unexpected'), ('ExpectedArrival', 'missing'), ('ExpectedDeparture', 'missing'), ('StopType', 'missing')) AS v(tag, drift),
-(SELECT 1 AS n) WHERE (SELECT count(*) FROM events) > 0""")
+SELECT 'Platform' AS tag, 'unexpected' AS drift, count(*) FILTER (location_order % 3 = 0) AS n FROM feed_rows
+UNION ALL SELECT 'Remark', 'unexpected', count(*) FROM feed_rows
+UNION ALL SELECT tag, 'missing', 0 FROM (VALUES ('ExpectedArrival'), ('ExpectedDeparture'), ('StopType')) AS v(tag) WHERE (SELECT count(*) FROM feed_rows) > 0""")
 def tag_drift(spark, sf):
-    out = feeds.tag_drift(spark, written_feed(spark, sf), "objTrainMovements", feeds.MOVEMENT_FIELDS)
-    return out.select("tag", "drift", F.lit(1).alias("n"))
+    """The feed with two fields more: one on every third row, one that is always empty."""
+    path = scratch_path(spark, "drift")
+    rows = feed_rows(spark, sf).drop("_file", "date").withColumn("Platform", F.when(F.col("LocationOrder") % 3 == 0, "1"))
+    fields = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"<{c} k='v'>" if c == "Platform" else f"<{c}>"), F.col(c).cast("string"), F.lit(f"</{c}>"))) for c in rows.columns]
+    row = F.concat(F.lit("<objTrainMovements>"), F.concat_ws("", *fields), F.lit("<Remark/></objTrainMovements>"))
+    head = spark.range(1).select(F.lit("<ArrayOfObjTrainMovements xmlns='x'>").alias("value"))
+    head.unionByName(rows.select(row.alias("value"))).write.text(path)
+    out = feeds.tag_drift(spark, path, "objTrainMovements", feeds.MOVEMENT_FIELDS)
+    return out.select("tag", "drift", F.col("count").alias("n"))
 
 
 @query("boards_from_xml_s3", """

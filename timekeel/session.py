@@ -31,11 +31,14 @@ def session(app: str = "timekeel", master: str | None = None, **conf: str) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see, as `spark.checkpoint.dir` names it.
 
-    Only a session that names none (a local test) gets a fresh temporary folder.
+    A local session that names none gets a fresh temporary folder; on a cluster that would be
+    another folder on every machine, so there it is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="timekeel-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)

@@ -130,10 +130,15 @@ def as_stops(parsed: DataFrame) -> DataFrame:
 
 
 def tag_drift(spark: SparkSession, path: str, row_tag: str, fields) -> DataFrame:
-    """Tags seen in the files that the schema lacks, and fields of it never seen."""
-    lines = spark.read.text(path)
-    tags = lines.select(F.explode(F.regexp_extract_all("value", F.lit(r"<([A-Za-z][A-Za-z0-9]*)>"), 1)).alias("tag"))
-    seen = tags.where(F.col("tag") != row_tag).groupBy("tag").count()
+    """Tags seen inside the rows of the files that the schema lacks, and fields of it never seen.
+
+    Files are cut at the rows' end tags, so a file of any length is read row by row; tags may
+    have attributes or close themselves.
+    """
+    rows = spark.read.option("lineSep", f"</{row_tag}>").text(path)
+    inside = rows.select(F.regexp_extract("value", rf"(?s)<{row_tag}(?:\s[^<>]*)?>(.*)$", 1).alias("row"))
+    tags = inside.select(F.explode(F.regexp_extract_all("row", F.lit(r"<([A-Za-z_][\w.-]*)(?:\s[^<>]*)?/?>"), F.lit(1))).alias("tag"))
+    seen = tags.groupBy("tag").count()
     expected = spark.createDataFrame([(f,) for f in fields], "tag string")
     unknown = seen.join(expected, "tag", "left_anti").select("tag", F.lit("unexpected").alias("drift"), "count")
     missing = expected.join(seen, "tag", "left_anti").select("tag", F.lit("missing").alias("drift"), F.lit(0).cast("bigint").alias("count"))

@@ -20,12 +20,15 @@ CYCLE = "5 minutes"
 GAP = "15 minutes"
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append", checkpoint: str | None = None,
+def drain(stream: DataFrame, label: str, checkpoint: str, mode: str = "append",
           each: Callable[[DataFrame, int], None] | None = None) -> str:
-    """Run a stream over what its source holds, and return the folder it wrote to."""
+    """Run a stream over what its source holds, and return the folder it wrote to.
+
+    A later run with the same checkpoint goes on where this one ended.
+    """
     spark = stream.sparkSession
     out = scratch_path(spark, label)
-    w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{out}-state").trigger(availableNow=True)
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     q = w.foreachBatch(each).start() if each else w.format("parquet").option("path", out).start()
     q.awaitTermination()
     return out
@@ -45,18 +48,24 @@ def land(raw: DataFrame) -> DataFrame:
 
 def write_cycle(base: str) -> Callable[[DataFrame, int], None]:
     """One micro-batch out as three tables: records, cycles, failures, by day. A replayed
-    batch replaces its own files."""
+    batch replaces its own files, and the cycles of the days it touches are counted again
+    over all batches, so a cycle that two batches share is one row."""
     def each(batch: DataFrame, batch_id: int) -> None:
         day = F.to_date(times.local_time("polled_at"))
         rows = batch.withColumns({"date": day, "batch": F.lit(batch_id)})
         parts = {
             "records": rows.where(~F.col("failed")),
             "failures": rows.where("failed"),
-            "cycles": rows.groupBy("date", "batch", F.window("polled_at", CYCLE)["start"].alias("cycle")).agg(
-                F.count(F.lit(1)).alias("attempted"), F.count_if("failed").alias("failed")),
         }
         for name, df in parts.items():
             df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(f"{base}/{name}")
+        days = [r["date"] for r in rows.select("date").distinct().collect()]  # the days of one batch
+        spark = batch.sparkSession
+        polls = [spark.read.schema(rows.schema).parquet(f"{base}/{name}").where(F.col("date").isin(days)) for name in parts]
+        cycles = polls[0].unionByName(polls[1]).groupBy("date", F.window("polled_at", CYCLE)["start"].alias("cycle")).agg(
+            F.count(F.lit(1)).alias("attempted"), F.count_if("failed").alias("failed"))
+        cycles = cycles.withColumn("status", F.when(F.col("failed") == 0, "complete").when(F.col("failed") < F.col("attempted"), "partial").otherwise("failed"))
+        cycles.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{base}/cycles")
     return each
 
 
@@ -89,33 +98,35 @@ def uptime_sessions(captures: DataFrame, gap: str = GAP) -> DataFrame:
 
 
 VANTAGE_SCHEMA = "service_date date, train_code string, location_order int, location_code string, delay_sec int"
-VANTAGE_STATE = "location_order int, location_code string, delay_sec int"
+VANTAGE_STATE = "location_order int, location_code string, delay_sec int, reported_ms long, latest_ms long"
 
 
 def latest_vantage(stops: DataFrame, settle: str = SETTLE) -> DataFrame:
     """The furthest reported stop of each running train, closed when its reports have aged.
 
-    A later report of the same stop replaces the earlier one; state is one small row a train.
+    Of two reports of a stop the one made later counts, whichever arrives first, and a late
+    report never brings the closing time forward; state is one small row a train.
     The function is local, so it travels to the workers by value and they need no package.
     """
     def keep_furthest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """Holds one row per train: the furthest stop reported. Emitted when the day settles."""
         if state.hasTimedOut:
-            order, code, delay = state.get
+            order, code, delay, _, _ = state.get
             state.remove()
             yield pd.DataFrame([(*key, order, code, delay)], columns=["service_date", "train_code", "location_order", "location_code", "delay_sec"])
             return
         best = state.getOption
-        latest = None
+        latest = best[4] if best else None
         for b in batches:
-            row = b.loc[b["location_order"].idxmax()]
-            if best is None or int(row["location_order"]) >= best[0]:
-                best = (int(row["location_order"]), str(row["location_code"]), int(row["delay_sec"]))
-            top = b["reported_at"].max()
+            made = b["reported_at"].astype("datetime64[us]").astype("int64") // 1000
+            b = b.assign(made=made).sort_values(["location_order", "made"], kind="stable")
+            row = b.iloc[-1]
+            if best is None or (int(row["location_order"]), int(row["made"])) >= (best[0], best[3]):
+                best = (int(row["location_order"]), str(row["location_code"]), int(row["delay_sec"]), int(row["made"]), 0)
+            top = int(made.max())
             latest = top if latest is None else max(latest, top)
-        state.update(best)
-        due = int(latest.timestamp() * 1000) + 1
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        state.update((*best[:4], latest))
+        state.setTimeoutTimestamp(max(latest + 1, state.getCurrentWatermarkMs() + 1))
 
     return stops.withWatermark("reported_at", settle).groupBy("service_date", "train_code").applyInPandasWithState(
         keep_furthest, VANTAGE_SCHEMA, VANTAGE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
