@@ -109,3 +109,28 @@ def test_published_copy_is_identical(spark):
     a, b = scratch_path(spark, "doc"), scratch_path(spark, "copy")
     sinks.publish(spark.createDataFrame([('{"n":1}',)], "value string"), a, b)
     assert spark.read.text(a).collect() == spark.read.text(b).collect()
+
+
+def test_nothing_is_published_when_the_log_refuses(spark, tmp_path):
+    from timekeel.plans import serve
+    rows = spark.createDataFrame([("predicted", None, dt.date(2024, 1, 2), "T1", "AAAA", 600, "5-15 min", 36000, -60, 30, 90, -60, 90)],
+                                 "outcome string, reason string, service_date date, train_code string, location_code string, lead_sec int, lead_band string, target_sched_sec int, q10_sec int, q50_sec int, q90_sec int, served_q10_sec int, served_q90_sec int")
+    at = F.lit("2024-01-02 10:00:00").cast("timestamp")
+    bad = rows.withColumn("q50_sec", F.lit(None).cast("int"))
+    with pytest.raises(sinks.LogWriteFailed):
+        serve.serve(bad, "v1", at, f"{tmp_path}/log", f"{tmp_path}/out")
+    assert not (tmp_path / "log").exists() and not (tmp_path / "out").exists()
+    serve.serve(rows, "v1", at, f"{tmp_path}/log", f"{tmp_path}/out")
+    assert spark.read.json(f"{tmp_path}/log").count() == spark.read.text(f"{tmp_path}/out").count() == 1
+
+
+def test_training_job_reads_back_what_it_fitted(spark, small, tmp_path):
+    from timekeel import views
+    from timekeel.operators import journeys
+    from timekeel.plans import train
+    moves, t = views.movements(spark, small)
+    prep = journeys.prepared(moves, t)
+    ex = journeys.examples(journeys.observed(prep.where("consistent"), t), t)
+    report = train.train(spark, ex, {"train": ("2024-01-01", "2024-01-19"), "test": ("2024-01-20", "2024-12-31")}, str(tmp_path), "v1", rounds=2, depth=3).collect()
+    assert {r["predictor"] for r in report} == {"model", "persistence"}
+    assert all(0 < r["loss50"] < 1e5 for r in report)

@@ -80,6 +80,31 @@ def with_recent_delays(obs: DataFrame, t: Track) -> DataFrame:
     })
 
 
+def features(vantage, target, passthrough=()) -> list[Column]:
+    """What a model may know, from the stop it speaks at and the stop it speaks of.
+
+    `vantage` and `target` give a stop's field as a column. Training examples and served
+    predictions take their features from here alone.
+    """
+    return [
+        times.weekday_name("service_date").alias("day_of_week"),
+        vantage("location_order").alias("vantage_order"),
+        target("location_order").alias("target_order"),
+        vantage("location_code").alias("vantage_location"),
+        target("location_code").alias("target_location"),
+        vantage("sched_sec").alias("vantage_sched_sec"),
+        target("sched_sec").alias("target_sched_sec"),
+        times.clock_hour(vantage("sched_sec")).alias("vantage_hour"),
+        times.clock_minute(vantage("sched_sec")).alias("vantage_minute_of_day"),
+        *passthrough,
+        vantage("delay_sec").alias("current_delay_sec"),
+        vantage("prev_delay_sec").alias("prev_delay_sec"),
+        vantage("prev2_delay_sec").alias("prev2_delay_sec"),
+        (target("location_order") - vantage("location_order")).alias("horizon_route_stops"),
+        times.fold(target("sched_sec") - vantage("sched_sec")).alias("horizon_sched_sec"),
+    ]
+
+
 def examples(obs: DataFrame, t: Track, horizons=HORIZONS) -> DataFrame:
     """Vantage stop paired with the observed stop h ranks ahead, for each horizon h.
 
@@ -103,21 +128,8 @@ def examples(obs: DataFrame, t: Track, horizons=HORIZONS) -> DataFrame:
     passthrough = [c for c in ("station_group", "train_origin", "train_destination") if c in obs.columns]
     return pairs.select(
         "service_date", "train_code",
-        times.weekday_name("service_date").alias("day_of_week"),
-        v("location_order").alias("vantage_order"),
-        s("location_order").alias("target_order"),
-        v("location_code").alias("vantage_location"),
-        s("location_code").alias("target_location"),
-        v("sched_sec").alias("vantage_sched_sec"),
-        s("sched_sec").alias("target_sched_sec"),
-        times.clock_hour("sched_sec").alias("vantage_hour"),
-        times.clock_minute("sched_sec").alias("vantage_minute_of_day"),
-        *passthrough,
-        v("delay_sec").alias("current_delay_sec"),
-        "prev_delay_sec", "prev2_delay_sec",
+        *features(v, s, passthrough),
         F.col("_pair.h").alias("horizon_observed_stops"),
-        (s("location_order") - v("location_order")).alias("horizon_route_stops"),
-        times.fold(s("sched_sec") - v("sched_sec")).alias("horizon_sched_sec"),
         v("auto_arrival").alias("auto_vantage"),
         s("auto_arrival").alias("auto_target"),
         s("delay_sec").alias("target_delay_sec"),

@@ -28,6 +28,8 @@ CATEGORICAL = ("day_of_week", "vantage_location", "target_location", "train_orig
 QUANTILES = (0.1, 0.5, 0.9)
 ROUNDS, RATE, DEPTH, MIN_LEAF = 100, 0.1, 5, 20
 LABEL = "target_delay_sec"
+#: Stands for a category that is not known.
+MISSING = "(missing)"
 
 
 def categorical(df: DataFrame) -> list[str]:
@@ -65,12 +67,12 @@ def apply_cells(ex: DataFrame, cells: DataFrame) -> DataFrame:
 # ---- boosted trees
 
 def encoder(df: DataFrame) -> Pipeline:
-    """Categories by training vocabulary, unseen and missing to an extra index; numbers with
-    a missing flag each."""
+    """Categories by training vocabulary, in which missing is a category of its own and unseen
+    ones get an extra index; numbers with a missing flag each."""
     cats = categorical(df)
     filled = [f"{c}_f" for c in NUMERIC]
     return Pipeline(stages=[
-        StringIndexer(inputCols=cats, outputCols=[f"{c}_i" for c in cats], handleInvalid="keep", stringOrderType="alphabetAsc"),
+        StringIndexer(inputCols=[f"{c}_c" for c in cats], outputCols=[f"{c}_i" for c in cats], handleInvalid="keep", stringOrderType="alphabetAsc"),
         Imputer(inputCols=[f"{c}_d" for c in NUMERIC], outputCols=filled, strategy="median"),
         VectorAssembler(inputCols=[*filled, *[f"{c}_m" for c in NUMERIC], *[f"{c}_i" for c in cats]], outputCol="features"),
     ])
@@ -80,9 +82,17 @@ def numbers(df: DataFrame) -> DataFrame:
     return df.withColumns({
         **{f"{c}_d": F.col(c).cast("double") for c in NUMERIC},
         **{f"{c}_m": F.col(c).isNull().cast("double") for c in NUMERIC},
+        **{f"{c}_c": F.coalesce(F.col(c), F.lit(MISSING)) for c in categorical(df)},
     })
 
 
+def fit_encoder(df: DataFrame) -> PipelineModel:
+    """The encoder of numbered training rows. A row without any value joins them, so missing
+    has its index even if no category is missing in training; medians pass over it."""
+    none = df.limit(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields))
+    return encoder(df).fit(df.unionByName(numbers(none.select(*(c for c in df.columns if not c.endswith(("_d", "_m", "_c"))))).select(*df.columns)))
+
+
 @dataclass
 class Boosted:
     """One quantile's model: a start value, and per round a tree and a value per leaf."""

@@ -58,6 +58,8 @@ def decide(requests: DataFrame, prep: DataFrame, t: Track) -> DataFrame:
         "reason",
         F.when(F.col("consistent"), lead).alias("lead_sec"),
         F.when(F.col("consistent"), times.band(lead)).alias("lead_band"),
+        F.when(said, F.col("vantage_order")).alias("vantage_order"),
+        F.when(said, F.col("target_order")).alias("target_order"),
         F.when(said | late, F.col("vantage_location")).alias("vantage_location"),
         F.when(said | late, F.col("vantage_delay_sec")).alias("vantage_delay_sec"),
         F.when(said, F.col("vantage_auto")).alias("vantage_auto"),

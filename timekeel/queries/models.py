@@ -76,17 +76,20 @@ def pinball_loss(spark, sf):
 
 
 @query("category_vocabulary_m2", """
-SELECT location, CAST(CASE WHEN known THEN rn - 1 ELSE (SELECT count(DISTINCT target_location) FROM train_ex) END AS DOUBLE) AS idx FROM (
+SELECT location, CAST(CASE WHEN known THEN rn ELSE (SELECT count(DISTINCT target_location) FROM train_ex) + 1 END AS DOUBLE) AS idx FROM (
   SELECT location, true AS known, row_number() OVER (ORDER BY location) AS rn FROM (SELECT DISTINCT target_location AS location FROM train_ex)
-  UNION ALL SELECT 'never seen', false, 0)""")
+  UNION ALL SELECT 'never seen', false, 0) UNION ALL SELECT NULL, 0""")
 def category_vocabulary(spark, sf):
-    from pyspark.ml.feature import StringIndexer
+    """Each category's index, that of one never seen, and that of a missing one."""
     tr, _ = halves(spark, sf)
-    fitted = StringIndexer(inputCol="location", outputCol="idx", handleInvalid="keep", stringOrderType="alphabetAsc").fit(
-        tr.select(F.col("target_location").alias("location")))
-    every = tr.select(F.col("target_location").alias("location")).distinct()
-    unseen = every.agg(F.lit("never seen").alias("location"))
-    return fitted.transform(every.unionByName(unseen)).select("location", "idx")
+    tr = model.numbers(tr)
+    fitted = model.fit_encoder(tr)
+    every = tr.select("target_location").distinct()
+    rest = spark.createDataFrame([("never seen",), (None,)], "target_location string")
+    asked = every.unionByName(rest)
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in tr.schema.fields if f.name != "target_location" and not f.name.endswith(("_d", "_m", "_c"))]
+    asked = model.numbers(asked.select("target_location", *blank))
+    return fitted.transform(asked).select(F.col("target_location").alias("location"), F.col("target_location_i").alias("idx"))
 
 
 ROUNDS, DEPTH = 3, 4
@@ -95,7 +98,7 @@ ROUNDS, DEPTH = 3, 4
 def boosted(spark, sf, quantiles=(0.5,)):
     tr, ev = halves(spark, sf)
     tr, ev = settle(model.numbers(tr), "train"), settle(model.numbers(ev), "eval")
-    enc = model.encoder(tr).fit(tr)
+    enc = model.fit_encoder(tr)
     encoded = settle(enc.transform(tr).select("features", model.LABEL), "encoded")
     models = [model.fit_boosted(encoded, q, rounds=ROUNDS, rate=0.3, depth=DEPTH) for q in quantiles]
     return enc, models, enc.transform(ev), enc.transform(tr)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import times
-from ..operators import board, journeys, predict, scoring
+from ..operators import board, calibration, journeys, model, predict, scoring
 from ..operators.asof import ranked_reports, vantage_of_any, vantage_of_consistent
 from ..operators.ordered import first_by
+from ..plans import serve
 from .oracle_views import VIEWS, band_sql
 from .registry import fixed_sql, query, shown
 
@@ -53,7 +54,7 @@ def asked(moves, t):
 
 def decided(spark, sf):
     moves, t = views.movements(spark, sf)
-    return predict.decide(asked(moves, t), journeys.prepared(moves, t), t)
+    return predict.decide(asked(moves, t), journeys.prepared(moves, t), t).drop("vantage_order", "target_order")
 
 
 @query("predict_or_decline_m7", f"""
@@ -309,3 +310,33 @@ def station_config(spark, sf):
     moves, _ = views.movements(spark, sf)
     groups = moves.select(F.lower("location_code").alias("code"), "station_group").distinct()
     return board.station_config(groups, views.stations(moves).select("code", "name")).select("code", "name", "station_group")
+
+
+VIEWS["told"] = """
+  SELECT d.*, v.delay_sec AS current_delay_sec, v.sched_sec AS v_sec, s.sched_sec AS target_sched_sec,
+         ((s.sched_sec - v.sched_sec + 43200) % 86400 + 86400) % 86400 - 43200 AS ahead_sec
+  FROM (SELECT * FROM decided WHERE reason IS NULL) d
+  JOIN prep v ON v.service_date = d.service_date AND v.train_code = d.train_code AND v.location_order = d.vantage_order
+  JOIN prep s ON s.service_date = d.service_date AND s.train_code = d.train_code AND s.location_order = d.target_order"""
+VIEWS["told_cells"] = f"""
+  SELECT t.*, current_delay_sec + coalesce(c.d10, b.d10, o.d10) AS q10, current_delay_sec + coalesce(c.d50, b.d50, o.d50) AS q50, current_delay_sec + coalesce(c.d90, b.d90, o.d90) AS q90
+  FROM (SELECT *, {band_sql('ahead_sec')} AS ahead_band, {band_sql('(sched_abs - at_sec)')} AS lead_band FROM told) t LEFT JOIN (SELECT * FROM cell_model WHERE level = 0) c ON c.target_location = t.location_code AND c.band = t.ahead_band
+  LEFT JOIN (SELECT * FROM cell_model WHERE level = 2) b ON b.band = t.ahead_band CROSS JOIN (SELECT * FROM cell_model WHERE level = 3) o"""
+VIEWS["told_sorted"] = """
+  SELECT *, list_sort([q10, q50, q90]) AS q FROM told_cells"""
+
+
+@query("served_predictions_e3", """
+SELECT CAST(t.service_date AS VARCHAR) AS service_date, t.train_code, t.location_code, at_sec, CAST(round_even(q[2], 0) AS INTEGER) AS q50_sec,
+       least(CAST(round_even(q[1], 0) AS INTEGER) + coalesce(b.lo, 0), CAST(round_even(q[2], 0) AS INTEGER)) AS served_q10_sec,
+       greatest(CAST(round_even(q[3], 0) AS INTEGER) + coalesce(b.hi, 0), CAST(round_even(q[2], 0) AS INTEGER)) AS served_q90_sec
+FROM told_sorted t LEFT JOIN (SELECT * FROM cal WHERE station_group IS NULL) b ON b.lead_band = coalesce(t.lead_band, '0-5 min')""")
+def served_predictions(spark, sf):
+    """Cell quantiles on served features, calibrated by the bands of the scored predictions."""
+    from .models import halves
+    from .scores import scored
+    moves, t = views.movements(spark, sf)
+    cells = model.fit_cells(halves(spark, sf)[0])
+    cal = calibration.fit(calibration.residuals(scored(spark, sf)))
+    rows = serve.predictions(asked(moves, t), journeys.prepared(moves, t), t, lambda ex: model.apply_cells(ex, cells), cal)
+    return shown(rows.where("outcome = 'predicted'").select(*EVENT, "at_sec", "q50_sec", "served_q10_sec", "served_q90_sec"))
