@@ -11,7 +11,7 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, ImputerModel, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,8 +173,11 @@ def importance(encoded: DataFrame, m: Boosted) -> dict[str, float]:
     return {k: v / whole for k, v in sorted(total.items(), key=lambda kv: -kv[1])}
 
 
-def _digest(features: list[str], models: list[Boosted]) -> str:
-    text = json.dumps([features, [[m.quantile, m.start, m.rate, [sorted(leaf.items()) for leaf in m.leaves]] for m in models]])
+def _digest(features: list[str], enc: PipelineModel, models: list[Boosted]) -> str:
+    """Over everything that a prediction depends on: vocabularies, medians, trees, leaf values."""
+    labels = [list(map(list, s.labelsArray)) for s in enc.stages if isinstance(s, StringIndexerModel)]
+    medians = [list(map(str, s.surrogateDF.first())) for s in enc.stages if isinstance(s, ImputerModel)]
+    text = json.dumps([features, labels, medians, [[m.quantile, m.start, m.rate, [t.toDebugString for t in m.trees], [sorted(leaf.items()) for leaf in m.leaves]] for m in models]])
     return hashlib.sha256(text.encode()).hexdigest()
 
 
@@ -187,7 +190,7 @@ def save(spark: SparkSession, path: str, version: str, enc: PipelineModel, model
         for i, tree in enumerate(m.trees):
             tree.write().overwrite().save(f"{root}/q{int(m.quantile * 100)}/tree{i}")
     manifest = {
-        "version": version, "features": features, "digest": _digest(features, models), "metrics": metrics,
+        "version": version, "features": features, "digest": _digest(features, enc, models), "metrics": metrics,
         "models": [{"quantile": m.quantile, "start": m.start, "rate": m.rate,
                     "leaves": [sorted(leaf.items()) for leaf in m.leaves]} for m in models],
     }
@@ -206,9 +209,10 @@ def load(spark: SparkSession, path: str, features: list[str], version: str | Non
     for m in manifest["models"]:
         trees = [DecisionTreeRegressionModel.load(f"{root}/q{int(m['quantile'] * 100)}/tree{i}") for i in range(len(m["leaves"]))]
         models.append(Boosted(m["quantile"], m["start"], m["rate"], trees, [{int(k): v for k, v in leaf} for leaf in m["leaves"]]))
-    if _digest(list(features), models) != manifest["digest"]:
+    enc = PipelineModel.load(f"{root}/encoder")
+    if _digest(list(features), enc, models) != manifest["digest"]:
         raise ValueError(f"{version} does not match its manifest")
-    return PipelineModel.load(f"{root}/encoder"), models, manifest
+    return enc, models, manifest
 
 
 def _put(spark: SparkSession, path: str, text: str) -> None:

@@ -104,28 +104,35 @@ def boosted(spark, sf, quantiles=(0.5,)):
     return enc, models, enc.transform(ev), enc.transform(tr)
 
 
-@query("boosted_quantiles_m3_p24")
+@query("boosted_quantiles_m3_p24", """
+SELECT count(*) AS n, 0 AS crossed_after, true AS better10, true AS better50, true AS better90 FROM train_ex""")
 def boosted_quantiles(spark, sf):
-    """Pinball loss of the boosted model and of the start values alone, and the crossings."""
-    _, models, ev, _ = boosted(spark, sf, model.QUANTILES)
-    p = model.predict_all(ev, models)
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if("crossed").alias("crossed"),
+    """Over the rows of the fit: crossings left after ordering, and whether each quantile's loss is below that of its start value."""
+    _, models, _, tr = boosted(spark, sf, model.QUANTILES)
+    p = model.predict_all(tr, models)
+    aggs = [F.count(F.lit(1)).alias("n"),
             F.count_if((F.col("q10") > F.col("q50")) | (F.col("q50") > F.col("q90"))).alias("crossed_after")]
     for m in models:
         k = int(m.quantile * 100)
-        aggs.append(F.avg(metrics.pinball(model.LABEL, f"q{k}", m.quantile)).alias(f"loss{k}"))
-        aggs.append(F.avg(metrics.pinball(F.col(model.LABEL), F.lit(m.start), m.quantile)).alias(f"start_loss{k}"))
-    return shown(p.agg(*aggs))
+        fitted, started = metrics.pinball(model.LABEL, f"q{k}", m.quantile), metrics.pinball(F.col(model.LABEL), F.lit(m.start), m.quantile)
+        aggs.append((F.avg(fitted) < F.avg(started)).alias(f"better{k}"))
+    return p.agg(*aggs)
 
 
-@query("gain_importance_m5")
+@query("gain_importance_m5", """
+SELECT feature, true AS within, 1.0::DOUBLE AS all_shares FROM (VALUES ('current_delay_sec'), ('prev_delay_sec'), ('prev2_delay_sec'), ('horizon_route_stops'), ('horizon_sched_sec'),
+  ('vantage_hour'), ('vantage_minute_of_day'), ('day_of_week'), ('vantage_location'), ('target_location')) AS v(feature) WHERE (SELECT count(*) FROM train_ex) > 0""")
 def gain_importance(spark, sf):
+    """Every feature, whether its share of the gain is between 0 and 1, and the sum of all shares."""
     _, models, _, tr = boosted(spark, sf)
     share = model.importance(tr, models[0])
-    return spark.createDataFrame([(k, float(v)) for k, v in share.items()], "feature string, share double")
+    names = [*model.NUMERIC, *model.categorical(tr)]
+    rows = [(k, float(share.get(k, 0.0))) for k in names]
+    whole = round(sum(v for _, v in rows), 6)
+    return spark.createDataFrame([(k, 0 <= v <= 1, whole) for k, v in rows], "feature string, within boolean, all_shares double")
 
 
-@query("artifact_round_trip_m4_m6")
+@query("artifact_round_trip_m4_m6", "SELECT 'rows' AS part, count(*) AS n FROM eval_ex UNION ALL SELECT 'differ', 0")
 def artifact_round_trip(spark, sf):
     """Saved, loaded and applied again: rows that differ from the first predictions."""
     enc, models, ev, _ = boosted(spark, sf)
