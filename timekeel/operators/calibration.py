@@ -92,17 +92,18 @@ def served(preds: DataFrame) -> DataFrame:
 
 
 def walk_forward(scored: DataFrame, days: int = WINDOW_DAYS, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Each date served with a calibration fitted on the `days` before it only.
+    """Each week, from Monday, served with a calibration fitted on the `days` before it only.
 
-    A residual contributes to the dates that follow it within the window: it is copied to
-    each such date by equality, so the fit is one ordinary grouped aggregate.
+    A residual contributes to the weeks that begin within `days` after it, two of them for 14
+    days: it is copied to each by equality, so the fit is one ordinary grouped aggregate.
     """
-    dates = scored.select(F.col("service_date").alias("for_date")).distinct()
-    res = residuals(scored).withColumn(
-        "for_date", F.explode(F.sequence(F.date_add("service_date", 1), F.date_add("service_date", days)))
-    ).join(dates, "for_date", "left_semi")
+    week = F.date_trunc("week", "service_date").cast("date")
+    weeks = scored.select(week.alias("for_date")).distinct()
+    begins = F.sequence(F.next_day("service_date", "MON"), F.date_add(F.next_day("service_date", "MON"), days), F.expr("INTERVAL 7 DAYS"))
+    begins = F.filter(begins, lambda w: w <= F.date_add("service_date", days))
+    res = residuals(scored).withColumn("for_date", F.explode(begins)).join(weeks, "for_date", "left_semi")
     cal = fit(res, keep=("for_date",), min_rows=min_rows)
-    clean = scored.where(F.col("score_state") == "scored").withColumn("for_date", F.col("service_date"))
+    clean = scored.where(F.col("score_state") == "scored").withColumn("for_date", week)
     out = served(with_offsets(clean, cal, keep=("for_date",)))
     a = F.col("actual_delay_sec")
     return out.groupBy("service_date").agg(

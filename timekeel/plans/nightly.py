@@ -47,10 +47,14 @@ def derive(spark: SparkSession, scores: str, schema, out: str) -> None:
     rows = spark.read.schema(schema).json(scores)
     days = rollup.day_summary(rows)
     days.write.mode("overwrite").parquet(f"{out}/days")
-    rollup.rolling(rows).write.mode("overwrite").parquet(f"{out}/rolling")
+    # The latest dates are known from the folders, so older ones are not read.
+    dates = sinks.partition_values(spark, scores) or []
+    last = rows.where(F.col("date") >= F.lit(min(dates[-rollup.ROLLING_DAYS:], default="")))
+    fitted = rows.where(F.col("date") >= F.lit(min(dates[-calibration.WINDOW_DAYS:], default="")))
+    rollup.rolling(last).write.mode("overwrite").parquet(f"{out}/rolling")
     written = spark.read.parquet(f"{out}/days")
     rollup.cumulative(written).write.mode("overwrite").parquet(f"{out}/cumulative")
-    recent = rows.join(calibration.recent_dates(rows, calibration.WINDOW_DAYS), "service_date", "left_semi")
+    recent = fitted.join(calibration.recent_dates(fitted, calibration.WINDOW_DAYS), "service_date", "left_semi")
     calibration.fit(calibration.residuals(recent)).write.mode("overwrite").parquet(f"{out}/calibration")
     drift.coverage_trigger(drift.daily_hits(rows)).write.mode("overwrite").parquet(f"{out}/drift")
     quiet = written.where("alarm").select("service_date").limit(5).collect()

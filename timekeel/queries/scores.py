@@ -266,7 +266,7 @@ def calibrated_range(spark, sf):
 
 VIEWS["forward_res"] = """
   SELECT d.service_date AS for_date, r.* EXCLUDE (service_date) FROM residuals r
-  JOIN (SELECT DISTINCT service_date FROM scores) d ON r.service_date < d.service_date AND r.service_date >= d.service_date - 14"""
+  JOIN (SELECT DISTINCT CAST(date_trunc('week', service_date) AS DATE) AS service_date FROM scores) d ON r.service_date < d.service_date AND r.service_date >= d.service_date - 14"""
 VIEWS["forward_cal"] = fit_sql("forward_res", "for_date")
 
 
@@ -277,8 +277,8 @@ SELECT CAST(service_date AS VARCHAR) AS service_date, count(*) AS n,
        {fixed_sql('quantile_cont(q90_sec - q10_sec, 0.5)')} AS width_before_sec,
        {fixed_sql('quantile_cont(greatest(q90_sec + hi, q50_sec) - least(q10_sec + lo, q50_sec), 0.5)')} AS width_after_sec
 FROM (SELECT s.*, s.actual_delay_sec AS a, coalesce(c.lo, b.lo, 0) AS lo, coalesce(c.hi, b.hi, 0) AS hi FROM scores s
-      LEFT JOIN (SELECT * FROM forward_cal WHERE station_group IS NOT NULL) c ON c.for_date = s.service_date AND c.station_group = s.station_group AND c.lead_band = s.lead_band
-      LEFT JOIN (SELECT * FROM forward_cal WHERE station_group IS NULL) b ON b.for_date = s.service_date AND b.lead_band = s.lead_band
+      LEFT JOIN (SELECT * FROM forward_cal WHERE station_group IS NOT NULL) c ON c.for_date = CAST(date_trunc('week', s.service_date) AS DATE) AND c.station_group = s.station_group AND c.lead_band = s.lead_band
+      LEFT JOIN (SELECT * FROM forward_cal WHERE station_group IS NULL) b ON b.for_date = CAST(date_trunc('week', s.service_date) AS DATE) AND b.lead_band = s.lead_band
       WHERE s.score_state = 'scored') GROUP BY 1""")
 def walk_forward(spark, sf):
     return shown(calibration.walk_forward(stored(spark, sf)))

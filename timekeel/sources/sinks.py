@@ -25,11 +25,19 @@ def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("date",))
 
 
 def existing(spark: SparkSession, path: str, by: str = "date") -> DataFrame | None:
+    """The partition values of a table, from the names of its folders; no file is read."""
+    values = partition_values(spark, path, by)
+    return None if values is None else spark.createDataFrame([(v,) for v in values], f"{by} string")
+
+
+def partition_values(spark: SparkSession, path: str, by: str = "date") -> list[str] | None:
+    """Sorted values of the first partition column; None if the table isn't there. One entry a folder."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
         return None
-    return spark.read.parquet(path).select(by).distinct()
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop) if s.isDirectory()]
+    return sorted(n[len(by) + 1:] for n in names if n.startswith(f"{by}="))
 
 
 def pending(df: DataFrame, path: str, by: str = "date", force: bool = False) -> DataFrame:
