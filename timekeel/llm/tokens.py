@@ -53,7 +53,9 @@ class Encoder:
         self.split = regex.compile(WORD_PATTERN if self.drops_space else LEVEL_PATTERN)
         self.lowers = config["normalizer"] is not None
         self.letters = byte_letters()
+        self.blank = self.letters[32]
         self.model = self.library.model
+        self.tokenize = self.model.tokenize
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -76,6 +78,9 @@ class Encoder:
         return chunk if self.drops_space else chunk[1:] if chunk[0] == "\0" else chunk if chunk[0] == "\n" else " " + chunk
 
     def chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha() and chunk.isascii():
+            written = (chunk.lower() if self.lowers else chunk) if self.drops_space else self.blank + chunk
+            return array("I", [t.id for t in self.tokenize(written)]).tobytes()
         text = self.meant(chunk)
         if not text.isascii() and max(text) >= BEYOND_LATIN:
             return self.whole([text])[0]
@@ -94,10 +99,10 @@ class Encoder:
         if piece.isascii() and piece.isalpha():
             written = piece
         elif piece[0] == " " and piece[1:].isalpha() and piece.isascii():
-            written = self.letters[32] + piece[1:]
+            written = self.blank + piece[1:]
         else:
             written = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(written)]).tobytes()
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         split = [self.chunks(t) if t else [] for t in texts]

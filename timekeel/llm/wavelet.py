@@ -60,11 +60,11 @@ class WaveletMatrix:
         now = ids.astype(np.uint16) if levels <= 16 else ids
         planes, zeros = [], []
         for level in range(levels - 1, -1, -1):
-            bit = (now >> level & 1).astype(bool)
+            bit = (now & now.dtype.type(1 << level)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            low = now[~bit]
+            low = np.compress(~bit, now)
             zeros.append(len(low))
-            now = np.concatenate([low, now[bit]])
+            now = np.concatenate([low, np.compress(bit, now)])
         return cls(len(ids), planes, zeros)
 
     def ids(self) -> np.ndarray:
@@ -75,8 +75,8 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
             # `now` follows the order after this plane; first those with a 0, then those with a 1.
             here = np.empty(self.n, dtype=kind)
-            here[~bit] = now[: self.zeros[level]]
-            here[bit] = now[self.zeros[level]:] | kind(1 << (self.levels - 1 - level))
+            np.place(here, ~bit, now[: self.zeros[level]])
+            np.place(here, bit, now[self.zeros[level]:] | kind(1 << (self.levels - 1 - level)))
             now = here
         return now.astype(np.uint32)
 
