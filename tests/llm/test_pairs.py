@@ -1,5 +1,6 @@
 """Near-duplicates and nearest neighbours against brute force."""
 
+import random
 import re
 
 import numpy as np
@@ -55,6 +56,21 @@ def test_every_list_is_common_and_sketches_are_short(docs, rows, monkeypatch):
     assert all(got[i] == v[1] for i, v in want.items())
 
 
+def test_cut_copies_of_large_groups(spark):
+    """40 variants of each text share nearly all hashes; a copy cut to 80 to 88 % has a sketch that reaches further."""
+    rng = random.Random(1)
+    made = []
+    for g, n in enumerate((300, 330, 345, 360, 450, 700)):
+        for k, part in enumerate((0.80, 0.84, 0.88)):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            at = 1000 * (3 * g + k)
+            made += [(at + i, " ".join([*base[:-1], f"v{i}"])) for i in range(40)]
+            made.append((at + 100, " ".join(base[:int(n * part)])))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    want = {i: v[1] for k in range(18) for i, v in brute([m for m in made if m[0] // 1000 == k]).items()}
+    assert want[100] == 0 and got == want
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(300, 200), (200, 300)]
     got = {r["node"]: r["label"] for r in near_duplicates.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -17,7 +17,8 @@
    comparisons among themselves; the others are compared with every member of another component.
    So lists cost about their length, no link between components is missed, and components
    are exact.
-5. A pair is first dropped if what stands before the common hash leaves too little to share,
+5. A pair is first dropped if what stands before the common hash leaves too little to share
+   (of the longer-reaching sketch only what lies below the other's end for sure),
    then if its bottom-k union sketch shares under 39 % (chance under 1e-8 for a similar pair),
    and is then confirmed on the whole sets of both texts.
 6. Components come from alternating large and small stars over the links.
@@ -37,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from timekeel.session import settle
 
@@ -49,6 +51,10 @@ WHOLE, SHARED = 192, 0.56
 #: Standard deviations of slack where a place in the long sketch stands for one in the set.
 SLACK = 5
 ESTIMATE = 0.39
+#: Where the sketch of a set that fits whole ends.
+END = (1 << 63) - 1
+#: What a list holds of each member.
+MEMBER = ("rep", "n", "end", "before", "least_before")
 #: A link: 100 times the intersection is at least 75 times the union.
 PERCENT = 75
 
@@ -71,9 +77,19 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def may_link(n_a: Column, before_a: Column, n_b: Column, before_b: Column) -> Column:
-    """Whether enough stands at and after the common hash: the overlap must be 3/7 of both sizes."""
-    return 7 * F.least(n_a - before_a, n_b - before_b) >= 3 * (n_a + n_b)
+def may_link(a: str, b: str) -> Column:
+    """Whether enough stands at and after the common hash: the overlap must be 3/7 of both sizes.
+
+    `a` and `b` are prefixes of columns. Values above the end of the other's sketch may be in the other set, so
+    only the side whose sketch ends first counts all that stands before; the other counts `least_before`.
+    """
+    left = [F.col(f"{x}n") - F.when(F.col(f"{x}end") <= F.col(f"{y}end"), F.col(f"{x}before")).otherwise(F.col(f"{x}least_before")) for x, y in ((a, b), (b, a))]
+    return 7 * F.least(*left) >= 3 * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
+def must() -> Column:
+    """How many values of its long sketch a set of `n` shares with that of any set linked to it."""
+    return F.ceil(F.when(F.col("n") <= WHOLE, 0.75).otherwise(SHARED) * F.least("n", F.lit(LONG)))
 
 
 def long_postings(texts: DataFrame) -> DataFrame:
@@ -82,27 +98,38 @@ def long_postings(texts: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), lists([s[:LONG] for s in sets])], names=["rep", "n", "sketch"])
+            ends = [int(s[LONG - 1]) if len(s) > LONG else END for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ends, pa.int64()), lists([s[:LONG] for s in sets])], names=["rep", "n", "end", "sketch"])
 
-    held = texts.select("rep", "text").mapInArrow(rows, "rep long, n long, sketch array<long>")
-    each = settle(held.select("rep", "n", F.explode("sketch").alias("value")), "long")
+    held = texts.select("rep", "text").mapInArrow(rows, "rep long, n long, end long, sketch array<long>")
+    # A linked set's sketch has as many of these values as `must` says, so it ends at or after that many: low ones are below its end.
+    each = settle(held.select("rep", "n", "end", F.posexplode("sketch").alias("at", "value")).select("rep", "n", "end", "value", (F.col("at") < must()).alias("low")), "long")
     often = each.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = each.join(often, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    shared = each.join(often, "value").groupBy("rep", "n", "end").agg(F.sort_array(F.collect_list(F.struct("df", "value", "low"))).alias("shared"))
+    shared = shared.join(each.where("low").groupBy("rep").agg(F.count(F.lit(1)).alias("lows")), "rep")
     kept = F.least("n", F.lit(LONG))
-    must = F.ceil(F.when(F.col("n") <= WHOLE, 0.75).otherwise(SHARED) * kept)
-    placed = shared.select("rep", "n", (kept - must + 1).alias("prefix"), (kept - F.size("shared")).alias("alone"), F.posexplode("shared").alias("k", "entry"))
+    # The low values that no other sketch has stand first.
+    low_alone = F.col("lows") - F.size(F.filter("shared", lambda x: x["low"]))
+    placed = shared.select("rep", "n", "end", "lows", (kept - must() + 1).alias("prefix"), (kept - F.size("shared")).alias("alone"), low_alone.alias("low_alone"), F.posexplode("shared").alias("k", "entry"))
+    # How many low ones stand before: a running count along the order.
+    order = Window.partitionBy("rep").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("low_place", F.col("low_alone") + F.coalesce(F.sum(F.col("entry.low").cast("int")).over(order), F.lit(0)))
     place = F.col("alone") + F.col("k")
-    # The sketch is a draw without replacement from the set, so the share before a hash is known with this deviation.
-    share = place / LONG
-    deviation = F.sqrt(share * (1 - share) / LONG * (1 - LONG / F.col("n")))
-    before = F.when(F.col("n") <= LONG, place).otherwise(F.floor(F.col("n") * F.greatest(F.lit(0.0), share - SLACK * deviation)))
-    return placed.where(place < F.col("prefix")).select(F.lit(1).alias("kind"), F.col("entry.value").alias("value"), "rep", "n", before.cast("long").alias("before")).where(4 * F.col("before") <= F.col("n"))
+
+    def before(place: Column, of: Column) -> Column:
+        # The sketch is a draw without replacement from the set, so the share before a hash is known with this deviation.
+        share = place / of
+        deviation = F.sqrt(share * (1 - share) / of * (1 - of / F.col("n")))
+        return F.when(F.col("n") <= LONG, place).otherwise(F.floor(F.col("n") * F.greatest(F.lit(0.0), share - SLACK * deviation))).cast("long")
+
+    out = placed.where(place < F.col("prefix")).select(F.lit(1).alias("kind"), F.col("entry.value").alias("value"), "rep", "n", "end", before(place, F.lit(LONG)).alias("before"), before(F.col("low_place"), F.col("lows")).alias("least_before"))
+    return out.where(4 * F.col("least_before") <= F.col("n"))
 
 
 def centre_pairs(postings: DataFrame) -> DataFrame:
-    centres = postings.groupBy("kind", "value").agg(F.min(F.struct((F.col("before") / F.col("n")).alias("share"), "rep", "n", "before")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    both = postings.join(centres.select("kind", "value", F.col("c.rep").alias("c_rep"), F.col("c.n").alias("c_n"), F.col("c.before").alias("c_before")), ["kind", "value"])
-    both = both.where((F.col("rep") != F.col("c_rep")) & may_link(F.col("n"), F.col("before"), F.col("c_n"), F.col("c_before")))
+    centres = postings.groupBy("kind", "value").agg(F.min(F.struct((F.col("before") / F.col("n")).alias("share"), *MEMBER)).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    both = postings.join(centres.select("kind", "value", *(F.col(f"c.{x}").alias(f"c_{x}") for x in MEMBER)), ["kind", "value"])
+    both = both.where((F.col("rep") != F.col("c_rep")) & may_link("", "c_"))
     return both.select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct()
 
 
@@ -113,8 +140,8 @@ def other_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
     main = sizes.groupBy("kind", "value").agg(F.max(F.struct("size", (-F.col("part")).alias("part"))).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     main = main.select("kind", "value", (-F.col("m.part")).alias("main"))
     mixed = known.join(main, ["kind", "value"])
-    odd = mixed.where(F.col("part") != F.col("main")).select("kind", "value", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "before", "part")))
-    both = odd.join(mixed.drop("main"), ["kind", "value"]).where((F.col("x_part") != F.col("part")) & may_link(F.col("n"), F.col("before"), F.col("x_n"), F.col("x_before")))
+    odd = mixed.where(F.col("part") != F.col("main")).select("kind", "value", *(F.col(c).alias(f"x_{c}") for c in (*MEMBER, "part")))
+    both = odd.join(mixed.drop("main"), ["kind", "value"]).where((F.col("x_part") != F.col("part")) & may_link("", "x_"))
     return both.select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b")).distinct()
 
 
@@ -184,7 +211,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = entries.groupBy("rep").agg(F.max("df").alias("most"))
     texts = id_and_text(docs).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "rep").join(met, "rep")
     texts = settle(texts, "texts")
-    short = entries.where(F.col("df") <= COMMON).select(F.lit(0).alias("kind"), "value", "rep", "n", F.col("before").cast("long").alias("before")).where(4 * F.col("before") <= F.col("n"))
+    short = entries.where(F.col("df") <= COMMON).select(F.lit(0).alias("kind"), "value", "rep", "n", F.lit(END).alias("end"), F.col("before").cast("long").alias("before"), F.col("before").cast("long").alias("least_before")).where(4 * F.col("before") <= F.col("n"))
     postings = settle(short.unionByName(long_postings(texts.where(F.col("most") > COMMON))), "postings")
 
     first = settle(centre_pairs(postings), "centre_pairs")
