@@ -65,6 +65,22 @@ def test_decoder_gives_characters_when_they_are_whole():
     assert out == "größe 日本 x "
 
 
+def test_decoded_text_comes_from_the_ids():
+    e = transducer.Encoder(WORD)
+    a, b = e.v.ids["a</w>"], e.v.ids["b</w>"]
+    e.v.ids = e.v.ids | {"a</w>": b, "b</w>": a}
+    assert e.encode("a b")[1] == "b</w> a</w>"
+
+
+def test_file_decoder_follows_the_file():
+    for path in (LEVEL, WORD):
+        t, v = library(path), transducer.Vocabulary(path)
+        for text in odd_texts():
+            ids = t.encode(text, add_special_tokens=False).ids
+            for some in (ids, ids[::2]):
+                assert transducer.decoded(v, some) == t.decode(some, skip_special_tokens=False)
+
+
 def test_transducer_query(docs, rows, empty):
     t = library(WORD)
     got = sorted(((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in transducer.round_trip(docs, WORD).collect()), key=lambda r: (key(r[0]), r[2]))

@@ -10,7 +10,8 @@ positions within the lookahead run through it, and the tokens before it are emit
 held does not grow with the word. A word's last symbol carries the end mark, so it is known
 when the next one is read.
 
-Decoding feeds one id at a time: bytes are held until a character is whole.
+Decoding feeds the emitted ids one at a time, by the rule of the tokenizer file: names parted by
+blanks where the file has no decoder, else bytes, held until a character is whole.
 
 Chunks seen before are looked up; the first `MOST_KNOWN` different ones of a worker are remembered.
 
@@ -51,6 +52,10 @@ class Vocabulary:
         model = config["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.end_mark = model["end_of_word_suffix"] or ""
+        decoder = config.get("decoder")
+        #: What turns tokens into text: "ByteLevel", or None for names parted by blanks.
+        self.decoder = decoder and decoder["type"]
+        self.bytes = {letter: b for b, letter in byte_letters().items()}
         self.specials = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.specials.items()}
         self.rank: dict[tuple[str, str], int] = {}
@@ -191,7 +196,7 @@ class WordTransducer:
 
 
 class Encoder:
-    """Whole texts to (ids of four bytes each, tokens written side by side)."""
+    """Whole texts to (ids of four bytes each, what these ids decode to)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -203,20 +208,20 @@ class Encoder:
         # How letters beyond the Latin blocks are composed, lowered and split is the library's affair.
         library = Tokenizer.from_file(path)
         self.normalized, self.pieces = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def word(self, written: str) -> tuple[bytes, str]:
+    def word(self, written: str) -> bytes:
         t = WordTransducer(self.v)
         tokens = t.push(written[:-1]) + t.finish(written[-1])
-        return array("I", map(self.v.ids.__getitem__, tokens)).tobytes(), " ".join(tokens)
+        return array("I", map(self.v.ids.__getitem__, tokens)).tobytes()
 
-    def piece(self, piece: str) -> tuple[bytes, str]:
+    def piece(self, piece: str) -> bytes:
         if not piece.isascii():
             return self.word(piece.encode("utf-8").decode("latin-1").translate(self.letters))
         # A word of letters is a chunk as well.
         return self.remembered(piece) if piece.isalpha() else self.word(piece)
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
+    def chunk(self, chunk: str) -> bytes:
         if chunk.isascii():
             text = chunk.lower()
             if text.isalpha():
@@ -224,12 +229,10 @@ class Encoder:
         else:
             text = self.normalized(chunk)
         if text and (max(text) >= BEYOND_LATIN or any(c in text for c in SEPARATORS)):
-            parts = [self.word(p) for p, _ in self.pieces(text)]
-            return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
-        parts = [self.piece(p) for p in self.split.findall(text)]
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+            return b"".join([self.word(p) for p, _ in self.pieces(text)])
+        return b"".join([self.piece(p) for p in self.split.findall(text)])
 
-    def remembered(self, chunk: str) -> tuple[bytes, str]:
+    def remembered(self, chunk: str) -> bytes:
         got = self.known.get(chunk)
         if got is None:
             got = self.chunk(chunk)
@@ -237,20 +240,21 @@ class Encoder:
                 self.known[chunk] = got
         return got
 
-    def plain(self, text: str) -> list[tuple[bytes, str]]:
+    def plain(self, text: str) -> list[bytes]:
         chunks = [c for c in BLANKS.split(text) if c] if any(c in text for c in SEPARATORS) else text.split()
         known, remembered = self.known, self.remembered
         return [known.get(c) or remembered(c) for c in chunks]
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
-        """Ids, and the tokens joined by blanks, which is what the library's decode gives without a decoder."""
+        """Ids, and the text that they decode to."""
         parts, at = [], 0
         for m in self.special.finditer(text or ""):
             parts += self.plain(text[at:m.start()])
-            parts.append((array("I", [self.v.specials[m[0]]]).tobytes(), m[0]))
+            parts.append(array("I", [self.v.specials[m[0]]]).tobytes())
             at = m.end()
         parts += self.plain((text or "")[at:])
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
+        ids = b"".join(parts)
+        return ids, decoded(self.v, array("I", ids))
 
 
 class Decoder:
@@ -258,7 +262,7 @@ class Decoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.bytes = {letter: b for b, letter in byte_letters().items()}
+        self.bytes = vocabulary.bytes
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, token_id: int) -> str:
@@ -274,6 +278,35 @@ class Decoder:
         return self.state.decode(b"", final=True)
 
 
+class FileDecoder:
+    """Ids to text, one at a time, by the rule of the tokenizer file."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        if vocabulary.decoder not in (None, "ByteLevel"):
+            raise ValueError(f"no rule for decoder {vocabulary.decoder}")
+        self.names, self.letters = vocabulary.names, vocabulary.bytes
+        self.state, self.started = codecs.getincrementaldecoder("utf-8")("replace"), False
+        self.feed = self.name if vocabulary.decoder is None else self.characters
+
+    def name(self, token_id: int) -> str:
+        if self.started:
+            return " " + self.names[token_id]
+        self.started = True
+        return self.names[token_id]
+
+    def characters(self, token_id: int) -> str:
+        name, letters = self.names[token_id], self.letters
+        return self.state.decode(bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode("utf-8"))
+
+    def finish(self) -> str:
+        return self.state.decode(b"", final=True)
+
+
+def decoded(vocabulary: Vocabulary, ids: array) -> str:
+    d = FileDecoder(vocabulary)
+    return "".join(map(d.feed, ids)) + d.finish()
+
+
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and vocabulary."""
     held = sys.modules[__name__].__dict__.setdefault("_encoders", {})
@@ -291,10 +324,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         for b in slices(batches):
             n, ids_sum, text_sum = [], [], []
             for text in b.column(1):
-                ids, decoded = e.encode(text.as_py())
+                ids, back = e.encode(text.as_py())
                 n.append(len(ids) // 4)
                 ids_sum.append(hashlib.sha256(ids).hexdigest())
-                text_sum.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                text_sum.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return id_and_text(docs).mapInArrow(rows, SCHEMA)
