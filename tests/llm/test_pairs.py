@@ -130,6 +130,20 @@ def test_neighbours_of_few_and_none(spark, vecs):
     assert neighbours.search(table(spark, vecs).limit(0), lambda i: i % 100 == 0).count() == 0
 
 
+def test_every_query_gets_ten_where_there_are_ten(spark, vecs):
+    """Few vectors without structure; and one far from a hot cluster."""
+    few = [(i, v) for i, v in enumerate(np.random.default_rng(4).normal(size=(11, 64)).tolist())]
+    hot = [(i, [1.0 + 0.001 * i] + [0.01 * (i % 7)] * 23) for i in range(1, 60)] + [(0, [0.0] * 12 + [1.0, -1.0] * 6)]
+    for given, asks in ((few, 1), (hot, 100)):
+        got = neighbours.search(table(spark, given), lambda i, asks=asks: i % asks == 0).collect()
+        for q in range(0, len(given), asks):
+            mine = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+            assert [m[0] for m in mine] == list(range(1, 11))
+            assert {m[1] for m in mine} <= {i for i, _ in given} - {q}
+            if asks == 1:
+                assert [m[1] for m in mine] == [w[0] for w in nearest(given, q)]
+
+
 def test_large_cells_are_dealt_over_blocks(spark, vecs, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
     got = {(r["query_id"], r["rank"]): r["vec_id"] for r in neighbours.search(table(spark, vecs), lambda i: i % 300 == 0).collect()}

@@ -17,8 +17,9 @@ index also finds vectors of very different length less surely; `tests/llm` measu
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part; nor do
 rows without an id, or vectors of another length than the most frequent one; ties go to the
-smaller id; with fewer candidates than asked for all are given that were found; an empty table
-gives an empty result.
+smaller id; an empty table gives an empty result. A query that met fewer than were asked for
+probes its next cells in further rounds, `WIDER` times as many in each and all cells at last,
+so fewer are given only where the table has no more.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ NEAREST = 10
 TABLES = 16
 #: Probes of a query in each table, as a share of its cells, and at least.
 PROBE_SHARE, LEAST_PROBES = 0.05, 7
+#: What the probes of queries with too few results are multiplied by in each further round.
+WIDER = 4
 CELL = 512
 BLOCK = 4096
 SEED = 77
@@ -142,7 +145,7 @@ def search(table: DataFrame, queries_where, nearest: int = NEAREST, tables: int
                     cell = cell * (2 * size) + axes(rotated(u, t, i, seed))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), t, np.int32)), pa.array(cell), b.column(0)], names=["t", "cell", "entry"])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch], most: int, before: int, tables: int) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
@@ -156,14 +159,35 @@ def search(table: DataFrame, queries_where, nearest: int = NEAREST, tables: int
                     top = np.abs(y).max(axis=1, keepdims=True)
                     losses.append((top - np.take_along_axis(both, order, axis=1)) ** 2)
                     orders.append(order)
-                cells = np.concatenate([probes_of([x[r] for x in losses], [x[r] for x in orders], most) for r in range(len(u))])
+                cells = np.concatenate([probes_of([x[r] for x in losses], [x[r] for x in orders], most)[before:] for r in range(len(u))])
                 each = len(cells) // len(u)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), t, np.int32)), pa.array(cells.astype(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(u)), each)))], names=["t", "cell", "query_id"])
 
     queries = settle(rows.where(queries_where(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "vec"), "queries")
     placed = settle(index.select("entry", "vec").mapInArrow(place, "t int, cell long, entry long"), "placed")
-    probed = queries.mapInArrow(probe, "t int, cell long, query_id long")
-    return best_of(placed, probed, index, queries, nearest)
+
+    def met_by(asking: DataFrame, most: int, before: int, tables: int) -> DataFrame:
+        probed = asking.mapInArrow(lambda batches: probe(batches, most, before, tables), "t int, cell long, query_id long")
+        return best_of(placed, probed, index, queries, nearest)
+
+    cells = (2 * size) ** k
+    found = settle(met_by(queries, most, 0, tables), "found")
+    done = most
+    while done < cells:
+        met = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("met"))
+        asking = settle(queries.join(met, "query_id", "left").where(F.coalesce("met", F.lit(0)) < nearest).select("query_id", "vec"), "asking")
+        if asking.isEmpty():
+            break
+        most = min(cells, WIDER * done)
+        # Once all cells are probed, one table has every entry.
+        more = met_by(asking, cells, 0, 1) if most == cells else met_by(asking, most, done, tables)
+        found, done = settle(ranked(found.drop("rank").unionByName(more.drop("rank")), nearest), "found"), most
+    return found
+
+
+def ranked(met: DataFrame, nearest: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return met.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def best_of(placed: DataFrame, probed: DataFrame, index: DataFrame, queries: DataFrame, nearest: int) -> DataFrame:
@@ -193,5 +217,4 @@ def best_of(placed: DataFrame, probed: DataFrame, index: DataFrame, queries: Dat
     keys = ["t", "cell", "block"]
     met = queries_of.select(*keys, "query_id", "vec")
     met = entries_of.select(*keys, "vec", "ids").groupBy(*keys).cogroup(met.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return met.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked(met, nearest)
