@@ -1,6 +1,6 @@
 """The registered queries: each applies one operator to its whole table.
 
-None has SQL: they rest on fitted models, tokenizers, random draws, spans by position or
+Those without SQL rest on fitted models, tokenizers, random draws, spans by position or
 searches that SQL cannot express or run on whole tables. `tests/llm` holds each against
 brute force, an exact round trip or held-out rows instead.
 """
@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, near_duplicates, neighbours, packing, pii, quality, secret_scan, shards, transducer, wavelet
+from . import conversations, language, near_duplicates, neighbours, oracles, packing, pii, quality, secret_scan, shards, transducer, wavelet
 from .common import documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,11 @@ def op9_contextual_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), WORD_BPE)
+
+
+@query
+def op11_lr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(ship(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLES["op11_lr_repair"] = oracles.CONVERSATIONS
