@@ -9,7 +9,7 @@ from timekeel.llm.queries import QUERIES
 
 def test_stages_are_those_asked_for():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_duplicates", "secrets", "packing"]
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     entry = importlib.import_module("__spark_entry__")
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 

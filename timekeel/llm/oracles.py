@@ -61,3 +61,37 @@ SELECT c.conv_id, coalesce(k.gaps, 0) AS gaps, coalesce(k.blank, 0) AS blank, co
        sha256(array_to_string(c.lines, chr(10))) AS repaired_sha256
 FROM chosen c LEFT JOIN counted k ON k.conv_id IS NOT DISTINCT FROM c.conv_id
 """
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+lists AS (SELECT lang, row_number() OVER () AS piece, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+words AS (SELECT lang, piece, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM lists),
+runs AS (SELECT lang, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY piece ORDER BY i)),
+phrases AS (
+  SELECT lang, 1 AS size, w AS phrase FROM runs
+  UNION ALL SELECT lang, 2, w || ' ' || w2 FROM runs WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM runs WHERE w3 IS NOT NULL),
+counted AS (SELECT lang, size, phrase, count(*) AS f FROM phrases GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM counted WHERE size = 1 GROUP BY lang),
+often AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE size >= 2 AND f >= 10),
+cuts AS (
+  SELECT o.lang, o.size, o.phrase, o.a, k, x.f AS l, y.f AS r,
+         (CAST(o.a AS HUGEINT) * o.a * 1000000) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM often o CROSS JOIN (VALUES (1), (2)) v(k)
+  JOIN counted x ON x.lang = o.lang AND x.phrase = array_to_string(list_slice(o.w, 1, k), ' ')
+  JOIN counted y ON y.lang = o.lang AND y.phrase = array_to_string(list_slice(o.w, k + 1, o.size), ' ')
+  WHERE k < o.size),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, array_to_string(list_slice(w, 1, 2), ' ') AS phrase, a FROM often WHERE size = 3
+    UNION ALL SELECT lang, array_to_string(list_slice(w, 2, 3), ' '), a FROM often WHERE size = 3)
+  GROUP BY lang, phrase),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.a IS NULL OR 100 * i.a < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept QUALIFY rank <= 2000)
+SELECT r.lang, r.rank, r.phrase, CAST(r.a AS BIGINT) AS a, CAST(r.l AS BIGINT) AS l, CAST(r.r AS BIGINT) AS r, CAST(t.n AS BIGINT) AS n, CAST(r.score AS BIGINT) AS score
+FROM ranked r JOIN total t ON t.lang = r.lang
+"""

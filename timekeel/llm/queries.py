@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, language, near_duplicates, neighbours, oracles, packing, pii, quality, secret_scan, shards, transducer, wavelet
+from . import collocations, conversations, language, near_duplicates, neighbours, oracles, packing, pii, positive_unlabelled, quality, secret_scan, shards, transducer, wavelet
 from .common import documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,16 @@ def op11_lr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_lr_repair"] = oracles.CONVERSATIONS
+
+
+@query
+def op12_toivonen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+ORACLES["op12_toivonen"] = oracles.COLLOCATIONS
+
+
+@query
+def op13_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positive_unlabelled.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
