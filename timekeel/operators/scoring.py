@@ -93,17 +93,22 @@ def score(preds: DataFrame, prep: DataFrame, polls: DataFrame) -> DataFrame:
         .join(journeys, list(JOURNEY), "left")
         .withColumn("score_state", state())
     )
-    graded = F.col("score_state").isin("scored", "echo_suspect")
-    raw_low = F.coalesce("raw_q10_sec", "q10_sec") if "raw_q10_sec" in preds.columns else F.col("q10_sec")
-    raw_high = F.coalesce("raw_q90_sec", "q90_sec") if "raw_q90_sec" in preds.columns else F.col("q90_sec")
+    return graded(joined, preds.columns)
+
+
+def graded(joined: DataFrame, said: list[str]) -> DataFrame:
+    """Judged statements with their errors; `said` are the columns that the statements brought."""
+    is_graded = F.col("score_state").isin("scored", "echo_suspect")
+    raw_low = F.coalesce("raw_q10_sec", "q10_sec") if "raw_q10_sec" in said else F.col("q10_sec")
+    raw_high = F.coalesce("raw_q90_sec", "q90_sec") if "raw_q90_sec" in said else F.col("q90_sec")
     actual = F.col("actual_delay_sec")
 
     def only_graded(c: Column) -> Column:
-        return F.when(graded, c)
+        return F.when(is_graded, c)
 
     return joined.select(
         *EVENT, "lead_band",
-        *[c for c in preds.columns if c not in (*EVENT, "lead_band", "scored_band")],
+        *[c for c in said if c not in (*EVENT, "lead_band", "scored_band")],
         "score_state",
         only_graded(F.col("auto_arrival")).alias("auto_arrival"),
         only_graded(actual).alias("actual_delay_sec"),
