@@ -1,16 +1,19 @@
 """The link graph journeys run over, and searches on it.
 
-Searches are rounds of equality joins on edge tables. Each round is written to the shared
-folder, which cuts the lineage and survives lost executors.
+Searches are rounds of equality joins on edge tables. A round writes what it improves to the
+shared folder, which cuts the lineage and survives lost executors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geodesy
-from ..session import settle
+from ..session import scratch_path, settle
 from .journeys import JOURNEY, changed_only
 from .ordered import Track, count_of, first_by, neighbours, running
 
@@ -18,6 +21,9 @@ from .ordered import Track, count_of, first_by, neighbours, running
 SKIP_DETOUR_RATIO = 1.3
 PLACE_METRES = 300
 
+#: Nodes whose distances bound the searches.
+LANDMARKS = 4
+
 
 def hops(stops: DataFrame, t: Track) -> tuple[DataFrame, DataFrame]:
     """(hops, passed): steps between consecutive placed stations of a journey, and the
@@ -59,40 +65,94 @@ def arcs(edges: DataFrame) -> DataFrame:
     return there.unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("next"), "metres"))
 
 
-def shortest(wanted: DataFrame, edges: DataFrame, skip_own: bool = False) -> DataFrame:
-    """Shortest chain per wanted (a, b), not using the link a-b itself when `skip_own`.
+def distances(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """Shortest way in metres from each `source` to every node that it reaches."""
+    roads = settle(arcs(edges), "arcs")
+    start = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"))
+
+    def ahead(last: DataFrame, seen: DataFrame) -> DataFrame:
+        return last.join(roads, "node").select("source", F.col("next").alias("node"), (F.col("dist") + F.col("metres")).alias("dist"))
+
+    return _rounds(start, ["source", "node"], ["dist"], ahead).groupBy("source", "node").agg(F.min("dist").alias("dist"))
 
-    Rounds of relaxation: only nodes improved in the last round are extended, and nothing
-    longer than the best chain found so far. Ends when a round improves nothing.
+
+def _rounds(start: DataFrame, keys: list[str], value: list[str], ahead: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Relaxation until a round improves nothing.
+
+    A round extends only what the last one improved, and writes only what it improves itself,
+    as a part of its own beside the earlier ones: nothing that is known is written again.
     """
-    roads = settle(arcs(edges), "arcs")
-    best = settle(wanted.select(
-        "a", "b", F.col("a").alias("node"), F.lit(0.0).alias("dist"), F.array("a").alias("path"), F.lit(0).alias("round"),
-    ), "reach")
+    spark, path = start.sparkSession, scratch_path(start.sparkSession, "reach")
+    start.write.parquet(f"{path}/round=0")
+    schema = T.StructType([*start.schema.fields, T.StructField("round", T.IntegerType())])
     turn = 0
     while True:
         turn += 1
-        done = best.where(F.col("node") == F.col("b")).select("a", "b", F.col("dist").alias("_limit"))
-        step = best.where(F.col("round") == turn - 1).where(F.col("node") != F.col("b")).join(roads, "node")
+        seen = spark.read.schema(schema).parquet(path)
+        found = ahead(seen.where(F.col("round") == turn - 1), seen).select(start.columns)
+        found = first_by(found, keys, value)
+        known = seen.groupBy(*keys).agg(F.min(F.struct(*value)).alias("_known"))
+        better = found.join(known, keys, "left").where(F.col("_known").isNull() | (F.struct(*value) < F.col("_known")))
+        better.select(start.columns).write.parquet(f"{path}/round={turn}")
+        if spark.read.schema(start.schema).parquet(f"{path}/round={turn}").isEmpty():
+            return spark.read.schema(schema).parquet(path).drop("round")
+
+
+def landmarks(edges: DataFrame, count: int = LANDMARKS) -> DataFrame:
+    """For every node its distances to `count` fixed nodes, null where there is no way.
+
+    The difference of two nodes' distances to a landmark is never more than the way between
+    them, and removing links only lengthens ways, so the marks of a graph serve its parts.
+    """
+    ends = edges.select(F.explode(F.array("a", "b")).alias("source")).distinct()
+    names = [r["source"] for r in ends.orderBy(F.xxhash64("source"), "source").limit(count).collect()]
+    far = distances(ends.where(F.col("source").isin(names)), edges).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("source", "dist"))).alias("_far"))
+    marks = F.array(*[F.try_element_at("_far", F.lit(n)) for n in names]) if names else F.array().cast("array<double>")
+    return settle(far.select("node", marks.alias("marks")), "marks")
+
+
+def _at_least(here: Column, there: Column) -> Column:
+    """Metres that the way between two marked nodes has at least."""
+    gaps = F.zip_with(here, there, lambda x, y: F.abs(x - y))
+    return F.coalesce(F.array_max(gaps), F.lit(0.0))
+
+
+def shortest(wanted: DataFrame, edges: DataFrame, skip_own: bool = False, marks: DataFrame | None = None) -> DataFrame:
+    """Shortest chain per wanted (a, b), not using the link a-b itself when `skip_own`.
+
+    A chain is extended only while it and what its end is away from `b`, at least, stay within
+    the best chain found so far, and within the pair's `limit` where `wanted` has that column.
+    """
+    marks = landmarks(edges) if marks is None else marks
+    roads = settle(arcs(edges).join(marks.withColumnsRenamed({"node": "next", "marks": "next_marks"}), "next", "left"), "arcs")
+    limit = F.col("limit").cast("double") if "limit" in wanted.columns else F.lit(None).cast("double")
+    goal = marks.withColumnsRenamed({"node": "b", "marks": "goal"})
+    start = wanted.select("a", "b", limit.alias("limit")).join(goal, "b", "left").select(
+        "a", "b", "limit", "goal", F.col("a").alias("node"), F.lit(0.0).alias("dist"), F.array("a").alias("path"))
+
+    def ahead(last: DataFrame, seen: DataFrame) -> DataFrame:
+        done = seen.where(F.col("node") == F.col("b")).groupBy("a", "b").agg(F.min("dist").alias("_best"))
+        step = last.where((F.col("node") != F.col("b")) | (F.size("path") == 1)).join(roads, "node")
         if skip_own:
-            own = F.least("node", "next").eqNullSafe(F.least("a", "b")) & F.greatest("node", "next").eqNullSafe(F.greatest("a", "b"))
-            step = step.where(~own)
-        ahead = step.join(done, ["a", "b"], "left").select(
-            "a", "b", F.col("next").alias("node"), (F.col("dist") + F.col("metres")).alias("dist"),
-            F.concat("path", F.array("next")).alias("path"), F.lit(turn).alias("round"), "_limit",
-        ).where(F.col("_limit").isNull() | (F.col("dist") <= F.col("_limit"))).drop("_limit")
-        best = settle(first_by(best.unionByName(ahead), ["a", "b", "node"], ["dist", "path"]), "reach")
-        if best.where(F.col("round") == turn).isEmpty():
-            break
-    return best.where((F.col("node") == F.col("b")) & (F.size("path") > 1)).select("a", "b", "dist", "path")
+            step = step.where(~((F.least("node", "next") == F.least("a", "b")) & (F.greatest("node", "next") == F.greatest("a", "b"))))
+        at = F.col("dist") + F.col("metres")
+        most = F.least("limit", "_best")
+        # A little more than the bound, as sums of lengths are rounded.
+        within = at + _at_least(F.col("next_marks"), F.col("goal")) <= most * (1 + 1e-9)
+        return step.join(done, ["a", "b"], "left").where(most.isNull() | within).select(
+            "a", "b", "limit", "goal", F.col("next").alias("node"), at.alias("dist"), F.concat("path", F.array("next")).alias("path"))
+
+    best = _rounds(start, ["a", "b", "node"], ["dist", "path"], ahead).where((F.col("node") == F.col("b")) & (F.size("path") > 1))
+    return first_by(best, ["a", "b"], ["dist", "path"]).select("a", "b", "dist", "path")
 
 
-def detours(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+def detours(edges: DataFrame, of: DataFrame | None = None, ratio: float | None = None, marks: DataFrame | None = None) -> DataFrame:
     """For every link (or those of `of`), the best other chain between its ends over the
-    link's own length."""
+    link's own length; with `ratio`, only chains up to that many times the length."""
     asked = edges if of is None else edges.join(of.select("a", "b"), ["a", "b"], "left_semi")
-    alt = shortest(asked, edges, skip_own=True)
-    return asked.select("a", "b", "metres").join(alt, ["a", "b"]).select(
+    asked = asked.select("a", "b", "metres")
+    alt = shortest(asked if ratio is None else asked.withColumn("limit", F.col("metres") * ratio), edges, skip_own=True, marks=marks)
+    return asked.join(alt, ["a", "b"]).select(
         "a", "b", "metres", F.col("dist").alias("chain_metres"), (F.col("dist") / F.col("metres")).alias("ratio"),
         (F.size("path") - 2).alias("via"), "path")
 
@@ -119,10 +179,11 @@ def remove_skips(edges: DataFrame, points: DataFrame, ratio: float = SKIP_DETOUR
     removal can change that chain. The longest undecided one always qualifies.
     """
     live = settle(edges.select("a", "b", "metres"), "links")
+    marks = landmarks(live)
     verdicts = None
     open_ = None
     while True:
-        found = detours(live, open_)
+        found = detours(live, open_, ratio, marks)
         near = settle(found.where((F.col("via") > 0) & (F.col("ratio") <= ratio)), "near")
         if near.isEmpty():
             break

@@ -31,9 +31,9 @@ VIEWS["links"] = """
   SELECT l.*, coalesce(points, 0) AS points, coalesce(passes_unplaced, '') AS passes_unplaced
   FROM (SELECT a, b, count(DISTINCT train_code) AS services, count(*) AS runs FROM steps GROUP BY 1, 2) l
   LEFT JOIN (SELECT a, b, count(*) AS points, string_agg(point, ',' ORDER BY point) AS passes_unplaced FROM passed GROUP BY 1, 2) p USING (a, b)"""
-VIEWS["near_links"] = """
+VIEWS["measured_links"] = """
   SELECT * FROM (SELECT l.*, sqrt((CAST(p.x - q.x AS DOUBLE) * (p.x - q.x) + CAST(p.y - q.y AS DOUBLE) * (p.y - q.y))) AS metres
-    FROM links l JOIN stations p ON p.code = l.a JOIN stations q ON q.code = l.b) WHERE metres <= 110000"""
+    FROM links l JOIN stations p ON p.code = l.a JOIN stations q ON q.code = l.b)"""
 
 
 def parts(spark, sf):
@@ -42,10 +42,9 @@ def parts(spark, sf):
     return moves, t, steps, passed
 
 
-def near_links(moves, steps, passed):
-    """Links short enough to be track between neighbours, written once for the searches."""
-    full = network.with_length(network.links(steps, passed), views.stations(moves))
-    return settle(full.where("metres <= 110000"), "near-links")
+def measured_links(moves, steps, passed):
+    """All links with their length, written once for the searches."""
+    return settle(network.with_length(network.links(steps, passed), views.stations(moves)), "measured-links")
 
 
 @query("station_hops_w8", "SELECT CAST(service_date AS VARCHAR) AS service_date, train_code, hop, a, b FROM steps")
@@ -70,7 +69,7 @@ def thin_links(spark, sf):
     return network.thin_links(network.links(steps, passed), 30).select("a", "b", "services", "runs")
 
 
-def relaxed_sql(wanted: str, own: str, rounds: int = 9) -> str:
+def relaxed_sql(wanted: str, own: str, rounds: int = 17) -> str:
     """Shortest distances by `rounds` rounds of relaxation, written out step by step."""
     ctes = [f"""r0 AS MATERIALIZED (SELECT a, b, a AS node, 0.0::DOUBLE AS dist, 0 AS hops FROM {wanted})"""]
     for i in range(1, rounds + 1):
@@ -78,7 +77,7 @@ def relaxed_sql(wanted: str, own: str, rounds: int = 9) -> str:
           SELECT * FROM r{i - 1} UNION ALL
           SELECT r.a, r.b, e.n2, r.dist + e.metres, r.hops + 1 FROM r{i - 1} r JOIN both_ways e ON e.n1 = r.node
           WHERE {own}) GROUP BY 1, 2, 3)""")
-    return f"""WITH both_ways AS (SELECT a AS n1, b AS n2, metres FROM near_links UNION ALL SELECT b, a, metres FROM near_links), {', '.join(ctes)}
+    return f"""WITH both_ways AS (SELECT a AS n1, b AS n2, metres FROM measured_links UNION ALL SELECT b, a, metres FROM measured_links), {', '.join(ctes)}
       SELECT a, b, dist, hops FROM r{rounds} WHERE node = b AND a <> b"""
 
 
@@ -90,38 +89,35 @@ VIEWS["corridors"] = """SELECT a.code AS a, b.code AS b FROM stations a JOIN sta
 def shortest_paths(spark, sf):
     moves, _, steps, passed = parts(spark, sf)
     ends = views.stations(moves).where("placed AND code <> 'S2'").select(F.lit("S2").alias("a"), F.col("code").alias("b"))
-    return shown(network.shortest(ends, near_links(moves, steps, passed)).select("a", "b", "dist"), 3)
+    return shown(network.shortest(ends, measured_links(moves, steps, passed)).select("a", "b", "dist"), 3)
 
 
 @query("detour_ratios_g2", f"""
-SELECT d.a, d.b, {fixed_sql('d.dist', 3)} AS chain_metres, {fixed_sql('d.dist / l.metres', 6)} AS ratio FROM ({relaxed_sql('near_links', NOT_OWN)}) d JOIN near_links l USING (a, b)""")
+SELECT d.a, d.b, {fixed_sql('d.dist', 3)} AS chain_metres, {fixed_sql('d.dist / l.metres', 6)} AS ratio FROM ({relaxed_sql('measured_links', NOT_OWN)}) d JOIN measured_links l USING (a, b)""")
 def detour_ratios(spark, sf):
     moves, _, steps, passed = parts(spark, sf)
-    out = network.detours(near_links(moves, steps, passed))
+    out = network.detours(measured_links(moves, steps, passed))
     return out.select("a", "b", fixed("chain_metres", 3).alias("chain_metres"), fixed("ratio").alias("ratio"))
 
 
 @query("express_skips_g3")
 def express_skips(spark, sf):
     moves, _, steps, passed = parts(spark, sf)
-    return shown(network.remove_skips(near_links(moves, steps, passed), passed), 3)
+    return shown(network.remove_skips(measured_links(moves, steps, passed), passed), 3)
 
 
 def labels_sql(rounds: int = 12) -> str:
     ctes = ["l0 AS MATERIALIZED (SELECT code, code AS label FROM stations WHERE placed)"]
     for i in range(1, rounds + 1):
         ctes.append(f"l{i} AS MATERIALIZED (SELECT code, min(label) AS label FROM (SELECT * FROM l{i-1} UNION ALL SELECT e.n2, l.label FROM l{i-1} l JOIN ways e ON e.n1 = l.code) GROUP BY 1)")
-    return f"WITH ways AS (SELECT a AS n1, b AS n2 FROM short_links UNION ALL SELECT b, a FROM short_links), {', '.join(ctes)} SELECT code, label FROM l{rounds}"
-
-
-VIEWS["short_links"] = "SELECT * FROM near_links WHERE metres <= 62000"
+    return f"WITH ways AS (SELECT a AS n1, b AS n2 FROM measured_links UNION ALL SELECT b, a FROM measured_links), {', '.join(ctes)} SELECT code, label FROM l{rounds}"
 
 
 @query("connected_components_g4", f"SELECT code, label FROM ({labels_sql()})")
 def connected_components(spark, sf):
     moves, _, steps, passed = parts(spark, sf)
     nodes = views.stations(moves).where("placed").select("code")
-    return network.components(nodes, near_links(moves, steps, passed).where("metres <= 62000"))
+    return network.components(nodes, measured_links(moves, steps, passed))
 
 
 @query("stations_over_link_g5", """
