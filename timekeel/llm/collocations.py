@@ -39,14 +39,16 @@ UNKNOWN = "und"
 LEAST = 10
 TOP = 2000
 #: One document of so many is in the sample, and a phrase is proposed with so many occurrences there.
-SAMPLE_OF, SAMPLE_LEAST = 4, 2
-#: A bit table has eight bits for each proposal, and at most so many: 64 MB.
-MOST_BITS = 1 << 29
+SAMPLE_OF, SAMPLE_LEAST = 3, 3
+#: A bit table has 32 bits for each proposal, and at most so many: 64 MB.
+BITS_EACH, MOST_BITS = 32, 1 << 29
 #: Bits of one row of a table under construction, as bitmap_construct_agg makes them.
 BLOCK_BITS = 1 << 15
 #: Words of one language that a task counts at a time, and bytes of text that it splits at a time.
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 1_000_000
 BLOCK_BYTES = 1 << 20
+#: Phrases that a task holds as text at a time.
+BATCH_ROWS = 1 << 16
 SALTS = 64
 COUNTED = "lang string, size int, phrase string, mark long, f long"
 
@@ -136,7 +138,7 @@ class Counter:
         if want.all_words:
             f = np.bincount(a[skip:][word[skip:]], minlength=many)
             found = np.flatnonzero(f)
-            yield self.batch(1, [words[i] for i in found], marks[found], f[found])
+            yield from self.batches(words, marks[found], f[found], found)
             yield self.batch(0, [b""], np.zeros(1, np.uint64), np.array([f.sum()]))
         new, old = want.words.has(marks), want.old_words.has(marks)
         left, right = a[:-1], a[1:]
@@ -145,19 +147,26 @@ class Counter:
         take = both & fresh & new[left] & new[right] & ~(old[left] & old[right])
         keys, f = np.unique(left[take] * many + right[take], return_counts=True)
         i, j = keys // many, keys % many
-        yield self.batch(2, [words[x] + b" " + words[y] for x, y in zip(i, j)], pair_marks(marks[i], marks[j]), f)
+        yield from self.batches(words, pair_marks(marks[i], marks[j]), f, i, j)
         if want.pairs.size and len(a) > 2:
             of_pair = pair_marks(marks[left], marks[right])
             new, old = both & want.pairs.has(of_pair), both & want.old_pairs.has(of_pair)
             take = new[:-1] & new[1:] & ~(old[:-1] & old[1:]) & fresh[1:]
             first, rank = np.unique((left * many + right)[:-1][take], return_inverse=True)
             keys, f = np.unique(rank * many + a[2:][take], return_counts=True)
-            pair, k = first[keys // many], keys % many
-            yield self.batch(3, [words[x] + b" " + words[y] + b" " + words[z] for x, y, z in zip(pair // many, pair % many, k)], np.zeros(len(keys), np.uint64), f)
+            pair = first[keys // many]
+            yield from self.batches(words, np.zeros(len(keys), np.uint64), f, pair // many, pair % many, keys % many)
         last = [words[x] for x in a[-2:]]
         self.ids, self.held, self.skip = Ids(), 0, len(last)
         self.parts = [np.array([self.ids[w] for w in last], dtype=np.int64)]
 
+    def batches(self, words: list[bytes], marks: np.ndarray, f: np.ndarray, *places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Counts of the phrases whose words stand at `places`, some at a time."""
+        for at in range(0, len(f), BATCH_ROWS):
+            part = slice(at, at + BATCH_ROWS)
+            phrases = [b" ".join(p) for p in zip(*(map(words.__getitem__, x[part].tolist()) for x in places))]
+            yield self.batch(len(places), phrases, marks[part], f[part])
+
     def batch(self, size: int, phrases: list[bytes], marks: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
         n = len(phrases)
         return pa.RecordBatch.from_arrays([pa.array([self.lang] * n, pa.string()), pa.array([size] * n, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()),
@@ -203,7 +212,7 @@ def bits(marks: DataFrame, many: int, most: int = MOST_BITS) -> Bits:
     if not many:
         return Bits()
     size = BLOCK_BITS
-    while size < min(most, 8 * many):
+    while size < min(most, BITS_EACH * many):
         size *= 2
     at = F.col("mark").bitwiseAND(F.lit(size - 1))
     rows = marks.groupBy(F.shiftright(at, 15).alias("block")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(BLOCK_BITS - 1))).alias("bits")).collect()
