@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy, values
 from ..session import settle
+from . import cells
 from .ordered import first_by
 
 # Fixed values.
@@ -88,51 +89,53 @@ def ring_area(edges: DataFrame) -> DataFrame:
         (F.sum(F.col("x0").cast("double") * F.col("y1") - F.col("x1").cast("double") * F.col("y0")) / 2).alias("area"), F.count(F.lit(1)).alias("vertices"))
 
 
-def inside_rings(points: DataFrame, edges: DataFrame, band: float) -> DataFrame:
-    """Points inside each ring, by the parity of edges crossed to the right.
+def inside_rings(points: DataFrame, edges: DataFrame, size: float) -> DataFrame:
+    """Points inside each ring, by the parity of edges crossed to the right; a point without a place is in none.
 
-    An edge is copied to the horizontal bands it spans; a point meets the edges of its band.
+    A cell knows whether its corner is inside the rings that cross it, so a point meets only
+    its own cell's edges: it is as its corner is, but for the edges between the two. In cells
+    that no edge of a ring crosses, all points are as the cell is.
     """
-    e = edges.withColumn("_b", _around(cell(F.least("y0", "y1"), band), cell(F.greatest("y0", "y1"), band)))
-    p = points.withColumn("_b", cell("y", band))
-    y, x = F.col("y"), F.col("x")
-    straddles = (F.col("y0") > y) != (F.col("y1") > y)
-    right = x < F.col("x0") + (y - F.col("y0")).cast("double") * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
-    met = p.join(e, "_b").where(straddles).where(right)
-    return met.groupBy("point_id", "ring_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") % 2 == 1).select("point_id", "ring_id")
+    p = cells.placed(points, size)
+    held = settle(cells.corners(edges, size), "corners")
+    near = cells.walked(edges, size).select("ring_id", *cells.ENDS, "_cx", "_cy").join(held, ["ring_id", "_cx", "_cy"])
+    x, y = F.col("x"), F.col("y")
+    right, top = cells.border(F.col("_cx") + 1, size), cells.border(F.col("_cy") + 1, size)
+    at_x, at_y = cells.x_at(y), cells.y_at(right)
+    # To the right as far as the cell goes, then up to its corner.
+    across = ((F.col("y0") > y) != (F.col("y1") > y)) & (x < at_x) & ~(right < at_x)
+    upward = ((F.col("x0") > right) != (F.col("x1") > right)) & (y < at_y) & ~(top < at_y)
+    crossed = F.when(across, 1).otherwise(0) + F.when(upward, 1).otherwise(0)
+    met = p.join(near, ["_cx", "_cy"]).groupBy("point_id", "ring_id").agg((F.sum(crossed) + F.max("odd")).alias("_n"))
+    within = cells.blocks_of(p).join(cells.inner_blocks(held), ["_cy", "level", "block"])
+    return met.where(F.col("_n") % 2 == 1).select("point_id", "ring_id").unionByName(within.select("point_id", "ring_id"))
 
 
 def distance_to_rings(points: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
-    """Metres from each point to the nearest edge, however far; null if there is none.
+    """Metres from each point to the nearest edge, however far; null if there is none or the point has no place.
 
-    Points with an edge within `reach` are done at once; the others are asked again with four
-    times the reach, until none is left.
+    Points with an edge within `reach` meet only the cells around them; the others come down
+    to their nearest cells from coarse ones.
     """
-    found, rest = None, points
-    some = edges.limit(1).count() > 0
-    while some:
-        met = settle(within_reach(rest, edges, reach), "reach")
-        done = met.where("metres IS NOT NULL")
-        found = done if found is None else found.unionByName(done)
-        left = met.where("metres IS NULL").select("point_id")
-        some, reach = left.limit(1).count() > 0, 4 * reach
-        rest = rest.join(left, "point_id", "left_semi")
-    return found if found is not None else points.select("point_id", F.lit(None).cast("double").alias("metres")).distinct()
+    p = cells.placed(points, reach)
+    near = settle(p.join(within_reach(p, edges, reach), "point_id", "left"), "near")
+    found = near.where("metres IS NOT NULL").select("point_id", "metres")
+    far = cells.nearest(near.where("metres IS NULL"), edges, reach)
+    return points.select("point_id").distinct().join(found.unionByName(far), "point_id", "left")
 
 
 def within_reach(points: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
-    """Metres from each point to the nearest edge no further than `reach`; null beyond."""
-    e = edges.withColumn("_cx", _around(cell(F.least("x0", "x1") - reach, reach), cell(F.greatest("x0", "x1") + reach, reach))).withColumn(
-        "_cy", _around(cell(F.least("y0", "y1") - reach, reach), cell(F.greatest("y0", "y1") + reach, reach)))
-    p = points.withColumns({"_cx": cell("x", reach), "_cy": cell("y", reach)})
-    met = p.join(e, ["_cx", "_cy"], "left").withColumn("metres", geodesy.metres_to_segment("x", "y", "x0", "y0", "x1", "y1"))
-    return met.groupBy("point_id").agg(F.min(F.when(F.col("metres") <= reach, F.col("metres"))).alias("metres"))
+    """Metres from each placed point to the nearest edge, where that is no further than `reach`."""
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    e = cells.walked(edges, reach).withColumn("_d", around).select(
+        *cells.ENDS, (F.col("_cx") + F.col("_d.dx")).alias("_cx"), (F.col("_cy") + F.col("_d.dy")).alias("_cy")).distinct()
+    met = points.join(e, ["_cx", "_cy"]).withColumn("metres", geodesy.metres_to_segment("x", "y", *cells.ENDS))
+    return met.where(F.col("metres") <= reach).groupBy("point_id").agg(F.min("metres").alias("metres"))
 
 
 def crossing_segments(edges: DataFrame, size: float = CROSS_CELL_M) -> DataFrame:
-    """Segments that properly cross another, of any ring."""
-    g = edges.withColumn("_cx", _around(cell(F.least("x0", "x1"), size), cell(F.greatest("x0", "x1"), size))).withColumn(
-        "_cy", _around(cell(F.least("y0", "y1"), size), cell(F.greatest("y0", "y1"), size)))
+    """Segments that properly cross another, of any ring; two meet in the cells that both cross."""
+    g = cells.walked(edges, size)
     a, b = g.alias("m"), g.alias("n")
     def c(side, *names):
         return [F.col(f"{side}.{n}") for n in names]
