@@ -28,6 +28,34 @@ def odd_texts():
             "".join(rng.choice("etaoinsh") for _ in range(2000)), "".join(rng.choice("abcd \n") for _ in range(2000)), "".join(chr(rng.randrange(32, 0x2FFF)) for _ in range(1500))]
 
 
+def fuzzed_texts(n=4000):
+    """Short texts of blanks, control characters, joiners, letters of many blocks, and what stands beside the surrogates."""
+    rng = random.Random(7)
+    odd = [*map(chr, range(0x21)), "\x7f", "\x85", "\xa0", "\u200b", "\u200d", "\u2028", "\ufeff", "\ufffd", "\ud7ff", "\ue000", "\U0001f600", "\U0010ffff", "\u0301", "ß", "İ", "é", "日", "'s", "12", "a", "B", "the", "ing", "<|endoftext|>"]
+    return ["".join(rng.choice(odd if rng.random() < 0.6 else [" ", "a", "in", "\0"]) for _ in range(rng.randint(1, 14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("path", [LEVEL, WORD])
+def test_odd_characters_anywhere(path):
+    t, e = library(path), tokens.encoder(path)
+    texts = fuzzed_texts()
+    assert [list(np.frombuffer(x, np.uint32)) for x in e.batch(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_transducer_on_odd_characters_anywhere():
+    t, e = library(WORD), transducer.encoder(WORD)
+    for text in fuzzed_texts():
+        want = t.encode(text, add_special_tokens=False).ids
+        ids, back = e.encode(text)
+        assert list(np.frombuffer(ids, np.uint32)) == want, text
+        assert back == t.decode(want, skip_special_tokens=False)
+
+
+def test_a_symbol_that_no_token_has_is_not_passed_over():
+    with pytest.raises(ValueError):
+        transducer.encoder(WORD).word("a\x01b")
+
+
 @pytest.mark.parametrize("path", [LEVEL, WORD])
 def test_chunks_are_encoded_as_whole_texts(path):
     t, e = library(path), tokens.encoder(path)

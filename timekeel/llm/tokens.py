@@ -23,6 +23,8 @@ MOST_KNOWN, LONGEST_KNOWN = 500_000, 48
 BEYOND_LATIN = "\u0250"
 #: White space for Python but not for the vocabularies.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Stands before a text's first chunk. No text holds it: a surrogate by itself is not a character.
+FIRST = "\ud800"
 #: How the two kinds of vocabulary split a text (the patterns of their files).
 LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -71,11 +73,11 @@ class Encoder:
         if len(parts) != text.count(" ") + text.count("\n") + 1:
             return None
         # A chunk after a blank is encoded with it; the first, and one after a line's end, without.
-        parts = ("\0" + text.replace("\n", " \n")).split(" ")
-        return None if parts[0] == "\0" or "" in parts else parts
+        parts = (FIRST + text.replace("\n", " \n")).split(" ")
+        return None if parts[0] == FIRST or "" in parts else parts
 
     def meant(self, chunk: str) -> str:
-        return chunk if self.drops_space else chunk[1:] if chunk[0] == "\0" else chunk if chunk[0] == "\n" else " " + chunk
+        return chunk if self.drops_space else chunk[1:] if chunk[0] == FIRST else chunk if chunk[0] == "\n" else " " + chunk
 
     def chunk(self, chunk: str) -> bytes:
         if chunk.isalpha() and chunk.isascii():

@@ -160,9 +160,7 @@ class WordTransducer:
                         back.append(start)
                         break
             else:
-                # A symbol without a token: nothing is emitted for it and nothing merges across it.
-                last.append("")
-                back.append(i - 1)
+                raise ValueError(f"no token ends in {text[:i][-1]!r}")
 
     def finish(self, symbol: str) -> list[str]:
         """Read the word's last symbol."""
@@ -209,6 +207,7 @@ class Encoder:
         library = Tokenizer.from_file(path)
         self.normalized, self.pieces = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.known: dict[str, bytes] = {}
+        self.meanings = Meanings(self.v)
 
     def word(self, written: str) -> bytes:
         t = WordTransducer(self.v)
@@ -216,7 +215,8 @@ class Encoder:
         return array("I", map(self.v.ids.__getitem__, tokens)).tobytes()
 
     def piece(self, piece: str) -> bytes:
-        if not piece.isascii():
+        # Printable characters without a blank are written as they are; other bytes have letters of their own.
+        if not (piece.isascii() and piece.isprintable()):
             return self.word(piece.encode("utf-8").decode("latin-1").translate(self.letters))
         # A word of letters is a chunk as well.
         return self.remembered(piece) if piece.isalpha() else self.word(piece)
@@ -254,7 +254,8 @@ class Encoder:
             at = m.end()
         parts += self.plain((text or "")[at:])
         ids = b"".join(parts)
-        return ids, decoded(self.v, array("I", ids))
+        back = self.meanings.after_others(parts)
+        return ids, decoded(self.v, array("I", ids)) if back is None else back
 
 
 class Decoder:
@@ -302,6 +303,38 @@ class FileDecoder:
         return self.state.decode(b"", final=True)
 
 
+class Meanings:
+    """What the ids of chunks decode to, remembered by the ids.
+
+    All that a decoder carries from one chunk to the next is whether anything came before, so
+    chunks are decoded as if something did. A chunk that ends within a character carries more.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
+        self.known: dict[bytes, str | None] = {}
+
+    def of(self, ids: bytes) -> str | None:
+        got = self.known.get(ids, "")
+        if got == "":
+            d = FileDecoder(self.v)
+            d.started = True
+            got = "".join(map(d.feed, array("I", ids)))
+            got = None if d.finish() else got
+            if len(ids) <= 4 * LONGEST_KNOWN and len(self.known) < MOST_KNOWN:
+                self.known[ids] = got
+        return got
+
+    def after_others(self, parts: list[bytes]) -> str | None:
+        """The text of chunks one after the other; null if one of them does not end with a character."""
+        known, of = self.known, self.of
+        found = [known.get(p) or of(p) for p in parts if p]
+        if None in found:
+            return None
+        text = "".join(found)
+        return text[1:] if self.v.decoder is None else text
+
+
 def decoded(vocabulary: Vocabulary, ids: array) -> str:
     d = FileDecoder(vocabulary)
     return "".join(map(d.feed, ids)) + d.finish()
