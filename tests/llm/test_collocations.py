@@ -103,6 +103,14 @@ def test_products_beyond_64_bits(spark):
     assert C.scored(counts).head()["score"] == 10**6 * (big - 5) ** 2 // ((big + 7) * (big + 1))
 
 
+def test_phrases_of_one_hash_are_told_apart(spark, rows):
+    """Many phrases on one bit: more is counted by text, and nothing else changes."""
+    docs = spark.createDataFrame(rows, SCHEMA)
+    few = C.frequent(docs, most_bits=C.BLOCK_BITS, least=10)[0]
+    f, _ = phrases_of(rows)
+    assert {(r["lang"], r["phrase"]): r["f"] for r in few.where("size > 0").collect()} == {(lang, " ".join(p)): a for lang in f for p, a in f[lang].items() if a >= 10}
+
+
 def test_bits_hold_what_was_put_in(spark):
     marks = np.random.default_rng(1).integers(-2**63, 2**63 - 1, 5000)
     df = spark.createDataFrame([(int(m),) for m in marks], "mark long")

@@ -2,13 +2,15 @@
 
 Phrases of up to three words with `LEAST` occurrences in a language are found as follows.
 
-1. A sample of the documents is mined with a lowered threshold, first words, then pairs of
-   words that it holds often enough. These are the proposals.
-2. One pass over all documents counts the proposals and their negative border exactly: all
-   words, all pairs of proposed words, all triples whose two pairs are proposed.
+1. A sample of the documents is mined with a threshold of its share, first words, then pairs
+   of words that it holds often enough. These are the proposals.
+2. One pass over all documents counts the proposals and their negative border: all words, all
+   pairs of proposed words, all triples whose two pairs are proposed. Pairs and triples, of
+   which nearly all are rare, go by 64-bit hashes in it.
 3. A frequent word or pair of the border is a failure: what it might extend to was not
-   counted. Failures join the proposals, and a further pass counts what that adds. When a
-   pass has no failures the result is closed, so it is exact whatever the sample held.
+   counted. Failures join the proposals, and a further pass counts what that adds, and by
+   their texts what the hashes left as likely. When a pass has no failures the result is
+   closed, so it is exact whatever the sample held and whatever hashes met.
 
 Proposals travel as bit tables of hashes. The tables' size follows the number of proposals up
 to `MOST_BITS`; two phrases on one bit mean that some more are counted, never fewer.
@@ -39,7 +41,7 @@ UNKNOWN = "und"
 LEAST = 10
 TOP = 2000
 #: One document of so many is in the sample, and a phrase is proposed with so many occurrences there.
-SAMPLE_OF, SAMPLE_LEAST = 3, 3
+SAMPLE_OF, SAMPLE_LEAST = 3, 4
 #: A bit table has 32 bits for each proposal, and at most so many: 64 MB.
 BITS_EACH, MOST_BITS = 32, 1 << 29
 #: Bits of one row of a table under construction, as bitmap_construct_agg makes them.
@@ -106,10 +108,19 @@ def pair_marks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class Wanted:
-    """What a pass counts: words if it is the first, pairs and triples that the proposals allow and the ones before did not."""
+    """What a pass counts.
 
-    def __init__(self, words: Bits, pairs: Bits, old_words: Bits = Bits(), old_pairs: Bits = Bits(), all_words: bool = True):
-        self.words, self.pairs, self.old_words, self.old_pairs, self.all_words = words, pairs, old_words, old_pairs, all_words
+    Words if `all_words`; pairs of words in `words` and triples of pairs in `pairs`, but not
+    what `old_words` and `old_pairs` allowed an earlier pass to count, unless that found it
+    `likely`. With `by_mark` pairs and triples go by their hash, without their text.
+    """
+
+    def __init__(self, words: Bits, pairs: Bits, old_words: Bits = Bits(), old_pairs: Bits = Bits(), likely: Bits = Bits(), all_words: bool = False, by_mark: bool = False):
+        self.words, self.pairs, self.old_words, self.old_pairs = words, pairs, old_words, old_pairs
+        self.likely, self.all_words, self.by_mark = likely, all_words, by_mark
+
+    def take(self, allowed: np.ndarray, before: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        return allowed & (~before | self.likely.has(marks))
 
 
 class Counter:
@@ -138,39 +149,40 @@ class Counter:
         if want.all_words:
             f = np.bincount(a[skip:][word[skip:]], minlength=many)
             found = np.flatnonzero(f)
-            yield from self.batches(words, marks[found], f[found], found)
+            yield from self.batches(words, marks[found], f[found], False, found)
             yield self.batch(0, [b""], np.zeros(1, np.uint64), np.array([f.sum()]))
-        new, old = want.words.has(marks), want.old_words.has(marks)
-        left, right = a[:-1], a[1:]
-        both = word[:-1] & word[1:]
-        fresh = np.arange(1, len(a)) >= skip if len(a) else both
-        take = both & fresh & new[left] & new[right] & ~(old[left] & old[right])
-        keys, f = np.unique(left[take] * many + right[take], return_counts=True)
-        i, j = keys // many, keys % many
-        yield from self.batches(words, pair_marks(marks[i], marks[j]), f, i, j)
-        if want.pairs.size and len(a) > 2:
+        if len(a) > 1:
+            new, old, left, right = want.words.has(marks), want.old_words.has(marks), a[:-1], a[1:]
+            both, fresh = word[:-1] & word[1:], np.arange(1, len(a)) >= skip
             of_pair = pair_marks(marks[left], marks[right])
+            chosen = np.flatnonzero(both & fresh & want.take(new[left] & new[right], old[left] & old[right], of_pair))
+            _, at, f = np.unique(left[chosen] * many + right[chosen], return_index=True, return_counts=True)
+            at = chosen[at]
+            yield from self.batches(words, of_pair[at], f, want.by_mark, a[at], a[at + 1])
+        if want.pairs.size and len(a) > 2:
             new, old = both & want.pairs.has(of_pair), both & want.old_pairs.has(of_pair)
-            take = new[:-1] & new[1:] & ~(old[:-1] & old[1:]) & fresh[1:]
-            first, rank = np.unique((left * many + right)[:-1][take], return_inverse=True)
-            keys, f = np.unique(rank * many + a[2:][take], return_counts=True)
-            pair = first[keys // many]
-            yield from self.batches(words, np.zeros(len(keys), np.uint64), f, pair // many, pair % many, keys % many)
+            of_three = pair_marks(of_pair[:-1], marks[a[2:]])
+            chosen = np.flatnonzero(fresh[1:] & want.take(new[:-1] & new[1:], old[:-1] & old[1:], of_three))
+            _, rank = np.unique((left * many + right)[chosen], return_inverse=True)
+            _, at, f = np.unique(rank * many + a[chosen + 2], return_index=True, return_counts=True)
+            at = chosen[at]
+            yield from self.batches(words, of_three[at], f, want.by_mark, a[at], a[at + 1], a[at + 2])
         last = [words[x] for x in a[-2:]]
         self.ids, self.held, self.skip = Ids(), 0, len(last)
         self.parts = [np.array([self.ids[w] for w in last], dtype=np.int64)]
 
-    def batches(self, words: list[bytes], marks: np.ndarray, f: np.ndarray, *places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def batches(self, words: list[bytes], marks: np.ndarray, f: np.ndarray, by_mark: bool, *places: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Counts of the phrases whose words stand at `places`, some at a time."""
         for at in range(0, len(f), BATCH_ROWS):
             part = slice(at, at + BATCH_ROWS)
-            phrases = [b" ".join(p) for p in zip(*(map(words.__getitem__, x[part].tolist()) for x in places))]
+            phrases = None if by_mark else [b" ".join(p) for p in zip(*(map(words.__getitem__, x[part].tolist()) for x in places))]
             yield self.batch(len(places), phrases, marks[part], f[part])
 
-    def batch(self, size: int, phrases: list[bytes], marks: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        n = len(phrases)
-        return pa.RecordBatch.from_arrays([pa.array([self.lang] * n, pa.string()), pa.array([size] * n, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()),
-                                           pa.array(marks.astype(np.int64)), pa.array(f.astype(np.int64))], names=["lang", "size", "phrase", "mark", "f"])
+    def batch(self, size: int, phrases: list[bytes] | None, marks: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        # A hash holds its language already.
+        n = len(f)
+        text = [pa.nulls(n, pa.string())] * 2 if phrases is None else [pa.array([self.lang] * n, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())]
+        return pa.RecordBatch.from_arrays([text[0], pa.array(np.full(n, size, np.int32)), text[1], pa.array(marks.astype(np.int64)), pa.array(f.astype(np.int64))], names=["lang", "size", "phrase", "mark", "f"])
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -242,8 +254,8 @@ def failures(counted: DataFrame, size: int, proposed: Bits, most: int) -> Bits:
 def proposals(rows: DataFrame, least: int, most: int) -> tuple[Bits, Bits]:
     """Words and pairs that are frequent enough in the sample."""
     sample = rows.where("drawn")
-    words = table_of(settle(count(sample, Wanted(Bits(), Bits()), least), "sample-words"), 1, most)
-    return words, table_of(settle(count(sample, Wanted(words, Bits(), all_words=False), least), "sample-pairs"), 2, most)
+    words = table_of(settle(count(sample, Wanted(Bits(), Bits(), all_words=True), least), "sample-words"), 1, most)
+    return words, table_of(settle(count(sample, Wanted(words, Bits(), by_mark=True), least), "sample-pairs"), 2, most)
 
 
 def frequent(docs: DataFrame, least: int = LEAST, sample_least: int = SAMPLE_LEAST, most_bits: int = MOST_BITS, **blocks_of: int) -> tuple[DataFrame, int]:
@@ -251,15 +263,19 @@ def frequent(docs: DataFrame, least: int = LEAST, sample_least: int = SAMPLE_LEA
     ship(docs.sparkSession)
     rows = texts(docs)
     words, pairs = proposals(rows, sample_least, most_bits)
-    wanted, found, passes = Wanted(words, pairs), [], 0
+    wanted, passes = Wanted(words, pairs, all_words=True, by_mark=True), 1
+    now = settle(count(rows, wanted, least, **blocks_of), "counted")
+    found = [now.where("size <= 1")]
+    marks = now.where("size >= 2")
+    likely = bits(marks, marks.count(), most_bits)
     while True:
-        passes += 1
-        now = settle(count(rows, wanted, least, **blocks_of), "counted")
-        found.append(now)
         more_words, more_pairs = failures(now, 1, wanted.words, most_bits), failures(now, 2, wanted.pairs, most_bits)
-        if not more_words.size and not more_pairs.size:
+        if not (likely.size or more_words.size or more_pairs.size):
             break
-        wanted = Wanted(wanted.words.union(more_words), wanted.pairs.union(more_pairs), wanted.words, wanted.pairs, all_words=False)
+        passes += 1
+        wanted = Wanted(wanted.words.union(more_words), wanted.pairs.union(more_pairs), wanted.words, wanted.pairs, likely)
+        now, likely = settle(count(rows, wanted, least, **blocks_of), "counted"), Bits()
+        found.append(now)
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df)
