@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 OVERALL_FLOOR_PCT, GROUP_FLOOR_PCT = 75.0, 70.0
 GROUP_MIN_EVENTS = 200
 SUSTAINED_DAYS = 7
 VETO_MIN_ROWS = 1100
+REPLICATES = 10_000
 
 
 def daily_hits(scored: DataFrame) -> DataFrame:
@@ -43,61 +45,84 @@ def coverage_trigger(daily: DataFrame, days: int = 7, sustained: int = SUSTAINED
     )
 
 
-def _draw(seed: int, *keys: str) -> Column:
-    """A number fixed by the seed and the keys, the same in any engine that has md5."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-
-
-def bootstrap(units: DataFrame, diff: str, reps: int, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+def bootstrap(units: DataFrame, diff: str, reps: int = REPLICATES, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """Paired bootstrap of the mean of `diff`, resampling whole units with replacement.
 
-    `units` has one row per unit (a day), already aggregated. Each replicate draws as many
-    unit numbers as there are units; draws meet units by equality on that number.
+    `units` has one row per unit (a day), already aggregated, so a group is an array of its
+    days. Which days a replicate draws depends on the seed, the replicate and the number of
+    days alone: how often each is drawn is worked out once per group size in a task, and a
+    group's replicate means are that table times its array. One exchange, whatever `reps`.
+
+    Draw `i` of replicate `r` is the first 32 bits of md5("seed|r|i") modulo the size, so any
+    engine can repeat them.
     """
-    w = Window.partitionBy(*by).orderBy("unit") if by else Window.orderBy("unit")
-    size = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    numbered = units.select(*by, "unit", F.col(diff).alias("_d")).withColumns(
-        {"_i": (F.row_number().over(w) - 1).cast("int"), "_s": F.count(F.lit(1)).over(size).cast("int")}
-    )
-    draws = (
-        numbered.select(*by, "_i", "_s")
-        .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-        .withColumn("_i", (_draw(seed, "rep", "_i") % F.col("_s")).cast("int"))
-        .groupBy(*by, "rep", "_i").agg(F.count(F.lit(1)).alias("_times"))
-    )
-    means = (
-        draws.join(numbered.select(*by, "_i", "_s", "_d"), [*by, "_i"])
-        .groupBy(*by, "rep")
-        .agg((F.sum(F.col("_d") * F.col("_times")) / F.sum("_times")).alias("_m"))
-    )
-    ends = means.groupBy(*by).agg(
-        F.percentile("_m", 0.025).alias("lo"), F.percentile("_m", 0.975).alias("hi")
-    )
-    point = numbered.groupBy(*by).agg(F.avg("_d").alias("point"), F.count(F.lit(1)).alias("n_units"))
-    if by:
-        out = point.join(ends, list(by))
-    else:
-        out = point.withColumns({"lo": ends.select("lo").scalar(), "hi": ends.select("hi").scalar()})
-    return out.withColumn("significant", F.col("hi") < 0)
+    days = units.where(F.col(diff).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("unit", F.col(diff).cast("double").alias("d")))).alias("u"))
+    rows = days.where(F.size("u") > 0).select(*by, F.transform("u", lambda x: x["d"]).alias("u"))
+    kept = [rows.schema[c] for c in by]
+    schema = T.StructType([*kept, *(T.StructField(c, T.DoubleType()) for c in ("point", "lo", "hi")), T.StructField("n_units", T.LongType())])
+
+    def resampled(batches):
+        """Local, so it travels to the workers by value."""
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        most, drawn, times_drawn = 4_000_000, {}, {}
+
+        def numbers(i: int) -> np.ndarray:
+            if i not in drawn:
+                drawn[i] = np.fromiter((int.from_bytes(hashlib.md5(f"{seed}|{r}|{i}".encode()).digest()[:4]) for r in range(reps)), dtype=np.int64, count=reps)
+            return drawn[i]
+
+        def weights(size: int, lo: int, hi: int) -> np.ndarray:
+            picks = np.stack([numbers(i)[lo:hi] % size for i in range(size)], axis=1)
+            flat = (np.arange(hi - lo)[:, None] * size + picks).ravel()
+            return np.bincount(flat, minlength=(hi - lo) * size).reshape(hi - lo, size)
+
+        def means(d: np.ndarray) -> np.ndarray:
+            size, step = len(d), max(1, most // len(d))
+            if step < reps:
+                return np.concatenate([weights(size, lo, min(reps, lo + step)) @ d / size for lo in range(0, reps, step)])
+            if size not in times_drawn:
+                if sum(w.size for w in times_drawn.values()) > 4 * most:
+                    times_drawn.clear()
+                times_drawn[size] = weights(size, 0, reps).astype(float)
+            return times_drawn[size] @ d / size
+
+        for b in batches:
+            out = []
+            for u in b.column(b.num_columns - 1):
+                d = np.array(u.as_py(), dtype=float)
+                lo, hi = np.percentile(means(d), [2.5, 97.5])
+                out.append((float(d.mean()), float(lo), float(hi), len(d)))
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, t) for c, t in zip(cols, [pa.float64()] * 3 + [pa.int64()]))], names=[*by, "point", "lo", "hi", "n_units"])
+
+    return rows.mapInArrow(resampled, schema).withColumn("significant", F.col("hi") < 0)
 
 
 def promotion_gate(rows: DataFrame, by: str, champion: Column, challenger: Column, unit: str,
-                   reps: int, seed: int = 0, min_rows: int = VETO_MIN_ROWS) -> DataFrame:
-    """Per group, challenger minus champion cost: may it veto, and does it?
+                   reps: int = REPLICATES, seed: int = 0, min_rows: int = VETO_MIN_ROWS,
+                   hits: tuple[Column, Column] | None = None) -> DataFrame:
+    """Overall (`by` null) and per group: challenger minus champion, in error (`metric` is
+    `error`) and, with the two sides' `hits`, in points of coverage. May it veto, and does it?
 
-    A group can veto only with enough rows, and only when its whole interval is worse.
+    A side is worse only when its whole interval is: more error, or less coverage. The whole
+    can always veto, a group only with enough rows. `unit` is what is resampled, a day.
     """
-    daily = rows.groupBy(by, F.col(unit).alias("unit")).agg(
-        F.avg(challenger - champion).alias("diff"), F.count(F.lit(1)).alias("_n")
-    )
-    counts = daily.groupBy(by).agg(F.sum("_n").alias("n"))
-    ci = bootstrap(daily, "diff", reps, seed, by=(by,))
-    return ci.join(counts, by).withColumns({
-        "worse": F.col("lo") > 0,
-        "can_veto": F.col("n") >= min_rows,
-        "veto": (F.col("lo") > 0) & (F.col("n") >= min_rows),
-    })
+    measures = {"error": (challenger - champion, 1)}
+    if hits is not None:
+        measures["coverage"] = (100 * (hits[1].cast("int") - hits[0].cast("int")), -1)
+    named = rows.select(F.col(by).alias(by), F.col(unit).alias("unit"), *(c.cast("double").alias(f"m_{n}") for n, (c, _) in measures.items()))
+    named = named.withColumn(by, F.coalesce(F.col(by), F.lit("(none)")))
+    daily = named.groupingSets([["unit"], ["unit", by]], "unit", by).agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"m_{n}").alias(n) for n in measures))
+    tall = daily.unpivot(["unit", by, "n"], list(measures), "metric", "diff")
+    counts = daily.groupBy(by).agg(F.sum("n").alias("n")).withColumnRenamed(by, "_by")
+    ci = bootstrap(tall, "diff", reps, seed, by=("metric", by))
+    worse = F.when(F.col("metric") == "coverage", F.col("hi") < 0).otherwise(F.col("lo") > 0)
+    able = F.col(by).isNull() | (F.col("n") >= min_rows)
+    return ci.join(counts, F.col(by).eqNullSafe(F.col("_by"))).drop("_by").withColumns({"worse": worse, "can_veto": able, "veto": worse & able})
 
 
 def monthly_drift(scored: DataFrame) -> DataFrame:

@@ -147,14 +147,15 @@ VIEWS["held_long"] = """
 
 
 def boot_sql(units: str, by: str, reps: int, seed: int) -> str:
-    """Bootstrap over `units` (by…, unit, d) as SQL with the same md5 draws."""
+    """Bootstrap over `units` (by…, i, s, d), numbered from 0 in groups of s, as SQL with the same md5 draws."""
     return f"""
   SELECT p.*, e.lo, e.hi, e.hi < 0 AS significant FROM (SELECT {by}, avg(d) AS point, count(*) AS n_units FROM {units} GROUP BY {by}) p
   JOIN (SELECT {by}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (
-    SELECT {by}, rep, avg(d) AS m FROM (
-      SELECT {', '.join('n.' + b.strip() for b in by.split(','))}, r.rep, CAST(concat('0x', substr(md5(concat('{seed}|', CAST(r.rep AS VARCHAR), '|', CAST(n.i AS VARCHAR))), 1, 8)) AS BIGINT) % n.s AS pick
-      FROM numbered n CROSS JOIN (SELECT unnest(range(0, {reps})) AS rep) r) x
-    JOIN (SELECT {by}, i AS pick, d FROM numbered) USING ({by}, pick) GROUP BY {by}, rep) GROUP BY {by}) e USING ({by})"""
+    SELECT {by}, rep, sum(d * times) / any_value(s) AS m FROM (
+      SELECT s, rep, pick, count(*) AS times FROM (
+        SELECT s, rep, CAST(concat('0x', substr(md5(concat('{seed}|', CAST(rep AS VARCHAR), '|', CAST(i AS VARCHAR))), 1, 8)) AS BIGINT) % s AS pick
+        FROM (SELECT DISTINCT s, i FROM {units}) CROSS JOIN (SELECT unnest(range(0, {reps})) AS rep)) GROUP BY ALL)
+    JOIN {units} n USING (s) WHERE n.i = pick GROUP BY {by}, rep) GROUP BY {by}) e ON {' AND '.join(f'e.{b.strip()} IS NOT DISTINCT FROM p.{b.strip()}' for b in by.split(','))}"""
 
 
 VIEWS["numbered"] = """
@@ -166,9 +167,9 @@ VIEWS["numbered"] = """
 SELECT train_code, candidate, weighting, {fixed_sql('held_out_cost', 9)} AS held_out_cost, {fixed_sql('base_cost', 9)} AS base_cost, n_units,
        {fixed_sql('point', 9)} AS point, {fixed_sql('lo', 9)} AS lo, {fixed_sql('hi', 9)} AS hi
 FROM (SELECT train_code, candidate, weighting, avg(cost) AS held_out_cost, avg(base_cost) AS base_cost FROM held_long GROUP BY ALL)
-JOIN ({boot_sql('numbered', 'train_code, candidate, weighting', 40, 1)}) USING (train_code, candidate, weighting)""")
+JOIN ({boot_sql('numbered', 'train_code, candidate, weighting', drift.REPLICATES, 1)}) USING (train_code, candidate, weighting)""")
 def candidate_sweep(spark, sf):
-    out = scenarios.sweep(_with_even(_instances(spark, sf)), candidates(), "timetable", reps=40, seed=1)
+    out = scenarios.sweep(_with_even(_instances(spark, sf)), candidates(), "timetable", drift.REPLICATES, seed=1)
     return shown(out.drop("significant"), 9)
 
 
@@ -188,18 +189,27 @@ def network_slack(spark, sf):
     return shown(scenarios.segment_slack(*_stops(spark, sf)))
 
 
+VIEWS["gate_rows"] = """
+  SELECT station_group, service_date, abs(q50_sec - 30 - actual_delay_sec) - abs(q50_sec - actual_delay_sec) AS error,
+         100.0 * (CAST(actual_delay_sec BETWEEN q10_sec + 30 AND q90_sec AS INT) - CAST(interval_hit AS INT)) AS coverage
+  FROM scores WHERE score_state = 'scored'"""
 VIEWS["gate_units"] = """
-  SELECT station_group, location_code AS unit, avg(abs(q50_sec - 30 - actual_delay_sec) - abs(q50_sec - actual_delay_sec)) AS d, count(*) AS n FROM scores
-  WHERE score_state = 'scored' GROUP BY 1, 2"""
-VIEWS["gate_numbered"] = "SELECT *, row_number() OVER (PARTITION BY station_group ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY station_group) AS s FROM gate_units"
+  SELECT m.metric, g.station_group, service_date AS unit, count(*) AS n, avg(CASE m.metric WHEN 'error' THEN CAST(error AS DOUBLE) ELSE coverage END) AS d
+  FROM (SELECT station_group, * EXCLUDE (station_group) FROM gate_rows UNION ALL SELECT NULL, * EXCLUDE (station_group) FROM gate_rows) g CROSS JOIN (VALUES ('error'), ('coverage')) AS m(metric) GROUP BY 1, 2, 3"""
+VIEWS["gate_numbered"] = "SELECT *, row_number() OVER (PARTITION BY metric, station_group ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY metric, station_group) AS s FROM gate_units"
 
 
 @query("promotion_gate_a33", f"""
-SELECT station_group, n_units, {fixed_sql('point', 4)} AS point, {fixed_sql('lo', 4)} AS lo, {fixed_sql('hi', 4)} AS hi, CAST(n AS BIGINT) AS n, lo > 0 AS worse, n >= 1100 AS can_veto, lo > 0 AND n >= 1100 AS veto
-FROM ({boot_sql('gate_numbered', 'station_group', 60, 2).replace('FROM numbered', 'FROM gate_numbered')}) JOIN (SELECT station_group, sum(n) AS n FROM gate_units GROUP BY 1) USING (station_group)""")
+SELECT b.metric, b.station_group, n_units, {fixed_sql('point', 4)} AS point, {fixed_sql('lo', 4)} AS lo, {fixed_sql('hi', 4)} AS hi, CAST(n AS BIGINT) AS n,
+       CASE b.metric WHEN 'error' THEN lo > 0 ELSE hi < 0 END AS worse, b.station_group IS NULL OR n >= 1100 AS can_veto,
+       CASE b.metric WHEN 'error' THEN lo > 0 ELSE hi < 0 END AND (b.station_group IS NULL OR n >= 1100) AS veto
+FROM ({boot_sql('gate_numbered', 'metric, station_group', drift.REPLICATES, 2)}) b
+JOIN (SELECT metric, station_group, sum(n) AS n FROM gate_units GROUP BY 1, 2) c ON c.metric = b.metric AND c.station_group IS NOT DISTINCT FROM b.station_group""")
 def promotion_gate(spark, sf):
+    """A challenger 30 seconds lower, with a narrower range: in error and in coverage, overall and by group, days resampled."""
     from .scores import scored
     clean = scored(spark, sf).where("score_state = 'scored'")
     a, q = F.col("actual_delay_sec"), F.col("q50_sec")
-    out = drift.promotion_gate(clean, "station_group", F.abs(q - a), F.abs(q - 30 - a), "location_code", reps=60, seed=2)
+    hits = F.col("interval_hit"), a.between(F.col("q10_sec") + 30, F.col("q90_sec"))
+    out = drift.promotion_gate(clean, "station_group", F.abs(q - a), F.abs(q - 30 - a), "service_date", seed=2, hits=hits)
     return shown(out.drop("significant"), 4)
