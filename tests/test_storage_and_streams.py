@@ -111,6 +111,65 @@ def test_published_copy_is_identical(spark):
     assert spark.read.text(a).collect() == spark.read.text(b).collect()
 
 
+def test_a_reader_always_finds_a_whole_document(spark):
+    """Two versions in turn while a thread reads: always the one or the other, whole, and one file only."""
+    import os
+    import threading
+    place = scratch_path(spark, "live")
+    bodies = ["\n".join(f"{v}-{i}" for i in range(3000)) for v in "ab"]
+    frames = [spark.createDataFrame([(line,) for line in b.split("\n")], "value string").coalesce(1) for b in bodies]
+    sinks.publish(frames[0], place)
+    seen, stop = [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            names = sorted(n for n in os.listdir(place) if not n.startswith("."))
+            with open(f"{place}/{names[-1]}") as f:
+                seen.append((1 <= len(names) <= 2, f.read().strip() in bodies))
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for i in range(6):
+        sinks.publish(frames[(i + 1) % 2], place)
+    alive = reader.is_alive()
+    stop.set()
+    reader.join()
+    assert alive and len(seen) > 20 and {whole for _, whole in seen} == {True}
+    assert sorted("\n".join(r[0] for r in sinks.published(spark, place).collect()) == b for b in bodies) == [False, True]
+
+
+def test_parse_opens_new_dates_only(spark, tmp_path):
+    from timekeel.plans import offline
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+
+    def day(date, body=None):
+        (raw / date).mkdir(parents=True, exist_ok=True)
+        with gzip.open(raw / date / "A1.xml.gz", "wb") as z:
+            z.write((body or XML.format(rows=ROW.format(c="aaaa", o=1, s="10:00:00", a="10:01:00"))).encode())
+
+    day("2026-08-25")
+    day("2026-08-26")
+    assert [f[-10:] for f in offline.parse(spark, str(raw), out)] == ["2026-08-25", "2026-08-26"]
+    # The finished dates could not be read any more, and are not.
+    for date in ("2026-08-25", "2026-08-26"):
+        (raw / date / "A1.xml.gz").write_bytes(b"not a file of the archive")
+    day("2026-08-27")
+    assert [f[-10:] for f in offline.parse(spark, str(raw), out)] == ["2026-08-27"]
+    assert offline.parse(spark, str(raw), out) == []
+    assert {str(r["date"]) for r in spark.read.parquet(out).collect()} == {"2026-08-25", "2026-08-26", "2026-08-27"}
+    assert len(offline.new_folders(spark, str(raw), out, force=True)) == 3
+
+
+def test_census_counts_what_cannot_be_read(spark, tmp_path):
+    folder = tmp_path / "2026-08-25"
+    folder.mkdir()
+    whole = gzip.compress(XML.format(rows="").encode())
+    for name, body in (("a.xml.gz", whole), ("cut.xml.gz", whole[:-9]), ("plain.xml.gz", b"<a/>"), ("open.xml.gz", gzip.compress(b"<a><b></a>" * 30)), ("empty.xml.gz", gzip.compress(b"")), ("half.tmp", b"x")):
+        (folder / name).write_bytes(body)
+    c = logs.census(spark, str(tmp_path), empty_max=10).first()
+    assert (c["files"], c["empty"], c["unreadable"], c["unparseable"], c["strays"]) == (5, 1, 2, 1, 1)
+
+
 def test_nothing_is_published_when_the_log_refuses(spark, tmp_path):
     from timekeel.plans import serve
     rows = spark.createDataFrame([("predicted", None, dt.date(2024, 1, 2), "T1", "AAAA", 600, "5-15 min", 36000, -60, 30, 90, -60, 90)],
@@ -134,3 +193,40 @@ def test_training_job_reads_back_what_it_fitted(spark, small, tmp_path):
     report = train.train(spark, ex, {"train": ("2024-01-01", "2024-01-19"), "test": ("2024-01-20", "2024-12-31")}, str(tmp_path), "v1", rounds=2, depth=3).collect()
     assert {r["predictor"] for r in report} == {"model", "persistence"}
     assert all(0 < r["loss50"] < 1e5 for r in report)
+
+
+def test_sessions_from_pieces_equal_one_walk_and_split_a_side(spark):
+    """Captures of one side over days: pieces spread over many keys, sessions equal a plain walk."""
+    import random
+    from timekeel.streaming import streams
+    rng, at, times = random.Random(6), 1_700_000_000, []
+    for _ in range(900):
+        at += rng.choice([60, 60, 300, 900, 901, 1800, 5000])
+        times += [at] * rng.randint(1, 3)
+    rows = [("local" if i % 7 else "cloud", t, i) for i, t in enumerate(times)]
+    schema = "side string, sec long, id int"
+    far = 1_900_000_000
+
+    def land(df, stamp):
+        path = scratch_path(spark, "captures")
+        df.write.parquet(path)
+        df.limit(1).withColumn(stamp, F.timestamp_seconds(F.lit(far))).write.mode("append").parquet(path)
+        return streams.follow(spark, path, df.schema)
+
+    def drained(s):
+        return spark.read.schema(s.schema).parquet(streams.drain(s, "out", scratch_path(spark, "state"))).where(F.col("start_at") < F.timestamp_seconds(F.lit(far)))
+
+    caps = spark.createDataFrame(rows, schema).withColumn("polled_at", F.timestamp_seconds("sec"))
+    pieces = drained(streams.session_pieces(land(caps, "polled_at")))
+    assert pieces.count() > 200
+    got = sorted((r["side"], r["a"], r["b"], r["n"]) for r in drained(streams.merged_sessions(land(pieces, "start_at"))).select(
+        "side", F.unix_timestamp("start_at").alias("a"), F.unix_timestamp("end_at").alias("b"), "n").collect())
+    want = []
+    for side in ("cloud", "local"):
+        run = None
+        for t in sorted(t for s, t, _ in rows if s == side):
+            if run is None or t - run[2] > 900:
+                run = [side, t, t, 0]
+                want.append(run)
+            run[2], run[3] = t, run[3] + 1
+    assert got == sorted(map(tuple, want))

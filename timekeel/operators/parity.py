@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import times
+from ..session import settle
 
 # Fixed values.
 GAP_SEC = 15 * 60
@@ -21,6 +22,10 @@ OVERLAP_TARGET_PCT = 99.5
 MIN_HOURS = 2.0
 KEY = ("service_date", "train_code", "station_code")
 
+#: Cells of time for the search of the nearest cycle: an hour, and so many cells to a block, so
+#: many times over. One block then holds two thousand years, from about the year 1020.
+TIME_CELL_SEC, CELLS_OF_BLOCK, TIME_LEVELS, TIME_SHIFT = 3600, 64, 4, 30_000_000_000
+
 
 def cycle_report(rows: DataFrame) -> DataFrame:
     """Attempted, failed and skipped per cycle, and the status they make."""
@@ -174,18 +179,33 @@ def paired_cycles(cycles: DataFrame, within: int = PAIR_SEC) -> DataFrame:
 def phase_offset(cycles: DataFrame) -> DataFrame:
     """Upper median of each local cycle's distance to the nearest cloud cycle.
 
-    The nearest neighbour on either side comes from one ordered pass over both schedules.
+    Cycles lie in cells of time, cells in blocks of cells, and so on up to one block of all
+    time. The nearest cloud cycle on either side is in the cycle's own cell, or else in the
+    nearest cell of its block that has one, or else further up: every step looks through one
+    cell or through the few cells of one block, and no step through all cycles.
     """
-    c = cycles.select("side", "cycle_sec").distinct()
+    c = cycles.select("side", "cycle_sec").distinct().withColumn("_b0", F.floor((F.col("cycle_sec") + TIME_SHIFT) / TIME_CELL_SEC))
     cloud = F.when(F.col("side") == "cloud", F.col("cycle_sec"))
-    up, down = (
-        Window.orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("cycle_sec"), F.desc("cycle_sec"))
-    )
-    before = F.last(cloud, ignorenulls=True).over(up)
-    after = F.last(cloud, ignorenulls=True).over(down)
-    near = c.withColumns({"_b": before, "_a": after}).where("side = 'local'")
-    gap = F.least(F.col("cycle_sec") - F.col("_b"), F.col("_a") - F.col("cycle_sec"))
-    return near.select(gap.alias("gap")).agg(
+    within = Window.partitionBy("_b0").orderBy("cycle_sec")
+    near = c.withColumns({
+        "_before": F.last(cloud, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)),
+        "_after": F.first(cloud, ignorenulls=True).over(within.rowsBetween(0, Window.unboundedFollowing))})
+    blocks = settle(c.groupBy("_b0").agg(F.min(cloud).alias("_lo"), F.max(cloud).alias("_hi")), "cells")
+    levels = []
+    for k in range(TIME_LEVELS):
+        up = blocks.withColumn(f"_b{k + 1}", F.floor(F.col(f"_b{k}") / CELLS_OF_BLOCK))
+        along = Window.partitionBy(f"_b{k + 1}").orderBy(f"_b{k}")
+        levels.append(up.withColumns({
+            "_prev": F.last("_hi", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)),
+            "_next": F.first("_lo", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))}).drop("_lo", "_hi"))
+        blocks = up.groupBy(f"_b{k + 1}").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    carried = levels[-1]
+    for k in range(TIME_LEVELS - 2, -1, -1):
+        above = carried.select(f"_b{k + 1}", F.col("_prev").alias("_p"), F.col("_next").alias("_n"))
+        carried = levels[k].join(above, f"_b{k + 1}").select(f"_b{k}", F.coalesce("_prev", "_p").alias("_prev"), F.coalesce("_next", "_n").alias("_next"))
+    met = near.where("side = 'local'").join(carried.select("_b0", "_prev", "_next"), "_b0")
+    gap = F.least(F.col("cycle_sec") - F.coalesce("_before", "_prev"), F.coalesce("_after", "_next") - F.col("cycle_sec"))
+    return met.select(gap.alias("gap")).agg(
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY gap DESC)").cast("bigint").alias("offset_sec")
     )
 

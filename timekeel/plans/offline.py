@@ -10,10 +10,20 @@ from ..operators import journeys, metrics
 from ..sources import feeds, sinks
 
 
-def parse(spark: SparkSession, raw: str, out: str, force: bool = False) -> None:
-    """Feed XML to typed stop rows by date; dates already written are left alone."""
-    rows = feeds.parse_movements(feeds.read_movements(spark, raw)).withColumn("date", F.col("file_date"))
-    sinks.write_partitioned(sinks.pending(rows, out, force=force), out, ("date",))
+def new_folders(spark: SparkSession, raw: str, out: str, force: bool = False) -> list[str]:
+    """The archive's date folders that `out` has no partition of; one name a date is looked at."""
+    done = set() if force else set(sinks.partition_values(spark, out) or ())
+    return [folder for date, folder in sinks.date_folders(spark, raw).items() if date not in done]
+
+
+def parse(spark: SparkSession, raw: str, out: str, force: bool = False) -> list[str]:
+    """Feed XML to typed stop rows by date. Only folders of dates not written yet are handed
+    to the reader, so finished dates are never opened; the folders read are returned."""
+    folders = new_folders(spark, raw, out, force)
+    if folders:
+        rows = feeds.parse_movements(feeds.read_movements(spark, folders))
+        sinks.write_partitioned(rows.withColumn("date", F.col("file_date")), out, ("date",))
+    return folders
 
 
 def cut_examples(stops: DataFrame, out: str, ranges: dict[str, tuple[str, str]], excluded: tuple[str, ...] = (),

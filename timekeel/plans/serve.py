@@ -59,5 +59,4 @@ def serve(rows: DataFrame, version: str, at: Column, log: str, *published: str)
     held = settle(log_rows(rows, version, at), "served")
     sinks.append_predictions(held, log, F.col("train_date").cast("date"))
     said = held.where(F.col("outcome") == "predicted").select(F.to_json(F.struct("train_date", "train_code", "station_code", "scheduled_arrival", "pred_q10_sec", "pred_q50_sec", "pred_q90_sec")).alias("value"))
-    for path in published:
-        said.write.mode("overwrite").text(path)
+    sinks.publish(said, *published)

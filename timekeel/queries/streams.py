@@ -104,9 +104,11 @@ SELECT side, min(cycle_sec) AS start_sec, max(cycle_sec) AS end_sec, count(*) AS
   SELECT *, sum(broke) OVER (PARTITION BY side ORDER BY cycle_sec, event_id) AS run FROM (
     SELECT *, CASE WHEN cycle_sec - lag(cycle_sec) OVER (PARTITION BY side ORDER BY cycle_sec, event_id) > 900 THEN 1 ELSE 0 END AS broke FROM captures)) GROUP BY side, run""")
 def uptime_sessions_stream(spark, sf):
+    """Two streams, one after the other: the pieces of sessions, and the sessions that they make."""
     c = views.captures(spark, sf).select("side", "event_id", F.timestamp_seconds("cycle_sec").alias("polled_at"))
-    out = back(spark, streams.uptime_sessions(source(c, "captures", "polled_at")), "sessions")
-    return out.select("side", F.unix_timestamp("start_at").alias("start_sec"), F.unix_timestamp("end_at").alias("end_sec"), "n")
+    pieces = back(spark, streams.session_pieces(source(c, "captures", "polled_at")), "pieces")
+    out = back(spark, streams.merged_sessions(source(pieces.where(F.col("start_at") < FAR), "pieces-log", "start_at")), "sessions")
+    return out.where(F.col("start_at") < FAR).select("side", F.unix_timestamp("start_at").alias("start_sec"), F.unix_timestamp("end_at").alias("end_sec"), "n")
 
 
 @query("latest_vantage_stream_t7", """

@@ -37,7 +37,7 @@ def text_schema(fields) -> T.StructType:
     return T.StructType([T.StructField(f, T.StringType()) for f in fields])
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str, fields) -> DataFrame:
+def read_xml(spark: SparkSession, path: str | list[str], row_tag: str, fields) -> DataFrame:
     """Records of one tag, every field as trimmed text ('' when absent), and their file."""
     raw = spark.read.format("xml").option("rowTag", row_tag).schema(text_schema(fields)).load(path)
     return raw.select(
@@ -46,7 +46,7 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, fields) -> DataFrame:
     )
 
 
-def read_movements(spark: SparkSession, path: str) -> DataFrame:
+def read_movements(spark: SparkSession, path: str | list[str]) -> DataFrame:
     raw = read_xml(spark, path, ROW_TAGS["movements"], MOVEMENT_FIELDS)
     return raw.withColumn("file_date", F.regexp_extract("source_file", DATE_DIR, 1))
 

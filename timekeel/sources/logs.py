@@ -90,15 +90,50 @@ def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.option("multiLine", True).schema(schema).json(path)
 
 
+def checked_files(spark: SparkSession, path: str) -> DataFrame:
+    """Every file under `path` opened whole: its plain size, null if it can't be unpacked, and
+    whether its XML parses (null for other files)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
+
+    def check(batches):
+        """Local, so it travels to the workers by value."""
+        import gzip
+        import zlib
+        from xml.parsers import expat
+
+        import pyarrow as pa
+
+        for b in batches:
+            sizes, parsed = [], []
+            for name, content in zip(b.column(0).to_pylist(), b.column(2)):
+                body, plain, fine = content.as_buffer(), None, None
+                try:
+                    plain = gzip.decompress(body) if name.endswith(".gz") else bytes(body)
+                except (OSError, EOFError, zlib.error):
+                    pass
+                if plain is not None and ".xml" in name.rsplit("/", 1)[-1]:
+                    try:
+                        expat.ParserCreate().Parse(plain, True)
+                        fine = True
+                    except expat.ExpatError:
+                        fine = False
+                sizes.append(None if plain is None else len(plain))
+                parsed.append(fine)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(parsed, pa.bool_())], names=["path", "length", "size", "parses"])
+
+    return files.mapInArrow(check, "path string, length long, size long, parses boolean")
+
+
 def census(spark: SparkSession, path: str, empty_max: int = 200) -> DataFrame:
-    """Files per date: how many, empty, stray, bytes, median size. Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    dated = files.withColumn("date", F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})/[^/]*$", 1)).where(F.col("date") != "")
+    """Files per date: how many, empty, that can't be unpacked, that don't parse, stray; bytes
+    as stored, and the median plain size."""
+    dated = checked_files(spark, path).withColumn("date", F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})/[^/]*$", 1)).where(F.col("date") != "")
     stray = F.col("path").endswith(".tmp")
-    kept = F.when(~stray, F.col("length"))
+    size, full = F.when(~stray, F.col("size")), ~stray & (F.col("size") > empty_max)
     return dated.groupBy("date").agg(
-        F.count_if(~stray).alias("files"), F.count_if(kept <= empty_max).alias("empty"), F.count_if(stray).alias("strays"),
-        F.sum(kept).alias("bytes"), F.percentile(kept, 0.5).alias("median_size"))
+        F.count_if(~stray).alias("files"), F.count_if(size <= empty_max).alias("empty"), F.count_if(~stray & F.col("size").isNull()).alias("unreadable"),
+        F.count_if(full & ~F.col("parses")).alias("unparseable"), F.count_if(stray).alias("strays"),
+        F.sum(F.when(~stray, F.col("length"))).alias("bytes"), F.percentile(size, 0.5).alias("median_size"))
 
 
 def partitions(df: DataFrame, column: str = "date") -> DataFrame:

@@ -3,6 +3,10 @@ rows is written by many tasks and a thin date by one."""
 
 from __future__ import annotations
 
+import re
+import uuid
+
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ ALWAYS = ("outcome", "predicted_at", "model_version", "train_date", "train_code"
 PREDICTED = ("scheduled_arrival", "pred_q10_sec", "pred_q50_sec", "pred_q90_sec")
 DECLINED = ("reason",)
 
+VERSION = re.compile(r"version-\d{12}\.txt")
+
 
 class LogWriteFailed(Exception):
     """The predictions could not be logged, so they must not be served."""
@@ -54,11 +60,55 @@ def write_scores(df: DataFrame, path: str) -> None:
 
 
 def publish(document: DataFrame, *paths: str) -> None:
-    """A one-row JSON document, written first beside the data and then to each copy."""
-    first, *copies = paths
-    document.coalesce(1).write.mode("overwrite").text(first)
-    for p in copies:
-        document.sparkSession.read.text(first).coalesce(1).write.mode("overwrite").text(p)
+    """A document, written beside each of its places and then put there in one step.
+
+    A place is a folder whose newest version is the document. A version appears whole, by a
+    rename to a name that was not there, and the one before it stays for those who are reading
+    it; earlier ones go. `published` reads the newest, at any moment a whole one.
+    """
+    held = settle(document, "document").coalesce(1)
+    for path in paths:
+        staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+        held.write.text(staged)
+        _appear(document.sparkSession, staged, path)
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[JavaObject, list[str]]:
+    """The file system of a place, and the names of its versions in order."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(place)] if fs.exists(place) else []
+    return fs, sorted(n for n in names if VERSION.fullmatch(n))
+
+
+def _appear(spark: SparkSession, staged: str, path: str) -> None:
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs, names = _versions(spark, path)
+    part = next(f.getPath() for f in fs.listStatus(of(staged)) if f.getPath().getName().startswith("part-"))
+    fs.mkdirs(of(path))
+    number = int(names[-1][8:20]) + 1 if names else 1
+    # Where another writer took the number, the rename refuses and the next one is tried.
+    while fs.exists(of(path, f"version-{number:012d}.txt")) or not fs.rename(part, of(path, f"version-{number:012d}.txt")):
+        number += 1
+    for old in names[:-1]:
+        fs.delete(of(path, old), False)
+    fs.delete(of(staged), True)
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of the newest version of a document."""
+    _, names = _versions(spark, path)
+    if not names:
+        raise FileNotFoundError(path)
+    return spark.read.text(f"{path.rstrip('/')}/{names[-1]}")
+
+
+def date_folders(spark: SparkSession, base: str) -> dict[str, str]:
+    """The folders under `base` whose names end in a date, by date; no file is listed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {s.getPath().getName()[-10:]: s.getPath().toString() for s in fs.listStatus(hadoop) if s.isDirectory()}
+    return {d: f for d, f in sorted(found.items()) if re.fullmatch(r"\d{4}-\d{2}-\d{2}", d)}
 
 
 def violations(rows: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from ..session import scratch_path
 SETTLE = "6 hours"
 CYCLE = "5 minutes"
 GAP = "15 minutes"
+#: Parts that the captures of an hour are dealt over.
+PIECES = 16
 
 
 def drain(stream: DataFrame, label: str, checkpoint: str, mode: str = "append",
@@ -97,6 +99,26 @@ def uptime_sessions(captures: DataFrame, gap: str = GAP) -> DataFrame:
     ).select("side", "start_at", "end_at", "n")
 
 
+def session_pieces(captures: DataFrame, gap: str = GAP, parts: int = PIECES) -> DataFrame:
+    """First step of sessions: those of each hour's captures, dealt over `parts`, so that no
+    side and no busy hour is one key. A piece is an interval of captures no further apart."""
+    dealt = captures.withWatermark("polled_at", SETTLE).withColumns({
+        "_hour": F.floor(F.unix_timestamp("polled_at") / 3600), "_part": F.pmod(F.xxhash64(*[F.col(c) for c in captures.columns]), F.lit(parts))})
+    return dealt.groupBy("side", "_hour", "_part", F.session_window("polled_at", gap)).agg(
+        F.min("polled_at").alias("start_at"), F.max("polled_at").alias("end_at"), F.count(F.lit(1)).alias("n")
+    ).select("side", "start_at", "end_at", "n")
+
+
+def merged_sessions(pieces: DataFrame, gap: str = GAP, settle: str = SETTLE) -> DataFrame:
+    """Second step: pieces that touch across hours and parts become one session. A side has
+    some pieces an hour, however many captures they hold."""
+    seconds = (F.unix_micros("end_at") - F.unix_micros("start_at")) / 1_000_000 + pd.Timedelta(gap).total_seconds()
+    reach = F.make_interval(secs=seconds.cast("decimal(18,6)"))
+    return pieces.withWatermark("start_at", settle).groupBy("side", F.session_window("start_at", reach)).agg(
+        F.min("start_at").alias("first_at"), F.max("end_at").alias("end_at"), F.sum("n").alias("n")
+    ).select("side", F.col("first_at").alias("start_at"), "end_at", "n")
+
+
 VANTAGE_SCHEMA = "service_date date, train_code string, location_order int, location_code string, delay_sec int"
 VANTAGE_STATE = "location_order int, location_code string, delay_sec int, reported_ms long, latest_ms long"
 
