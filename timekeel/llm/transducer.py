@@ -210,10 +210,34 @@ class Encoder:
         self.meanings = Meanings(self.v)
 
     def word(self, written: str) -> bytes:
+        if len(written) <= self.v.lookahead:
+            return array("I", map(self.v.ids.__getitem__, self.short(written))).tobytes()
         t = WordTransducer(self.v)
         tokens = t.push(written[:-1]) + t.finish(written[-1])
         return array("I", map(self.v.ids.__getitem__, tokens)).tobytes()
 
+    def short(self, text: str) -> list[str]:
+        """A word within the lookahead, in one go: nothing is certain before its end."""
+        v, many = self.v, len(text)
+        stable, known, last, back = v.stable, v.beside.get, [""], [0]
+        marked = text + v.end_mark
+        for i in range(1, many + 1):
+            end = i if i < many else None
+            for start in range(i):
+                token = marked[start:end]
+                if token in stable and (not start or known(pair := (last[start], token)) or (pair not in v.beside and v.stable_beside(*pair))):
+                    last.append(token)
+                    back.append(start)
+                    break
+            else:
+                raise ValueError(f"no token ends in {text[i - 1]!r}")
+        out = []
+        while many:
+            out.append(last[many])
+            many = back[many]
+        out.reverse()
+        return out
+
     def piece(self, piece: str) -> bytes:
         # Printable characters without a blank are written as they are; other bytes have letters of their own.
         if not (piece.isascii() and piece.isprintable()):
@@ -311,16 +335,17 @@ class Meanings:
     """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+        self.v, self.decoder = vocabulary, FileDecoder(vocabulary)
+        self.decoder.started = True
         self.known: dict[bytes, str | None] = {}
 
     def of(self, ids: bytes) -> str | None:
         got = self.known.get(ids, "")
         if got == "":
-            d = FileDecoder(self.v)
-            d.started = True
+            d = self.decoder
             got = "".join(map(d.feed, array("I", ids)))
             got = None if d.finish() else got
+            d.state.reset()
             if len(ids) <= 4 * LONGEST_KNOWN and len(self.known) < MOST_KNOWN:
                 self.known[ids] = got
         return got
