@@ -60,3 +60,19 @@ def test_gate_on_error_and_coverage_overall_and_by_group(spark):
     assert not got["error", "big"]["worse"] and got["error", "small"]["worse"] and not got["error", "small"]["veto"]
     assert got["coverage", "big"]["veto"] and got["coverage", None]["veto"] and not got["coverage", "small"]["worse"]
     assert got["error", None]["can_veto"] and got["error", None]["n"] == 1900 and not got["error", None]["veto"]
+
+
+def test_counts_of_days_add_up_to_the_fit_of_their_rows(spark):
+    from timekeel.operators import calibration
+    rng = random.Random(9)
+    rows = [(dt.date(2024, 1, 1 + rng.randrange(9)), rng.choice("ab"), rng.choice(["0-5 min", "5-15 min"]), rng.randint(-90, 90), rng.randint(-90, 90)) for _ in range(4000)]
+    res = spark.createDataFrame(rows, "service_date date, station_group string, lead_band string, low_res int, high_res int")
+    by_day = [calibration.residual_counts(res.where(F.col("service_date") == F.lit(dt.date(2024, 1, d)))) for d in range(1, 10)]
+    added = by_day[0]
+    for c in by_day[1:]:
+        added = added.unionByName(c)
+    got = {(r["station_group"], r["lead_band"]): (r["n"], r["lo"], r["hi"]) for r in calibration.fit_counts(added, min_rows=1).collect()}
+    for g, b in got:
+        mine = [r for r in rows if g in (None, r[1]) and b == r[2]]
+        assert got[g, b] == (len(mine), round(np.percentile([r[3] for r in mine], 10)), round(np.percentile([r[4] for r in mine], 90)))
+    assert added.count() < 2 * 9 * 4 * 181

@@ -40,23 +40,39 @@ def residuals(scored: DataFrame) -> DataFrame:
     ).where(F.col("low_res").isNotNull() & F.col("high_res").isNotNull())
 
 
-def fit(res: DataFrame, keep: tuple[str, ...] = (), min_rows: int = MIN_ROWS) -> DataFrame:
-    """Offsets per (group, band) and per band in one grouping-sets pass.
+def residual_counts(res: DataFrame, keep: tuple[str, ...] = ("service_date",)) -> DataFrame:
+    """How often each residual occurs, by side (`low`, `high`), group and band.
+
+    Residuals are whole seconds, so a day's table is as long as its residuals are spread, not
+    as it has rows; tables of several days are added up, and fits of any window read them.
+    """
+    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_res").alias("res")) for s in ("low", "high"))))
+    return res.select(*keep, "station_group", "lead_band", sides.alias("_s")).select(
+        *keep, "station_group", "lead_band", "_s.*").groupBy(*keep, "station_group", "lead_band", "side", "res").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fit_counts(counts: DataFrame, keep: tuple[str, ...] = (), min_rows: int = MIN_ROWS) -> DataFrame:
+    """Offsets per (group, band) and per band from counted residuals, in one grouping-sets pass.
 
     Columns: `station_group` (null in a band row), `lead_band`, `n`, `lo`, `hi`.
     """
     sets = [[*keep, "station_group", "lead_band"], [*keep, "lead_band"]]
+
+    def end(side: str, share: float) -> Column:
+        return F.bround(F.percentile(F.when(F.col("side") == side, F.col("res")), share, F.col("n"))).cast("int")
+
     return (
-        res.groupingSets(sets, *keep, "station_group", "lead_band")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.bround(F.percentile("low_res", 0.1)).cast("int").alias("lo"),
-            F.bround(F.percentile("high_res", 0.9)).cast("int").alias("hi"),
-        )
+        counts.groupingSets(sets, *keep, "station_group", "lead_band")
+        .agg(F.sum(F.when(F.col("side") == "low", F.col("n"))).alias("n"), end("low", 0.1).alias("lo"), end("high", 0.9).alias("hi"))
         .where(F.col("n") >= min_rows)
     )
 
 
+def fit(res: DataFrame, keep: tuple[str, ...] = (), min_rows: int = MIN_ROWS) -> DataFrame:
+    """`fit_counts` of residual rows."""
+    return fit_counts(residual_counts(res, keep), keep, min_rows)
+
+
 def with_offsets(preds: DataFrame, cal: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds `lo` and `hi`: the cell's, else its band's, else zero. No band means overdue,
     which takes the shortest band.
@@ -94,15 +110,15 @@ def served(preds: DataFrame) -> DataFrame:
 def walk_forward(scored: DataFrame, days: int = WINDOW_DAYS, min_rows: int = MIN_ROWS) -> DataFrame:
     """Each week, from Monday, served with a calibration fitted on the `days` before it only.
 
-    A residual contributes to the weeks that begin within `days` after it, two of them for 14
-    days: it is copied to each by equality, so the fit is one ordinary grouped aggregate.
+    Residuals are counted by date once; a day's counts, not its rows, go to each week that
+    begins within `days` after it.
     """
     week = F.date_trunc("week", "service_date").cast("date")
     weeks = scored.select(week.alias("for_date")).distinct()
     begins = F.sequence(F.next_day("service_date", "MON"), F.date_add(F.next_day("service_date", "MON"), days), F.expr("INTERVAL 7 DAYS"))
     begins = F.filter(begins, lambda w: w <= F.date_add("service_date", days))
-    res = residuals(scored).withColumn("for_date", F.explode(begins)).join(weeks, "for_date", "left_semi")
-    cal = fit(res, keep=("for_date",), min_rows=min_rows)
+    counts = residual_counts(residuals(scored)).withColumn("for_date", F.explode(begins)).join(weeks, "for_date", "left_semi")
+    cal = fit_counts(counts, keep=("for_date",), min_rows=min_rows)
     clean = scored.where(F.col("score_state") == "scored").withColumn("for_date", week)
     out = served(with_offsets(clean, cal, keep=("for_date",)))
     a = F.col("actual_delay_sec")
