@@ -71,6 +71,20 @@ def test_cut_copies_of_large_groups(spark):
     assert want[100] == 0 and got == want
 
 
+def test_texts_made_of_the_same_passages(spark):
+    """Passages that most texts hold fill the part of the sketch that makes lists; only real links come out."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passages = [[word() for _ in range(70)] for _ in range(6)]
+    made = []
+    for i in range(90):
+        parts = rng.sample(passages, 4)
+        made.append((i, " ".join(w for p in parts for w in p) + " " + " ".join(word() for _ in range(rng.choice([5, 40, 90])))))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    want = {i: v[1] for i, v in brute(made).items()}
+    assert got == want and 1 < len(set(want.values())) < 90
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(300, 200), (200, 300)]
     got = {r["node"]: r["label"] for r in near_duplicates.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -14,8 +14,8 @@
    share a passage and little else meet in no list.
 4. In each list every member is compared with one centre, the member with the least before
    that hash. Members that are then in one component with the list's largest need no more
-   comparisons among themselves; the others are compared with every member of another component.
-   So lists cost about their length, no link between components is missed, and components
+   comparisons among themselves; the others are compared with every member of another component,
+   each pair in the first list that it shares. So lists cost about their length, no link between components is missed, and components
    are exact.
 5. A pair is first dropped if what stands before the common hash leaves too little to share
    (of the longer-reaching sketch only what lies below the other's end for sure),
@@ -122,7 +122,7 @@ def long_postings(texts: DataFrame) -> DataFrame:
         deviation = F.sqrt(share * (1 - share) / of * (1 - of / F.col("n")))
         return F.when(F.col("n") <= LONG, place).otherwise(F.floor(F.col("n") * F.greatest(F.lit(0.0), share - SLACK * deviation))).cast("long")
 
-    out = placed.where(place < F.col("prefix")).select(F.lit(1).alias("kind"), F.col("entry.value").alias("value"), "rep", "n", "end", before(place, F.lit(LONG)).alias("before"), before(F.col("low_place"), F.col("lows")).alias("least_before"))
+    out = placed.where(place < F.col("prefix")).select(F.lit(1).alias("kind"), F.col("entry.value").alias("value"), "rep", "n", "end", place.cast("long").alias("at"), before(place, F.lit(LONG)).alias("before"), before(F.col("low_place"), F.col("lows")).alias("least_before"))
     return out.where(4 * F.col("least_before") <= F.col("n"))
 
 
@@ -134,14 +134,22 @@ def centre_pairs(postings: DataFrame) -> DataFrame:
 
 
 def other_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one list in different components; every such pair has a member outside the list's largest component."""
+    """Pairs of one list in different components; every such pair has a member outside the list's largest component.
+
+    A pair is made in the first list that both are in alone. Lists have one order, and what is
+    before a hash only grows along it, so a pair that a later list would make the first one makes.
+    """
     known = settle(postings.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("part", F.coalesce("label", "rep")).drop("label"), "parts")
     sizes = known.groupBy("kind", "value", "part").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("kind", "value").agg(F.max(F.struct("size", (-F.col("part")).alias("part"))).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     main = main.select("kind", "value", (-F.col("m.part")).alias("main"))
-    mixed = known.join(main, ["kind", "value"])
-    odd = mixed.where(F.col("part") != F.col("main")).select("kind", "value", *(F.col(c).alias(f"x_{c}") for c in (*MEMBER, "part")))
-    both = odd.join(mixed.drop("main"), ["kind", "value"]).where((F.col("x_part") != F.col("part")) & may_link("", "x_"))
+    # The lists of one document before this one, of those with several components: at most its prefix.
+    order = Window.partitionBy("kind", "rep").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    mixed = settle(known.join(main, ["kind", "value"]).withColumns({"earlier": F.collect_list("value").over(order), "odd": F.col("part") != F.col("main")}).drop("main", "at"), "mixed")
+    odd = mixed.where("odd").select("kind", "value", *(F.col(c).alias(f"x_{c}") for c in (*MEMBER, "part", "earlier")))
+    # Of two odd members one asks the other.
+    once = ~F.col("odd") | (F.col("x_rep") < F.col("rep"))
+    both = odd.join(mixed, ["kind", "value"]).where((F.col("x_part") != F.col("part")) & once & may_link("", "x_") & ~F.arrays_overlap("earlier", "x_earlier"))
     return both.select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b")).distinct()
 
 
@@ -211,7 +219,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = entries.groupBy("rep").agg(F.max("df").alias("most"))
     texts = id_and_text(docs).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "rep").join(met, "rep")
     texts = settle(texts, "texts")
-    short = entries.where(F.col("df") <= COMMON).select(F.lit(0).alias("kind"), "value", "rep", "n", F.lit(END).alias("end"), F.col("before").cast("long").alias("before"), F.col("before").cast("long").alias("least_before")).where(4 * F.col("before") <= F.col("n"))
+    short = entries.where(F.col("df") <= COMMON).select(F.lit(0).alias("kind"), "value", "rep", "n", F.lit(END).alias("end"), F.col("before").cast("long").alias("at"), F.col("before").cast("long").alias("before"), F.col("before").cast("long").alias("least_before")).where(4 * F.col("before") <= F.col("n"))
     postings = settle(short.unionByName(long_postings(texts.where(F.col("most") > COMMON))), "postings")
 
     first = settle(centre_pairs(postings), "centre_pairs")
