@@ -48,6 +48,8 @@ BITS_EACH, MOST_BITS = 32, 1 << 29
 BLOCK_BITS = 1 << 15
 #: Words of one language that a task counts at a time, and bytes of text that it splits at a time.
 FLUSH_WORDS = 1_000_000
+#: Failures whose words are told by name to the tasks of the next pass, at most.
+MOST_NAMED = 50_000
 BLOCK_BYTES = 1 << 20
 #: Phrases that a task holds as text at a time.
 BATCH_ROWS = 1 << 16
@@ -112,12 +114,16 @@ class Wanted:
 
     Words if `all_words`; pairs of words in `words` and triples of pairs in `pairs`, but not
     what `old_words` and `old_pairs` allowed an earlier pass to count, unless that found it
-    `likely`. With `by_mark` pairs and triples go by their hash, without their text.
+    `likely`. With `by_mark` pairs and triples go by their hash, without their text. Where
+    `named` is given, texts without any of its words hold nothing that is wanted.
     """
 
-    def __init__(self, words: Bits, pairs: Bits, old_words: Bits = Bits(), old_pairs: Bits = Bits(), likely: Bits = Bits(), all_words: bool = False, by_mark: bool = False):
+    def __init__(self, words: Bits, pairs: Bits, old_words: Bits = Bits(), old_pairs: Bits = Bits(), likely: Bits = Bits(), all_words: bool = False, by_mark: bool = False, named: frozenset[bytes] | None = None):
         self.words, self.pairs, self.old_words, self.old_pairs = words, pairs, old_words, old_pairs
-        self.likely, self.all_words, self.by_mark = likely, all_words, by_mark
+        self.likely, self.all_words, self.by_mark, self.named = likely, all_words, by_mark, named
+
+    def in_text(self, text: bytes) -> bool:
+        return self.named is None or not self.named.isdisjoint(text.lower().translate(ENDS).replace(b"\n", b" ").split(b" "))
 
     def take(self, allowed: np.ndarray, before: np.ndarray, marks: np.ndarray) -> np.ndarray:
         return allowed & (~before | self.likely.has(marks))
@@ -201,8 +207,11 @@ def count(rows: DataFrame, wanted: Wanted, least: int, flush_words: int = FLUSH_
         counters: dict[str, Counter] = {}
         for b in slices(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+                body = text.as_buffer().to_pybytes()
+                if not held.value.in_text(body):
+                    continue
                 c = counters.setdefault(lang, Counter(lang, held.value))
-                for block in blocks(text.as_buffer().to_pybytes(), block_bytes):
+                for block in blocks(body, block_bytes):
                     c.add(block)
                     if c.held >= flush_words:
                         yield from c.flush()
@@ -239,16 +248,20 @@ def table_of(counted: DataFrame, size: int, most: int) -> Bits:
     return bits(chosen, chosen.count(), most)
 
 
-def failures(counted: DataFrame, size: int, proposed: Bits, most: int) -> Bits:
-    """Bits of frequent phrases of the border."""
+def failures(counted: DataFrame, size: int, proposed: Bits, most: int) -> tuple[Bits, frozenset[bytes] | None]:
+    """Bits of frequent phrases of the border, and a word of each if they are `MOST_NAMED` at most."""
     held = counted.sparkSession.sparkContext.broadcast(proposed)
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(~held.value.has(b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64))))
 
-    missed = counted.where(F.col("size") == size).select("mark").mapInArrow(missing, "mark long")
-    return bits(missed, missed.count(), most)
+    missed = settle(counted.where(F.col("size") == size).select("mark", "phrase").mapInArrow(missing, "mark long, phrase string"), "missed")
+    many = missed.count()
+    rows = missed.collect() if many <= MOST_NAMED else []
+    # The longer word of a pair is likely the rarer one.
+    named = frozenset(max(r["phrase"].split(" "), key=len).encode() for r in rows) if len(rows) == many and all(r["phrase"] for r in rows) else None
+    return bits(missed, many, most), named
 
 
 def proposals(rows: DataFrame, least: int, most: int) -> tuple[Bits, Bits]:
@@ -269,11 +282,13 @@ def frequent(docs: DataFrame, least: int = LEAST, sample_least: int = SAMPLE_LEA
     marks = now.where("size >= 2")
     likely = bits(marks, marks.count(), most_bits)
     while True:
-        more_words, more_pairs = failures(now, 1, wanted.words, most_bits), failures(now, 2, wanted.pairs, most_bits)
+        more_words, _ = failures(now, 1, wanted.words, most_bits)
+        more_pairs, named = failures(now, 2, wanted.pairs, most_bits)
         if not (likely.size or more_words.size or more_pairs.size):
             break
         passes += 1
-        wanted = Wanted(wanted.words.union(more_words), wanted.pairs.union(more_pairs), wanted.words, wanted.pairs, likely)
+        wanted = Wanted(wanted.words.union(more_words), wanted.pairs.union(more_pairs), wanted.words, wanted.pairs, likely,
+                        named=None if likely.size or more_words.size else named)
         now, likely = settle(count(rows, wanted, least, **blocks_of), "counted"), Bits()
         found.append(now)
     out = found[0]
