@@ -98,6 +98,19 @@ def test_stage_keeps_one_of_each(docs):
     assert left.where("doc_id between 160 and 199").count() < 10
 
 
+def test_stages_tell_rows_of_one_id_apart_and_keep_clashing_columns(spark, docs):
+    """A removed row takes no other row of its id with it, and a table may have columns named as the stage's own."""
+    from timekeel.llm import quality
+    text = " ".join(f"w{i}" for i in range(80))
+    other = " ".join(f"v{i}" for i in range(80))
+    rows = [(1, text), (2, text), (2, other), (3, "x " + text)]
+    df = spark.createDataFrame([(i, t, "aa", "s", 5, i, 7, 8) for i, t in rows], "doc_id long, text string, lang string, source string, mark int, k_id long, k_mark int, id int")
+    left = near_duplicates.without_near_duplicates(df)
+    assert left.columns == df.columns and sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(1, text), (2, other)]
+    fine = quality.accepted(df)
+    assert fine.columns == df.columns and sorted((r["doc_id"], r["text"], r["k_id"]) for r in fine.collect()) == sorted((i, t, i) for i, t in rows)
+
+
 def table(spark, vecs):
     return spark.createDataFrame([(i, v, 0, 1.0) for i, v in vecs], "vec_id long, embedding array<double>, entry int, score double")
 

@@ -66,9 +66,9 @@ def sketches(docs: DataFrame) -> DataFrame:
         for b in batches:
             sets = [shingle_set(t.as_py()) for t in b.column(1)]
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), lists([s[:SKETCH] for s in sets])], names=["doc_id", "n", "print", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), lists([s[:SKETCH] for s in sets])], names=["doc_id", "mark", "n", "print", "sketch"])
 
-    return id_and_text(docs).mapInArrow(rows, "doc_id long, n long, print binary, sketch array<long>")
+    return id_and_text(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(rows, "doc_id long, mark long, n long, print binary, sketch array<long>")
 
 
 def lists(parts: list[np.ndarray]) -> pa.Array:
@@ -208,6 +208,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Set size, component and verdict of every document."""
+    return judged(docs).drop("mark")
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """The verdicts, with a mark of the text that tells rows of one id apart."""
     ship(docs.sparkSession)
     every = settle(sketches(docs), "sketches")
     able = every.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
@@ -228,13 +233,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = confirmed(second, classes, texts)
     labels = components(links.unionByName(more))
 
-    out = every.select("doc_id", "n", "print").join(classes.select(F.col("print").alias("c_print"), F.col("n").alias("c_n"), "rep"), (F.col("print") == F.col("c_print")) & (F.col("n") == F.col("c_n")), "left")
+    out = every.select("doc_id", "mark", "n", "print").join(classes.select(F.col("print").alias("c_print"), F.col("n").alias("c_n"), "rep"), (F.col("print") == F.col("c_print")) & (F.col("n") == F.col("c_n")), "left")
     out = out.join(labels, out["rep"] == labels["node"], "left")
     part = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "rep", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), part.alias("component_id"), F.coalesce(part == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), part.alias("component_id"), F.coalesce(part == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """`docs` without documents that belong to the component of a smaller id."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """`docs` without documents that belong to the component of a smaller id; of rows that share an id each is judged by its own text."""
+    gone = judged(docs).where(~F.col("kept")).select(F.col("doc_id").alias("id"), "mark").distinct().alias("gone")
+    same = (F.col("docs.doc_id").cast("long") == F.col("gone.id")) & (F.xxhash64(F.col("docs.text").cast("string")) == F.col("gone.mark"))
+    return docs.alias("docs").join(gone, same, "left_anti").select(*(F.col(f"docs.`{c}`") for c in docs.columns))

@@ -102,7 +102,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def mark() -> Column:
     """Tells rows apart that share an id or have none."""
-    return F.xxhash64("text", "lang", "source").alias("mark")
+    return F.xxhash64(*(F.col(c).cast("string") for c in ("text", "lang", "source"))).alias("mark")
 
 
 def base_failed() -> Column:
@@ -275,6 +275,8 @@ def quality(docs: DataFrame, tail: float = TAIL, min_group: int = MIN_GROUP) ->
 
 def accepted(docs: DataFrame, tail: float = TAIL, min_group: int = MIN_GROUP) -> DataFrame:
     """`docs` without the documents that the rules reject."""
-    fine = judged(statistics(docs), tail, min_group).where("kept").select(F.col("doc_id").alias("k_id"), F.col("mark").alias("k_mark")).distinct()
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(fine, F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (mark() == F.col("k_mark")), "left_semi").select(*names)
+    fine = judged(statistics(docs), tail, min_group).where("kept").select("doc_id", "mark").distinct().alias("fine")
+    held = docs.alias("docs")
+    of = F.xxhash64(*(F.col(f"docs.{c}").cast("string") for c in ("text", "lang", "source")))
+    same = F.col("docs.doc_id").cast("long").eqNullSafe(F.col("fine.doc_id")) & (of == F.col("fine.mark"))
+    return held.join(fine, same, "left_semi").select(*(F.col(f"docs.`{c}`") for c in docs.columns))
