@@ -382,3 +382,14 @@ def rebuilt_lead(spark, sf):
     lead = times.lead_or_rebuilt(F.lit(None).cast("int"), F.col("sched_sec"), F.pmod("made_sec", F.lit(86400)))
     return preds.select(lead.alias("lead")).groupBy(times.band("lead").alias("lead_band")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("lead").alias("total"))
+
+
+@query("zero_match_alarm_m12", f"""
+SELECT CAST(service_date AS VARCHAR) AS service_date, count(model_err_rounded_sec) AS n,
+       count(*) FILTER (rival_err_sec IS NOT NULL AND model_err_rounded_sec IS NOT NULL AND day(service_date) % 2 = 0) AS matched_events,
+       count(model_err_rounded_sec) >= {scoring.ALARM_FLOOR} AND count(*) FILTER (rival_err_sec IS NOT NULL AND model_err_rounded_sec IS NOT NULL AND day(service_date) % 2 = 0) = 0 AS alarm
+FROM scores WHERE score_state = 'scored' GROUP BY 1""")
+def zero_match_alarm(spark, sf):
+    """The rival's statements of odd days are lost: a day with enough scored rows and no match sets off the alarm."""
+    lost = scored(spark, sf).withColumn("rival_err_sec", F.when(F.dayofmonth("service_date") % 2 == 0, F.col("rival_err_sec")))
+    return shown(rollup.day_summary(lost.where("score_state = 'scored'")).select("service_date", "n", "matched_events", "alarm"))

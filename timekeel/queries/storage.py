@@ -313,6 +313,29 @@ def archive_census(spark, sf):
     return shown(c.select("date", "files", "empty", "unreadable", "unparseable", "strays", "plain", "median_size"))
 
 
+VIEWS["cycle_docs"] = """
+  SELECT side, cycle_sec, CASE WHEN side = 'local' AND floor(cycle_sec / 300) % 11 = 0 THEN 0 ELSE count(*) END AS records,
+         CASE WHEN side = 'cloud' AND floor(cycle_sec / 300) % 13 = 0 THEN 'failed' ELSE 'complete' END AS status FROM captures GROUP BY 1, 2"""
+
+
+@query("two_archives_s11", """
+SELECT side, station_group, count(*) AS n, count(DISTINCT cycle_sec) AS cycles, CAST(sum(eta) AS BIGINT) AS eta FROM captures c
+JOIN cycle_docs d USING (side, cycle_sec) WHERE records > 0 AND status <> 'failed' GROUP BY 1, 2""")
+def two_archives(spark, sf):
+    """The local archive as plain lines, the cloud's compressed and by date; some cycles are barren or failed."""
+    rows = views.captures(spark, sf).withColumn("date", F.timestamp_seconds("cycle_sec").cast("date"))
+    late = F.floor(F.col("cycle_sec") / 300)
+    docs = rows.groupBy("side", "cycle_sec", "date").agg(F.count(F.lit(1)).alias("records")).withColumns({
+        "records": F.when((F.col("side") == "local") & (late % 11 == 0), 0).otherwise(F.col("records")),
+        "status": F.when((F.col("side") == "cloud") & (late % 13 == 0), "failed").otherwise("complete")})
+    base = {s: scratch_path(spark, s) for s in ("local", "cloud")}
+    for df, kind in ((rows, "expected"), (docs, "cycles")):
+        df.where("side = 'local'").drop("side", "date").write.json(f"{base['local']}/{kind}")
+        df.where("side = 'cloud'").drop("side").write.partitionBy("date").option("compression", "gzip").json(f"{base['cloud']}/{kind}")
+    both = logs.two_archives(spark, base["local"], base["cloud"], rows.drop("side", "date").schema)
+    return both.groupBy("side", "station_group").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cycle_sec").alias("cycles"), F.sum("eta").alias("eta"))
+
+
 @query("documents_read_s14", """
 SELECT CAST(service_date AS VARCHAR) AS service_date, events, n FROM days""")
 def documents_read(spark, sf):

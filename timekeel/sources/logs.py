@@ -65,10 +65,27 @@ def usable_polls(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, marked.where(F.col("_why").isNotNull()).groupBy(F.col("_why").alias("reason")).count()
 
 
-def two_archives(local: DataFrame, cloud: DataFrame, cycles: DataFrame) -> DataFrame:
-    """Rows of both collectors' productive cycles, tagged with their side."""
-    both = local.withColumn("side", F.lit("local")).unionByName(cloud.withColumn("side", F.lit("cloud")), allowMissingColumns=True)
-    return both.join(cycles.select("side", "cycle_sec"), ["side", "cycle_sec"], "left_semi")
+CYCLE_FIELDS = "cycle_sec long, records long, status string"
+
+
+def productive_cycles(spark: SparkSession, path: str) -> DataFrame:
+    """Cycle documents that recorded something and did not fail; a document that is no JSON is none."""
+    read = spark.read.schema(CYCLE_FIELDS).option("recursiveFileLookup", True).json(path)
+    return read.where((F.col("records") > 0) & (F.coalesce("status", F.lit("")) != "failed")).select("cycle_sec").distinct()
+
+
+def two_archives(spark: SparkSession, local: str, cloud: str, schema: T.StructType) -> DataFrame:
+    """Rows of both collectors' productive cycles, tagged with their side.
+
+    Each archive is a folder with `expected` (JSON lines, compressed or not, by date or not)
+    and `cycles` (one document a cycle).
+    """
+    both = None
+    for side, base in (("local", local), ("cloud", cloud)):
+        rows = spark.read.schema(schema).option("recursiveFileLookup", True).json(f"{base}/expected")
+        kept = rows.join(productive_cycles(spark, f"{base}/cycles"), "cycle_sec", "left_semi").withColumn("side", F.lit(side))
+        both = kept if both is None else both.unionByName(kept)
+    return both
 
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
