@@ -55,3 +55,23 @@ def test_places_are_uniform(spark):
         for r in shards.shuffle(frame, 4, seed).collect():
             counts[r["doc_id"] % 4, r["shard"]] += 1
     assert counts.min() >= 1 and counts.sum() == 96
+
+
+def test_draws_beyond_the_library_have_its_law():
+    """The same numbers by the other way, against exact probabilities; and counts of billions."""
+    from math import comb
+    rng = np.random.default_rng(5)
+    for good, bad, sample in ((30, 70, 40), (70, 30, 40), (30, 70, 85), (500, 700, 300), (4, 90, 50), (60, 60, 7)):
+        n = 20_000
+        got = np.bincount([shards.drawn(good, bad, sample, rng, library_most=1) for _ in range(n)], minlength=good + 1)
+        want = np.array([comb(good, k) * comb(bad, sample - k) / comb(good + bad, sample) if 0 <= sample - k <= bad else 0.0 for k in range(good + 1)]) * n
+        assert got[want == 0].sum() == 0
+        often = want >= 5
+        off = ((got[often] - want[often]) ** 2 / want[often]).sum()
+        assert off < often.sum() + 5 * np.sqrt(2 * often.sum()) + 5, (good, bad, sample)
+    received = [750_000_000] * 3 + [750_000_001]
+    matrix = shards.communication_matrix([3_000_000_000 - 500, 400, 101], received, rng)
+    assert matrix.sum(axis=0).tolist() == received and matrix.sum(axis=1).tolist() == [3_000_000_000 - 500, 400, 101]
+    assert (np.abs(matrix[0] - 750_000_000) < 10_000).all() and (matrix >= 0).all()
+    free = shards.communication_matrix([4 * 10**9, 4 * 10**9], [2 * 10**9] * 4, rng)
+    assert (np.abs(free - 10**9) < 400_000).all() and (free.sum(axis=0) == 2 * 10**9).all()

@@ -18,6 +18,8 @@ fewer rows than shards some shards stay empty; an empty table gives an empty res
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,6 +35,8 @@ N_SHARDS = 16
 SEED = 20_240
 #: Rows of a block, the part of a shard that one task permutes.
 BLOCK_ROWS = 1 << 17
+#: Numbers from here on are not the library's to draw from.
+LIBRARY_MOST = 10**9
 #: Destinations of one exchange.
 FAN_OUT = 64
 
@@ -51,6 +55,39 @@ def block_sizes(n_rows: int, n_shards: int, block_rows: int) -> list[tuple[int,
     return out
 
 
+def drawn(good: int, bad: int, sample: int, rng: np.random.Generator, library_most: int = LIBRARY_MOST) -> int:
+    """A hypergeometric number: how many of `sample` draws without replacement are good.
+
+    Beyond what the library draws, few draws are made one by one, and others by the ratio of
+    uniforms: a point under the scaled density of the smaller side, accepted or drawn again.
+    """
+    if max(good, bad, sample) < library_most:
+        return int(rng.hypergeometric(good, bad, sample))
+    whole = good + bad
+    if sample > whole - sample:
+        return good - drawn(good, bad, whole - sample, rng, library_most)
+    if good > bad:
+        return sample - drawn(bad, good, sample, rng, library_most)
+    if sample < 10 or good < 10:
+        # Draws and good ones can change places.
+        few, many, hits = min(sample, good), max(sample, good), 0
+        for k in range(few):
+            hits += rng.random() * (whole - k) < many - hits
+        return hits
+    share = good / whole
+    mean = sample * share
+    spread = math.sqrt((whole - sample) / (whole - 1) * sample * share * (1 - share) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    weight = lambda k: sum(math.lgamma(x + 1) for x in (k, good - k, sample - k, bad - sample + k))
+    most = weight((sample + 1) * (good + 1) // (whole + 2))
+    last = min(sample, good, math.floor(mean + 0.5 + 16 * spread))
+    while True:
+        u, x = rng.random(), rng.random()
+        k = math.floor(mean + 0.5 + width * (x - 0.5) / u) if u else -1
+        if 0 <= k <= last and 2 * math.log(u) <= most - weight(k):
+            return k
+
+
 def communication_matrix(sent: list[int], received: list[int], rng: np.random.Generator) -> np.ndarray:
     """Rows of `sent[p]` rows dealt over places `received[b]`, as a uniform permutation would deal them."""
     free = np.array(received, dtype=np.int64)
@@ -61,7 +98,7 @@ def communication_matrix(sent: list[int], received: list[int], rng: np.random.Ge
             if not left:
                 break
             rest -= int(free[b])
-            out[p, b] = rng.hypergeometric(int(free[b]), rest, left) if rest else left
+            out[p, b] = drawn(int(free[b]), rest, left, rng) if rest else left
             left -= int(out[p, b])
         free -= out[p]
     return out
