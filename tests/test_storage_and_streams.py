@@ -230,3 +230,36 @@ def test_sessions_from_pieces_equal_one_walk_and_split_a_side(spark):
                 want.append(run)
             run[2], run[3] = t, run[3] + 1
     assert got == sorted(map(tuple, want))
+
+
+def test_trains_of_a_day_share_state_and_close_one_by_one(spark):
+    from timekeel.streaming import streams
+
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(hours=h, minutes=m)
+    day, schema = dt.date(2024, 1, 1), "service_date date, train_code string, location_order int, location_code string, delay_sec int, reported_at timestamp"
+    path, kept = scratch_path(spark, "vantage-in"), scratch_path(spark, "vantage-state")
+    part, state_rows, seen = scratch_path(spark, "vantage-out"), [], {}
+
+    def deliver(rows):
+        spark.createDataFrame([(day, *r) for r in rows], schema).coalesce(1).write.mode("append").parquet(path)
+        stream = streams.latest_vantage(streams.follow(spark, path, spark.createDataFrame([], schema).schema, 1), groups=2)
+        q = stream.writeStream.outputMode("append").option("checkpointLocation", kept).trigger(availableNow=True).format("parquet").option("path", part).start()
+        q.awaitTermination()
+        state_rows.extend(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"])
+        closed = spark.read.schema(streams.VANTAGE_SCHEMA).parquet(part).collect()
+        new = {r["train_code"]: (r["location_order"], r["location_code"], r["delay_sec"]) for r in closed if r["train_code"] not in seen}
+        assert len(closed) == len(seen) + len(new)
+        seen.update(new)
+        return new
+
+    # Twenty trains, the last report of train n at hour n; of two reports of a stop the later made counts.
+    first = [(f"T{n}", 1, "A", n, at(0)) for n in range(20)] + [(f"T{n}", 2, "B", 60 * n, at(n)) for n in range(20)] + [(None, 3, "N", 5, at(19))]
+    closed = deliver(first + [("T7", 2, "OLD", 1, at(6, 59)), ("T8", 2, "NEW", 2, at(8, 1))])
+    # The watermark is at 13:00, so the trains before are closed; T13's closing time is not passed.
+    assert closed == {f"T{n}": (2, "NEW", 2) if n == 8 else (2, "B", 60 * n) for n in range(13)}
+    assert 0 < max(state_rows) <= 2
+    # T13 goes on, T19 gets a late report of an earlier stop, and the clock moves to 19:00.
+    closed = deliver([("T13", 3, "C", 9, at(18)), ("T19", 1, "LATE", 0, at(14)), ("T14", 2, "AGAIN", 3, at(25))])
+    assert closed == {**{f"T{n}": (2, "B", 60 * n) for n in (15, 16, 17, 18)}, "T13": (3, "C", 9)}
+    closed = deliver([("far", 1, "Z", 0, at(100))])
+    assert closed == {"T14": (2, "AGAIN", 3), "T19": (2, "B", 1140), None: (3, "N", 5)}

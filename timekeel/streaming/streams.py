@@ -120,37 +120,50 @@ def merged_sessions(pieces: DataFrame, gap: str = GAP, settle: str = SETTLE) ->
 
 
 VANTAGE_SCHEMA = "service_date date, train_code string, location_order int, location_code string, delay_sec int"
-VANTAGE_STATE = "location_order int, location_code string, delay_sec int, reported_ms long, latest_ms long"
+VANTAGE_STATE = ("train_code array<string>, location_order array<int>, location_code array<string>, delay_sec array<int>, "
+                 "reported_ms array<long>, latest_ms array<long>, closes_ms array<long>")
+#: Groups that the trains of a service day are dealt over, so that one call of Python serves many trains.
+VANTAGE_GROUPS = 256
 
 
-def latest_vantage(stops: DataFrame, settle: str = SETTLE) -> DataFrame:
+def latest_vantage(stops: DataFrame, settle: str = SETTLE, groups: int = VANTAGE_GROUPS) -> DataFrame:
     """The furthest reported stop of each running train, closed when its reports have aged.
 
     Of two reports of a stop the one made later counts, whichever arrives first, and a late
-    report never brings the closing time forward; state is one small row a train.
+    report never brings the closing time forward. Trains are dealt over `groups` keys a day;
+    the state of a key is one small row a train, as arrays, and each train closes by itself.
     The function is local, so it travels to the workers by value and they need no package.
     """
     def keep_furthest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """Holds one row per train: the furthest stop reported. Emitted when the day settles."""
-        if state.hasTimedOut:
-            order, code, delay, _, _ = state.get
-            state.remove()
-            yield pd.DataFrame([(*key, order, code, delay)], columns=["service_date", "train_code", "location_order", "location_code", "delay_sec"])
-            return
-        best = state.getOption
-        latest = best[4] if best else None
-        for b in batches:
+        fields = ["train_code", "location_order", "location_code", "delay_sec", "reported_ms", "latest_ms", "closes_ms"]
+        now = state.getCurrentWatermarkMs()
+        held = pd.DataFrame(dict(zip(fields, state.getOption or [[]] * len(fields)))).assign(touched=False)
+        for b in () if state.hasTimedOut else batches:
             made = b["reported_at"].astype("datetime64[us]").astype("int64") // 1000
-            b = b.assign(made=made).sort_values(["location_order", "made"], kind="stable")
-            row = b.iloc[-1]
-            if best is None or (int(row["location_order"]), int(row["made"])) >= (best[0], best[3]):
-                best = (int(row["location_order"]), str(row["location_code"]), int(row["delay_sec"]), int(row["made"]), 0)
-            top = int(made.max())
-            latest = top if latest is None else max(latest, top)
-        state.update((*best[:4], latest))
-        state.setTimeoutTimestamp(max(latest + 1, state.getCurrentWatermarkMs() + 1))
-
-    return stops.withWatermark("reported_at", settle).groupBy("service_date", "train_code").applyInPandasWithState(
+            new = pd.DataFrame({
+                "train_code": b["train_code"], "location_order": b["location_order"].astype("int64"), "location_code": b["location_code"].astype(str),
+                "delay_sec": b["delay_sec"].astype("int64"), "reported_ms": made, "latest_ms": made, "closes_ms": 0, "touched": True})
+            both = pd.concat([held, new], ignore_index=True) if len(held) else new
+            each = both.groupby("train_code", dropna=False, sort=False)
+            both = both.assign(latest_ms=each["latest_ms"].transform("max"), touched=each["touched"].transform("max"))
+            held = both.sort_values(["location_order", "reported_ms"], kind="stable").drop_duplicates("train_code", keep="last")
+        touched = held["touched"].astype(bool)
+        held = held.assign(closes_ms=held["closes_ms"].where(~touched, (held["latest_ms"] + 1).clip(lower=now + 1)))
+        aged = ~touched & (held["closes_ms"] < now)
+        left = held[~aged]
+        if len(left):
+            state.update(tuple(left[f].tolist() for f in fields))
+            state.setTimeoutTimestamp(max(int(left["closes_ms"].min()), now + 1))
+        else:
+            state.remove()
+        if aged.any():
+            done = held.loc[aged, ["train_code", "location_order", "location_code", "delay_sec"]]
+            done.insert(0, "service_date", key[0])
+            yield done
+
+    dealt = stops.withColumn("_group", F.pmod(F.xxhash64("train_code"), F.lit(groups)))
+    return dealt.withWatermark("reported_at", settle).groupBy("service_date", "_group").applyInPandasWithState(
         keep_furthest, VANTAGE_SCHEMA, VANTAGE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
