@@ -76,3 +76,14 @@ def test_counts_of_days_add_up_to_the_fit_of_their_rows(spark):
         mine = [r for r in rows if g in (None, r[1]) and b == r[2]]
         assert got[g, b] == (len(mine), round(np.percentile([r[3] for r in mine], 10)), round(np.percentile([r[4] for r in mine], 90)))
     assert added.count() < 2 * 9 * 4 * 181
+
+
+def test_days_are_judged_once_for_all_that_read_them(spark, small):
+    from timekeel import views
+    from timekeel.operators import scenarios
+
+    stops = views.scenario_stops(spark, small)
+    inst = scenarios.instances(stops, scenarios.day_track(stops), 1)
+    # The plan begins at the written segments, days and runs: what orders a day's stops is not in it again.
+    plan = inst._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "events.parquet" not in plan

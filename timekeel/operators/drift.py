@@ -90,11 +90,22 @@ def bootstrap(units: DataFrame, diff: str, reps: int = REPLICATES, seed: int = 0
                 times_drawn[size] = weights(size, 0, reps).astype(float)
             return times_drawn[size] @ d / size
 
+        def percentile(ranked: np.ndarray, share: float) -> float:
+            """As numpy's, of values that stand in their places."""
+            place = (reps - 1) * share
+            low, high = ranked[int(place)], ranked[min(int(place) + 1, reps - 1)]
+            t = place - int(place)
+            return float(high - (high - low) * (1 - t) if t >= 0.5 else low + (high - low) * t)
+
+        # Only the ranks beside the two percentiles are put in place, which is several times faster than `np.percentile`.
+        ranks = sorted({min(int((reps - 1) * share) + k, reps - 1) for share in (0.025, 0.975) for k in (0, 1)})
+
         for b in batches:
             out = []
             for u in b.column(b.num_columns - 1):
                 d = np.array(u.as_py(), dtype=float)
-                lo, hi = np.percentile(means(d), [2.5, 97.5])
+                m = np.partition(means(d), ranks)
+                lo, hi = percentile(m, 0.025), percentile(m, 0.975)
                 out.append((float(d.mean()), float(lo), float(hi), len(d)))
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, t) for c, t in zip(cols, [pa.float64()] * 3 + [pa.int64()]))], names=[*by, "point", "lo", "hi", "n_units"])

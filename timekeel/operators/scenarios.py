@@ -40,7 +40,7 @@ def classified_days(stops: DataFrame, t: Track) -> tuple[DataFrame, DataFrame]:
 
     The stopping pattern is compared with the first eligible day's stop by stop, by an
     equality join on (train, position), and combined per day with partial aggregation. The
-    segments, read by each of these steps, are written once.
+    segments and the days, read by each of these steps, are written once.
     """
     at = stops.withColumn("_at", F.col("sched_arr_sec") + F.col("arr_delay_sec"))
     back = running(at, t, {"_prev": latest_before(F.col("_at"))})
@@ -48,7 +48,7 @@ def classified_days(stops: DataFrame, t: Track) -> tuple[DataFrame, DataFrame]:
         F.bool_and(F.coalesce(F.col("_at") >= F.col("_prev"), F.lit(True))).alias("consistent"))
     seg = settle(_pairs(stops, t), "segments")
     sizes = seg.groupBy(*DAY).agg(F.count(F.lit(1)).alias("n_stops"))
-    days = sound.join(sizes, list(DAY), "left").withColumn("n_stops", F.coalesce("n_stops", F.lit(0)))
+    days = settle(sound.join(sizes, list(DAY), "left").withColumn("n_stops", F.coalesce("n_stops", F.lit(0))), "days")
     first = days.where(F.col("consistent") & (F.col("n_stops") >= MIN_STOPS)).groupBy("train_code").agg(
         F.min(F.struct("day", "n_stops")).alias("_f")
     ).select("train_code", F.col("_f.day").alias("day"), F.col("_f.n_stops").alias("ref_stops"))
@@ -81,11 +81,13 @@ def instances(stops: DataFrame, t: Track, min_days: int = MIN_DAYS) -> DataFrame
 
     Per (train, segment): scheduled run, minimum run, existing buffer; per day: primary delay
     and the lateness the train started with. Trains with a segment scheduled at no time go.
+    The segments of complete days, read twice, are written once.
     """
     judged, days = classified_days(stops, t)
     good = days.where(F.col("drop_reason").isNull()).select(*DAY)
     start = judged.where("seq = 1").select(*DAY, F.coalesce("dep_delay_sec", F.lit(0)).alias("start_late"))
-    rows = judged.where("seq > 1").join(good, list(DAY), "left_semi")
+    rows = settle(judged.where("seq > 1").join(good, list(DAY), "left_semi").select(
+        *DAY, "seq", "from_code", "location_code", "run_sec", "sched_run"), "runs")
     per = rows.groupBy("train_code", "seq").agg(
         F.percentile("run_sec", RUN_PERCENTILE).alias("p5"), F.count(F.lit(1)).alias("n_days"),
         F.max("sched_run").alias("sched_run"),
@@ -97,7 +99,7 @@ def instances(stops: DataFrame, t: Track, min_days: int = MIN_DAYS) -> DataFrame
         "min_run": F.least("p5", "sched_run"),
     }).withColumn("buffer", F.col("sched_run") - F.col("min_run")).drop("_d", "_r")
     return (
-        rows.select(*DAY, "seq", "from_code", "location_code", "run_sec").join(per, ["train_code", "seq"])
+        rows.drop("sched_run").join(per, ["train_code", "seq"])
         .withColumn("primary_delay", F.greatest(F.lit(0.0), F.col("run_sec") - F.col("min_run")))
         .join(start, list(DAY))
     )
