@@ -132,3 +132,18 @@ def test_blocks_end_between_words():
 
 def test_empty_table(spark, rows):
     assert C.collocations(spark.createDataFrame(rows, SCHEMA).limit(0)).collect() == []
+
+
+def test_counts_by_hash_take_sorted_hashes():
+    marks = np.array([7, 3, 2**63 + 5, 3, 7, 7], dtype=np.uint64)
+    got = [r for b in C.Counter("aa", C.Wanted(C.Bits(), C.Bits())).by_mark(2, marks) for r in b.to_pylist()]
+    assert [(r["mark"] % 2**64, r["f"]) for r in got] == [(3, 2), (7, 3), (2**63 + 5, 1)]
+    assert all(r["size"] == 2 and r["phrase"] is None for r in got)
+
+
+def test_named_words_are_found_whatever_parts_them():
+    wanted = C.Wanted(C.Bits(), C.Bits(), named=frozenset([b"word"]))
+    for c in ".,;:!?\n\x0b\x0c\r\t ":
+        assert wanted.in_text(f"a{c}WoRd{c}b".encode())
+    for c in "\x1c\x85\xa0-":
+        assert not wanted.in_text(f"a{c}word b".encode())

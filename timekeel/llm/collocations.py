@@ -58,6 +58,8 @@ COUNTED = "lang string, size int, phrase string, mark long, f long"
 
 #: Ends of pieces become a line feed, a tab a blank.
 ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
+#: The same with A-Z as a-z and all that parts words as a blank.
+WORDS_ALONE = bytes(range(256)).lower().translate(ENDS).replace(b"\n", b" ")
 NOTHING, END = 0, 1
 
 
@@ -123,7 +125,7 @@ class Wanted:
         self.likely, self.all_words, self.by_mark, self.named = likely, all_words, by_mark, named
 
     def in_text(self, text: bytes) -> bool:
-        return self.named is None or not self.named.isdisjoint(text.lower().translate(ENDS).replace(b"\n", b" ").split(b" "))
+        return self.named is None or not self.named.isdisjoint(text.translate(WORDS_ALONE).split())
 
     def take(self, allowed: np.ndarray, before: np.ndarray, marks: np.ndarray) -> np.ndarray:
         return allowed & (~before | self.likely.has(marks))
@@ -155,33 +157,48 @@ class Counter:
         if want.all_words:
             f = np.bincount(a[skip:][word[skip:]], minlength=many)
             found = np.flatnonzero(f)
-            yield from self.batches(words, marks[found], f[found], False, found)
+            yield from self.batches(words, marks[found], f[found], found)
             yield self.batch(0, [b""], np.zeros(1, np.uint64), np.array([f.sum()]))
         if len(a) > 1:
             new, old, left, right = want.words.has(marks), want.old_words.has(marks), a[:-1], a[1:]
             both, fresh = word[:-1] & word[1:], np.arange(1, len(a)) >= skip
             of_pair = pair_marks(marks[left], marks[right])
             chosen = np.flatnonzero(both & fresh & want.take(new[left] & new[right], old[left] & old[right], of_pair))
-            _, at, f = np.unique(left[chosen] * many + right[chosen], return_index=True, return_counts=True)
-            at = chosen[at]
-            yield from self.batches(words, of_pair[at], f, want.by_mark, a[at], a[at + 1])
+            if want.by_mark:
+                yield from self.by_mark(2, of_pair[chosen])
+            else:
+                _, at, f = np.unique(left[chosen] * many + right[chosen], return_index=True, return_counts=True)
+                at = chosen[at]
+                yield from self.batches(words, of_pair[at], f, a[at], a[at + 1])
         if want.pairs.size and len(a) > 2:
             new, old = both & want.pairs.has(of_pair), both & want.old_pairs.has(of_pair)
             of_three = pair_marks(of_pair[:-1], marks[a[2:]])
             chosen = np.flatnonzero(fresh[1:] & want.take(new[:-1] & new[1:], old[:-1] & old[1:], of_three))
-            _, rank = np.unique((left * many + right)[chosen], return_inverse=True)
-            _, at, f = np.unique(rank * many + a[chosen + 2], return_index=True, return_counts=True)
-            at = chosen[at]
-            yield from self.batches(words, of_three[at], f, want.by_mark, a[at], a[at + 1], a[at + 2])
+            if want.by_mark:
+                yield from self.by_mark(3, of_three[chosen])
+            else:
+                _, rank = np.unique((left * many + right)[chosen], return_inverse=True)
+                _, at, f = np.unique(rank * many + a[chosen + 2], return_index=True, return_counts=True)
+                at = chosen[at]
+                yield from self.batches(words, of_three[at], f, a[at], a[at + 1], a[at + 2])
         last = [words[x] for x in a[-2:]]
         self.ids, self.held, self.skip = Ids(), 0, len(last)
         self.parts = [np.array([self.ids[w] for w in last], dtype=np.int64)]
 
-    def batches(self, words: list[bytes], marks: np.ndarray, f: np.ndarray, by_mark: bool, *places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def by_mark(self, size: int, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Counts of phrases by their hash alone, so sorted hashes are enough."""
+        marks = np.sort(marks)
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(marks), 1), bool), marks[1:] != marks[:-1]]))
+        f = np.diff(first, append=len(marks))
+        for at in range(0, len(first), BATCH_ROWS):
+            part = slice(at, at + BATCH_ROWS)
+            yield self.batch(size, None, marks[first[part]], f[part])
+
+    def batches(self, words: list[bytes], marks: np.ndarray, f: np.ndarray, *places: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Counts of the phrases whose words stand at `places`, some at a time."""
         for at in range(0, len(f), BATCH_ROWS):
             part = slice(at, at + BATCH_ROWS)
-            phrases = None if by_mark else [b" ".join(p) for p in zip(*(map(words.__getitem__, x[part].tolist()) for x in places))]
+            phrases = [b" ".join(p) for p in zip(*(map(words.__getitem__, x[part].tolist()) for x in places))]
             yield self.batch(len(places), phrases, marks[part], f[part])
 
     def batch(self, size: int, phrases: list[bytes] | None, marks: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
