@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 
 #: Characters of text that Python holds as words or tokens at one time (one longer text is a slice of its own).
 SLICE_CHARS = 1_000_000
+#: Bytes of rows that Spark hands to a Python worker at one time (one longer row is a batch of its own); both sides hold a batch whole.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the Python workers once per application, as --py-files would."""
+    """Send the package to the Python workers once per application, as --py-files would, and bound the batches that they get unless the session does."""
+    if BATCH[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH)
     sc = spark.sparkContext
     if getattr(sc, "_timekeel_shipped", False):
         return spark
