@@ -105,6 +105,60 @@ def test_transducer_gives_the_librarys_ids_and_text():
         assert decoded == t.decode(want, skip_special_tokens=False)
 
 
+def latin_texts():
+    """Every character below the first that is left to the library, alone, between letters, and before marks."""
+    return [form.replace("?", chr(c)) for c in range(0x260) for form in ("?", "a?b", "?.", "The?, x", "?\u0301,", "?'s ?12")]
+
+
+def test_batches_are_encoded_and_decoded_as_single_texts():
+    t, e = library(WORD), transducer.Encoder(WORD)
+    texts = [None, *odd_texts(), *fuzzed_texts(1000), *latin_texts(), "the" * 40 + "x" * 50 + "ing", None, "a"]
+    got = e.batch(texts)
+    for text, (ids, back) in zip(texts, got, strict=True):
+        want = t.encode(text or "", add_special_tokens=False).ids
+        assert list(np.frombuffer(ids, np.uint32)) == want, text
+        assert back == t.decode(want, skip_special_tokens=False)
+    assert e.batch([]) == [] and e.batch([None, " "]) == [(b"", "")] * 2
+    # A chunk that does not end with a character is decoded with what follows.
+    e.meanings.known[e.known["a"]] = None
+    assert e.batch(["b a", "b"]) == [e.encode("b a"), e.encode("b")] and e.encode("b a")[1] == "b</w> a</w>"
+
+
+def test_transducer_encodes_the_different_chunks_of_a_batch_once(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_KNOWN", 0)
+    e, asked = transducer.Encoder(WORD), []
+    word = e.word
+    monkeypatch.setattr(e, "word", lambda w: asked.append(w) or word(w))
+    got = e.batch(["Words here, words. Words", None, "caf\u00e9, words Here Caf\u00e9"])
+    assert sorted(asked) == sorted(["words", "here", e.spelled("caf\u00e9")]) and not e.known and not e.known.passing
+    want = library(WORD).encode("caf\u00e9, words Here Caf\u00e9", add_special_tokens=False).ids
+    assert list(np.frombuffer(got[2][0], np.uint32)) == want
+
+
+def test_a_symbol_is_read_in_one_step():
+    """However long the tokens may be, a symbol is looked at with the state before it alone."""
+    e, asked = transducer.Encoder(WORD), []
+    e.word("internationalising" * 20 + "s")
+
+    class Asked(dict):
+        def __contains__(self, token):
+            asked.append(token)
+            return dict.__contains__(self, token)
+
+    e.v.stable = Asked({t: t for t in e.v.stable})
+    e.word("internationalising" * 30 + "s")
+    assert not asked
+
+
+def test_steps_beyond_those_remembered(monkeypatch):
+    want = [transducer.encoder(WORD).encode(t) for t in odd_texts()]
+    monkeypatch.setattr(transducer, "MOST_STEPS", 2)
+    monkeypatch.setattr(transducer, "MOST_KNOWN", 1)
+    e = transducer.Encoder(WORD)
+    assert e.batch(odd_texts()) == want
+    assert len(e.v.moves) <= 2 and len(e.v.endings) <= 2 and len(e.v.beside) <= 2 and len(e.meanings.known) <= 1
+
+
 def test_transducer_holds_no_more_of_a_longer_word():
     v = transducer.Vocabulary(WORD)
     held = []

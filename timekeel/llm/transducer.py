@@ -1,19 +1,21 @@
 """Byte-pair encoding and decoding as streaming transducers.
 
-Encoding reads one symbol at a time. For every position of a word it keeps the last token of
-the encoding of what was read so far; that token is the longest one ending there that is
-stable on its own and beside the last token of the position where it starts. Two tokens are
-stable beside each other if no merge across their border comes before the merges that use up
-the symbols on either side. Merges reach back by less than the longest token: this is the
-lookahead, computed from the merge list. A border is settled as soon as the paths of all
-positions within the lookahead run through it, and the tokens before it are emitted; what is
-held does not grow with the word. A word's last symbol carries the end mark, so it is known
-when the next one is read.
+Encoding reads one symbol at a time. The state is the longest end of what was read that begins
+a token; it and the next symbol give the next state and the tokens that end there. For every
+position of a word the last token of the encoding of what was read so far is kept: the longest
+one ending there that is stable on its own and beside the last token of the position where it
+starts. Two tokens are stable beside each other if no merge across their border comes before the
+merges that use up the symbols on either side. Merges reach back by less than the longest token:
+this is the lookahead, computed from the merge list. A border is settled as soon as the paths of
+all positions within the lookahead run through it, and the tokens before it are emitted; what is
+held does not grow with the word. A word's last symbol carries the end mark, so it is known when
+the next one is read.
 
 Decoding feeds the emitted ids one at a time, by the rule of the tokenizer file: names parted by
 blanks where the file has no decoder, else bytes, held until a character is whole.
 
-Chunks seen before are looked up; the first `MOST_KNOWN` different ones of a worker are remembered.
+The different chunks of a batch are encoded and decoded once each. Those seen before are looked
+up; a worker remembers as many as `tokens.Known` does.
 
 Cases: null and empty texts have no tokens; special tokens in a text are ids of their own, as
 the library has it; unused truncation and padding play no part; repeated rows give repeated
@@ -27,22 +29,42 @@ import hashlib
 import json
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, ship, slices
-from .tokens import BEYOND_LATIN, SEPARATORS, WORD_PATTERN, byte_letters
+from .tokens import BEYOND_LATIN, LONGEST_KNOWN, SEPARATORS, WORD_PATTERN, Known, byte_letters
 
-MOST_KNOWN, LONGEST_KNOWN = 400_000, 48
+#: Meanings that a worker remembers (of pairs of tokens twice as many), and steps from a state.
+MOST_KNOWN, MOST_STEPS = 400_000, 200_000
 NEVER = 1 << 60
+#: Characters of text whose different chunks are held at one time.
+SLICE = 4_000_000
 #: White space as the vocabulary's normalizer has it.
 BLANKS = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+class Worked(dict):
+    """Values worked out when first asked for; emptied when they are too many."""
+
+    def __init__(self, work: Callable[[Hashable], Any], most: int):
+        super().__init__()
+        self.work, self.most = work, most
+
+    def __missing__(self, key: Hashable) -> Any:
+        if len(self) >= self.most:
+            self.clear()
+        got = self[key] = self.work(key)
+        return got
+
+
 class Vocabulary:
     """The merge list of a tokenizer file and what follows from it."""
 
@@ -66,8 +88,13 @@ class Vocabulary:
             self.made_of.setdefault(left + right, (left, right))
         self.lookahead = max(map(self.width, self.made_of), default=1)
         #: Tokens that the merges of their own symbols end in.
-        self.stable = {t for t in self.ids if self.reached(t)}
-        self.beside: dict[tuple[str, str], bool] = {}
+        self.stable = {t: t for t in self.ids if self.reached(t)}
+        #: What begins a token.
+        self.begun = {t[:n] for t in self.stable for n in range(1, self.width(t) + 1)}
+        #: By a state and a symbol: the next state and the tokens that end there; those that end there if it is the word's last.
+        self.moves = Worked(self.move, MOST_STEPS)
+        self.endings = Worked(lambda read: self.ending(read, self.end_mark), MOST_STEPS)
+        self.beside = Worked(self.stable_beside, 2 * MOST_KNOWN)
         self.right_edges: dict[str, list] = {}
         self.left_edges: dict[str, list] = {}
 
@@ -87,23 +114,24 @@ class Vocabulary:
             held[token] = [(token, NEVER)] if pair is None else [*((p, min(until, self.rank[pair])) for p, until in self.edge(pair[side], side)), (token, NEVER)]
         return held[token]
 
-    def stable_beside(self, left: str, right: str) -> bool:
+    def move(self, read: str) -> tuple[str, list[tuple[str, int]]]:
+        """The longest end of what was read that begins a token, and the tokens that end there."""
+        while read and read not in self.begun:
+            read = read[1:]
+        return read, self.ending(read, "")
+
+    def ending(self, read: str, mark: str) -> list[tuple[str, int]]:
+        """Stable tokens at the end of what was read, the longest first, and their symbols."""
+        return [(self.stable[t], n) for n in range(len(read), 0, -1) if (t := read[-n:] + mark) in self.stable]
+
+    def stable_beside(self, pair: tuple[str, str]) -> bool:
         """Whether no merge across the border of two tokens comes first. Of equal merges the one further left comes first."""
-        key = (left, right)
-        got = self.beside.get(key)
-        if got is None:
-            rank = self.rank
-            got = True
-            for x, x_until in self.edge(left, 1):
-                for y, y_until in self.edge(right, 0):
-                    r = rank.get((x, y))
-                    if r is not None and r < x_until and r <= y_until:
-                        got = False
-                        break
-            if len(self.beside) > 2 * MOST_KNOWN:
-                self.beside.clear()
-            self.beside[key] = got
-        return got
+        for x, x_until in self.edge(pair[0], 1):
+            for y, y_until in self.edge(pair[1], 0):
+                r = self.rank.get((x, y))
+                if r is not None and r < x_until and r <= y_until:
+                    return False
+        return True
 
     def reached(self, token: str) -> bool:
         """Whether the merges of a token's own symbols end in it."""
@@ -121,8 +149,8 @@ class WordTransducer:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        #: What was read since the last settled border.
-        self.text = ""
+        #: What was read since the last settled border, and the longest end of all that was read that begins a token.
+        self.text = self.state = ""
         #: The last token of each position since the last settled border, and where it starts.
         self.last: list[str] = [""]
         self.back: list[int] = [0]
@@ -141,26 +169,27 @@ class WordTransducer:
         return out
 
     def read(self, symbols: str, mark: str) -> None:
-        v = self.v
-        self.text = text = self.text + symbols
-        last, back, stable, beside, reach = self.last, self.back, v.stable, v.beside, v.lookahead
-        for i in range(len(text) - len(symbols) + 1, len(text) + 1):
-            for start in range(i - reach if i > reach else 0, i):
-                token = text[start:i] + mark
-                if token in stable:
-                    left = last[start] if start else self.before
-                    if left:
-                        fits = beside.get((left, token))
-                        if fits is None:
-                            fits = v.stable_beside(left, token)
-                    else:
-                        fits = not start
-                    if fits:
-                        last.append(token)
-                        back.append(start)
-                        break
+        v, last, back, state = self.v, self.last, self.back, self.state
+        moves, beside = v.moves, v.beside
+        for i, symbol in enumerate(symbols, len(self.text) + 1):
+            read = state + symbol
+            if mark:
+                tokens = v.endings[read]
+            else:
+                state, tokens = moves[read]
+            for token, n in tokens:
+                start = i - n
+                # A token across the settled border is on no path.
+                if start < 0:
+                    continue
+                left = last[start] if start else self.before
+                if not left or beside[left, token]:
+                    last.append(token)
+                    back.append(start)
+                    break
             else:
-                raise ValueError(f"no token ends in {text[:i][-1]!r}")
+                raise ValueError(f"no token ends in {symbol!r}")
+        self.text, self.state = self.text + symbols, state
 
     def finish(self, symbol: str) -> list[str]:
         """Read the word's last symbol."""
@@ -206,8 +235,10 @@ class Encoder:
         # How letters beyond the Latin blocks are composed, lowered and split is the library's affair.
         library = Tokenizer.from_file(path)
         self.normalized, self.pieces = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.chunk)
         self.meanings = Meanings(self.v)
+        #: A word and one of these are two pieces.
+        self.marks = {m: self.word(m) for m in ".,"}
 
     def word(self, written: str) -> bytes:
         if len(written) <= self.v.lookahead:
@@ -218,19 +249,21 @@ class Encoder:
 
     def short(self, text: str) -> list[str]:
         """A word within the lookahead, in one go: nothing is certain before its end."""
-        v, many = self.v, len(text)
-        stable, known, last, back = v.stable, v.beside.get, [""], [0]
-        marked = text + v.end_mark
-        for i in range(1, many + 1):
-            end = i if i < many else None
-            for start in range(i):
-                token = marked[start:end]
-                if token in stable and (not start or known(pair := (last[start], token)) or (pair not in v.beside and v.stable_beside(*pair))):
+        v, many, state = self.v, len(text), ""
+        moves, beside, last, back = v.moves, v.beside, [""], [0]
+        for i, symbol in enumerate(text, 1):
+            if i < many:
+                state, tokens = moves[state + symbol]
+            else:
+                tokens = v.endings[state + symbol]
+            for token, n in tokens:
+                left = last[i - n]
+                if not left or beside[left, token]:
                     last.append(token)
-                    back.append(start)
+                    back.append(i - n)
                     break
             else:
-                raise ValueError(f"no token ends in {text[i - 1]!r}")
+                raise ValueError(f"no token ends in {symbol!r}")
         out = []
         while many:
             out.append(last[many])
@@ -238,36 +271,37 @@ class Encoder:
         out.reverse()
         return out
 
+    def spelled(self, piece: str) -> str:
+        """The letters of the piece's bytes."""
+        return piece.encode("utf-8").decode("latin-1").translate(self.letters)
+
     def piece(self, piece: str) -> bytes:
         # Printable characters without a blank are written as they are; other bytes have letters of their own.
         if not (piece.isascii() and piece.isprintable()):
-            return self.word(piece.encode("utf-8").decode("latin-1").translate(self.letters))
+            return self.word(self.spelled(piece))
         # A word of letters is a chunk as well.
-        return self.remembered(piece) if piece.isalpha() else self.word(piece)
+        return self.known[piece] if piece.isalpha() else self.word(piece)
 
     def chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():
-            text = chunk.lower()
+        text = chunk.lower()
+        # In the Latin blocks nothing is left to compose, and Python lowers as the library does.
+        if chunk.isascii() or (max(chunk) < BEYOND_LATIN and max(text) < BEYOND_LATIN):
             if text.isalpha():
-                return self.word(text) if text == chunk else self.remembered(text)
+                return self.known[text] if text != chunk else self.word(text if text.isascii() else self.spelled(text))
+            word = text[:-1]
+            if text[-1] in self.marks and word.isalpha():
+                return self.known[word] + self.marks[text[-1]]
         else:
             text = self.normalized(chunk)
         if text and (max(text) >= BEYOND_LATIN or any(c in text for c in SEPARATORS)):
             return b"".join([self.word(p) for p, _ in self.pieces(text)])
         return b"".join([self.piece(p) for p in self.split.findall(text)])
 
-    def remembered(self, chunk: str) -> bytes:
-        got = self.known.get(chunk)
-        if got is None:
-            got = self.chunk(chunk)
-            if len(chunk) <= LONGEST_KNOWN and len(self.known) < MOST_KNOWN:
-                self.known[chunk] = got
-        return got
+    def chunks(self, text: str) -> list[str]:
+        return [c for c in BLANKS.split(text) if c] if any(c in text for c in SEPARATORS) else text.split()
 
     def plain(self, text: str) -> list[bytes]:
-        chunks = [c for c in BLANKS.split(text) if c] if any(c in text for c in SEPARATORS) else text.split()
-        known, remembered = self.known, self.remembered
-        return [known.get(c) or remembered(c) for c in chunks]
+        return list(map(self.known.__getitem__, self.chunks(text)))
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids, and the text that they decode to."""
@@ -277,10 +311,30 @@ class Encoder:
             parts.append(array("I", [self.v.specials[m[0]]]).tobytes())
             at = m.end()
         parts += self.plain((text or "")[at:])
+        self.known.forget()
         ids = b"".join(parts)
         back = self.meanings.after_others(parts)
         return ids, decoded(self.v, array("I", ids)) if back is None else back
 
+    def batch(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """What `encode` gives for each text: the different chunks of all texts are encoded and decoded once, then put in each text's order."""
+        whole = [bool(t and self.special.search(t)) for t in texts]
+        split = pc.split_pattern(pa.array([" ".join(self.chunks(t)) or None if t and not w else None for t, w in zip(texts, whole)], pa.string()), " ")
+        of = split.flatten().dictionary_encode()
+        ids = list(map(self.known.__getitem__, of.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        self.known.forget()
+        meant = self.meanings.each(ids)
+        if None in meant:
+            return list(map(self.encode, texts))
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy())])
+        parts = []
+        for values in (pa.array(ids, pa.large_binary()), pa.array(meant, pa.large_string())):
+            _, offsets, data = values.take(of.indices).buffers()
+            at = np.frombuffer(offsets, np.int64)[ends].tolist() if len(of) else [0] * len(ends)
+            held = memoryview(data or b"")
+            parts.append([bytes(held[a:b]) for a, b in zip(at, at[1:])])
+        return [self.encode(t) if w else (i, self.meanings.first(b.decode("utf-8"))) for t, w, i, b in zip(texts, whole, *parts)]
+
 
 class Decoder:
     """Ids to text, one at a time: `feed` gives the characters that have become whole."""
@@ -350,15 +404,20 @@ class Meanings:
                 self.known[ids] = got
         return got
 
-    def after_others(self, parts: list[bytes]) -> str | None:
-        """The text of chunks one after the other; null if one of them does not end with a character."""
+    def each(self, parts: list[bytes]) -> list[str | None]:
+        """What each chunk's ids decode to after others."""
         known, of = self.known, self.of
-        found = [known.get(p) or of(p) for p in parts if p]
-        if None in found:
-            return None
-        text = "".join(found)
+        return [known.get(p) or of(p) for p in parts]
+
+    def first(self, text: str) -> str:
+        """The text of chunks that nothing came before."""
         return text[1:] if self.v.decoder is None else text
 
+    def after_others(self, parts: list[bytes]) -> str | None:
+        """The text of chunks one after the other; null if one of them does not end with a character."""
+        found = self.each(parts)
+        return None if None in found else self.first("".join(found))
+
 
 def decoded(vocabulary: Vocabulary, ids: array) -> str:
     d = FileDecoder(vocabulary)
@@ -379,10 +438,9 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             n, ids_sum, text_sum = [], [], []
-            for text in b.column(1):
-                ids, back = e.encode(text.as_py())
+            for ids, back in e.batch(b.column(1).to_pylist()):
                 n.append(len(ids) // 4)
                 ids_sum.append(hashlib.sha256(ids).hexdigest())
                 text_sum.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
