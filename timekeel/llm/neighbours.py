@@ -175,7 +175,7 @@ def search(table: DataFrame, queries_where, nearest: int = NEAREST, tables: int
     done = most
     while done < cells:
         met = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("met"))
-        asking = settle(queries.join(met, "query_id", "left").where(F.coalesce("met", F.lit(0)) < nearest).select("query_id", "vec"), "asking")
+        asking = settle(queries.join(met.hint("merge"), "query_id", "left").where(F.coalesce("met", F.lit(0)) < nearest).select("query_id", "vec"), "asking")
         if asking.isEmpty():
             break
         most = min(cells, WIDER * done)
@@ -191,11 +191,15 @@ def ranked(met: DataFrame, nearest: int) -> DataFrame:
 
 
 def best_of(placed: DataFrame, probed: DataFrame, index: DataFrame, queries: DataFrame, nearest: int) -> DataFrame:
-    """Meet queries and entries cell by cell, and rank what each query met."""
+    """Meet queries and entries cell by cell, and rank what each query met.
+
+    Joins are merge joins: probes, cells and queries pack small on disk, so that Spark would
+    take them for small and send them through the driver, where they are many times as large.
+    """
     # A block of a large cell is a part of its entries by a hash; it meets all queries of the cell.
-    sizes = placed.groupBy("t", "cell").agg(F.count(F.lit(1)).alias("held")).withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
-    entries_of = placed.join(sizes, ["t", "cell"]).withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).join(index.select("entry", "vec", "ids"), "entry")
-    queries_of = probed.join(sizes, ["t", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(queries, "query_id")
+    sizes = placed.groupBy("t", "cell").agg(F.count(F.lit(1)).alias("held")).withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")).hint("merge")
+    entries_of = placed.join(sizes, ["t", "cell"]).withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).join(index.select("entry", "vec", "ids").hint("merge"), "entry")
+    queries_of = probed.join(sizes, ["t", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(queries.hint("merge"), "query_id")
 
     def meet(key: tuple[pa.Scalar, ...], found: pa.Table, asked: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
