@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,19 +179,98 @@ def merge_registry_into(base: str) -> Callable[[DataFrame, int], None]:
     return each
 
 
-def scored_stream(preds: DataFrame, outcomes: DataFrame, within: str = "1 day") -> DataFrame:
+#: Groups that the events of a service day are dealt over, so that one call of Python joins many events.
+JOIN_GROUPS = 256
+JOIN_ROWS = "is_outcome boolean, train_code string, location_code string, prediction_id string, at_us long, low_us long, until_us long, value double"
+JOIN_STATE = "next_ms long, held binary"
+JOINED = "service_day int, train_code string, location_code string, prediction_id string, made_us long, q50_sec double, actual_delay_sec double"
+
+
+def scored_stream(preds: DataFrame, outcomes: DataFrame, within: str = "1 day", groups: int = JOIN_GROUPS) -> DataFrame:
     """Predictions joined to outcomes as both arrive. A prediction whose outcome has not come
-    by the time range's end is emitted without one."""
-    p = preds.withWatermark("made_at", SETTLE).alias("p")
-    o = outcomes.withWatermark("arrived_at", SETTLE).alias("o")
-    same = F.lit(True)
-    for k in ("service_date", "train_code", "location_code"):
-        same = same & (F.col(f"p.{k}") == F.col(f"o.{k}"))
-    in_range = (F.col("o.arrived_at") >= F.col("p.made_at") - F.expr("INTERVAL 1 DAY")) & (
-        F.col("o.arrived_at") <= F.col("p.made_at") + F.expr(f"INTERVAL {within}"))
-    return p.join(o, same & in_range, "left").select(
-        "p.service_date", "p.train_code", "p.location_code", "p.prediction_id", "p.made_at", "p.q50_sec", "o.actual_delay_sec",
-        F.when(F.col("o.actual_delay_sec").isNull(), "no_actual_arrival").otherwise("scored").alias("score_state"))
+    by the time range's end is emitted without one.
+
+    Rows wait until the watermark has passed the end of what they can meet, in Spark's own
+    stream join each as an entry of the state. Here the events of a service day are dealt over
+    `groups` keys, and the state of a key is its rows as one compressed Arrow stream, read and
+    written again by each delivery that touches the key. The session should keep state in
+    RocksDB, so that it needs no heap. The function is local, so it travels to the workers by
+    value and they need no package.
+    """
+    kinds = {"boolean": pa.bool_(), "string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+    schema = pa.schema([*((n, kinds[t]) for n, t in (f.split(" ") for f in JOIN_ROWS.split(", "))), ("met", pa.bool_())])
+
+    def packed(rows: pd.DataFrame) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+            out.write_batch(pa.RecordBatch.from_pandas(rows, schema=schema, preserve_index=False))
+        return sink.getvalue().to_pybytes()
+
+    def pairs(event: np.ndarray, rows: pd.DataFrame, said: np.ndarray, came: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of predictions among `said` and of the outcomes among `came` of their event and time range."""
+        came = came[np.lexsort((rows["at_us"].to_numpy()[came], event[came]))]
+        at = np.sort(rows["at_us"].to_numpy()[came])
+        place = event[came] * (len(at) + 1) + np.searchsorted(at, rows["at_us"].to_numpy()[came])
+        base = event[said] * (len(at) + 1)
+        first = np.searchsorted(place, base + np.searchsorted(at, rows["low_us"].to_numpy()[said]))
+        past = np.searchsorted(place, base + np.searchsorted(at, rows["until_us"].to_numpy()[said], side="right"))
+        n = past - first
+        return np.repeat(said, n), came[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    def meet(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Joins one delivery with itself and with what is held; lets go what can meet nothing more."""
+        now = state.getCurrentWatermarkMs()
+        new = [b[schema.names[:-1]] for b in (() if state.hasTimedOut else batches)]
+        held = [pa.ipc.open_stream(bytes(state.get[1])).read_pandas()] if state.exists else []
+        old = sum(map(len, held))
+        rows = pd.concat([*held, *(b.assign(met=False) for b in new)], ignore_index=True)
+        rows = rows.astype({"is_outcome": bool, "met": bool, "at_us": "int64", "low_us": "int64", "until_us": "int64"})
+        # A code that is missing equals none: such an event is a number that only predictions have.
+        train, code = (pd.factorize(rows[c])[0] for c in ("train_code", "location_code"))
+        known = (train >= 0) & (code >= 0)
+        event = np.where(known, train * (code.max(initial=0) + 1) + code, -1)
+        came = rows["is_outcome"].to_numpy() & known
+        said, fresh = ~rows["is_outcome"].to_numpy() & known, np.arange(len(rows)) >= old
+        both = [pairs(event, rows, np.flatnonzero(said & fresh), np.flatnonzero(came)), pairs(event, rows, np.flatnonzero(said & ~fresh), np.flatnonzero(came & fresh))]
+        p, o = (np.concatenate(x) for x in zip(*both))
+        met = rows["met"].to_numpy().copy()
+        met[p] = True
+        over = rows["until_us"].to_numpy() <= now * 1000
+        alone = np.flatnonzero(over & ~met & ~rows["is_outcome"].to_numpy())
+        given = np.concatenate([p, alone])
+        if len(given):
+            out = rows.iloc[given]
+            value = np.concatenate([rows["value"].to_numpy()[o], np.full(len(alone), np.nan)])
+            yield pd.DataFrame({
+                "service_day": np.full(len(out), np.nan if pd.isna(key[0]) else key[0]), **{c: out[c].to_numpy() for c in ("train_code", "location_code", "prediction_id")},
+                "made_us": out["at_us"].to_numpy(), "q50_sec": out["value"].to_numpy(), "actual_delay_sec": value})
+        left = rows.assign(met=met)[~over]
+        if len(left):
+            until = -(-int(left["until_us"].min()) // 1000)
+            state.update((until, packed(left)))
+            # Let go once the watermark has come to the end.
+            state.setTimeoutTimestamp(until - 1)
+        elif state.exists:
+            state.remove()
+
+    day, micros = F.unix_date("service_date"), F.unix_micros
+    p, o = preds.withWatermark("made_at", SETTLE), outcomes.withWatermark("arrived_at", SETTLE)
+    made, arrived, last = F.col("made_at"), F.col("arrived_at"), F.expr(f"INTERVAL {within}")
+    event = [day.alias("service_day"), F.col("train_code"), F.col("location_code")]
+    rows = p.select(made.alias("at"), *event, F.lit(False).alias("is_outcome"), F.col("prediction_id").cast("string").alias("prediction_id"), micros(made).alias("at_us"),
+                    micros(made - F.expr("INTERVAL 1 DAY")).alias("low_us"), micros(made + last).alias("until_us"), F.col("q50_sec").cast("double").alias("value"))
+    # The last prediction that may meet an outcome is made a day later, by the clock: 25 hours at most.
+    rows = rows.unionByName(o.select(arrived.alias("at"), *event, F.lit(True).alias("is_outcome"), F.lit(None).cast("string").alias("prediction_id"), micros(arrived).alias("at_us"),
+                                     F.lit(0).cast("long").alias("low_us"), micros(arrived + F.expr("INTERVAL 25 HOURS")).alias("until_us"), F.col("actual_delay_sec").cast("double").alias("value")))
+    # A row without a time meets nothing, and no watermark passes it.
+    dealt = rows.where(F.col("at").isNotNull()).withColumn("_group", F.pmod(F.xxhash64("train_code", "location_code"), F.lit(groups)))
+    out = dealt.groupBy("service_day", "_group").applyInPandasWithState(meet, JOINED, JOIN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    kind = {**{f.name: f.dataType for f in outcomes.schema}, **{f.name: f.dataType for f in preds.schema}}
+    return out.select(
+        F.date_add(F.lit("1970-01-01").cast("date"), F.col("service_day")).alias("service_date"), "train_code", "location_code",
+        F.col("prediction_id").cast(kind["prediction_id"]).alias("prediction_id"), F.timestamp_micros("made_us").alias("made_at"),
+        F.col("q50_sec").cast(kind["q50_sec"]).alias("q50_sec"), F.col("actual_delay_sec").cast(kind["actual_delay_sec"]).alias("actual_delay_sec"),
+        F.when(F.col("actual_delay_sec").isNull(), "no_actual_arrival").otherwise("scored").alias("score_state"))
 
 
 def distinct_predictions(preds: DataFrame, settle: str = SETTLE) -> DataFrame:
