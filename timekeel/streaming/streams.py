@@ -254,7 +254,9 @@ def scored_stream(preds: DataFrame, outcomes: DataFrame, within: str = "1 day",
             state.remove()
 
     day, micros = F.unix_date("service_date"), F.unix_micros
-    p, o = preds.withWatermark("made_at", SETTLE), outcomes.withWatermark("arrived_at", SETTLE)
+    # An outcome without a key meets nothing, and moves no watermark.
+    keyed = outcomes.where(" AND ".join(f"{k} IS NOT NULL" for k in ("service_date", "train_code", "location_code")))
+    p, o = preds.withWatermark("made_at", SETTLE), keyed.withWatermark("arrived_at", SETTLE)
     made, arrived, last = F.col("made_at"), F.col("arrived_at"), F.expr(f"INTERVAL {within}")
     event = [day.alias("service_day"), F.col("train_code"), F.col("location_code")]
     rows = p.select(made.alias("at"), *event, F.lit(False).alias("is_outcome"), F.col("prediction_id").cast("string").alias("prediction_id"), micros(made).alias("at_us"),
